@@ -1,5 +1,5 @@
 """Registered queries with their SQL cross-checks."""
 
-from workload import views
+from workload import lookups, views
 
-MODULES = [views]
+MODULES = [views, lookups]
