@@ -1,5 +1,5 @@
 """Registered queries with their SQL cross-checks."""
 
-from workload import lookups, views
+from workload import lookups, views, writes
 
-MODULES = [views, lookups]
+MODULES = [views, lookups, writes]

@@ -225,11 +225,11 @@ def merge_ops_replayed(spark, sf_dir):
 
 @query("receive_ops", with_log("m", f"""
 SELECT id, key, site, CAST(to_json(lts) AS VARCHAR) AS lts, CASE WHEN site <> 1 THEN 1 ELSE 0 END AS hops, 99 AS arrival_time
-FROM ops o WHERE seq % 10 <> 0 AND NOT EXISTS (SELECT 1 FROM loc WHERE {_DOM.format(a='o', b='loc')})""", more=_LOCAL))
+FROM ops o WHERE key <> 'click' AND NOT EXISTS (SELECT 1 FROM loc WHERE {_DOM.format(a='o', b='loc')})""", more=_LOCAL))
 def receive_ops(spark, sf_dir):
     local, _ = _halves(spark, sf_dir, "m")
     ops = log(spark, sf_dir, "m")
-    known = ops.where(F.col("seq") % 10 == 0)
+    known = ops.where("key = 'click'")
     got = M.receive_ops(ops.unionByName(ops), 1, local, known, 99, N_SITES)
     return flat(got.select("id", "key", "site", "lts", "hops", "arrival_time"))
 
@@ -262,18 +262,23 @@ def fully_merged(spark, sf_dir):
     return M.fully_merged(log(spark, sf_dir, "m"), local, N_SITES)
 
 
-# audit: site s knows its own operations and the others' up to a site-specific epoch
+# audit: site s knows its own operations and the others' up to s quarters of the log
+def _known(ops, top, site):
+    return ops.where((F.col("site") == site) | (F.col("seq") * 4 < top * site))
+
+
 def _replicas(spark, sf_dir, kind="m"):
     ops = log(spark, sf_dir, kind, 64)
+    top = table(spark, sf_dir, "events").agg(F.max("event_id")).scalar()
     out = []
     for s in (1, 2, 3):
-        known = ops.where((F.col("site") == s) | (F.floor(F.col("seq") / 64) < 20 * s))
-        out.append(causal_present(known, N_SITES, mode="causal").withColumn("replica", F.lit(s)))
+        out.append(causal_present(_known(ops, top, s), N_SITES, mode="causal").withColumn("replica", F.lit(s)))
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
+_TOP = "(SELECT max(event_id) FROM events)"
 _REPLICAS = ", ".join(
-    f"k{s} AS (SELECT * FROM ops WHERE site = {s} OR epoch < {20 * s}), {frontier_cte(f'k{s}', f'p{s}')}" for s in (1, 2, 3)
+    f"k{s} AS (SELECT * FROM ops WHERE site = {s} OR seq * 4 < {_TOP} * {s}), {frontier_cte(f'k{s}', f'p{s}')}" for s in (1, 2, 3)
 )
 _DIGEST = "SELECT {s} AS replica, id, string_agg(key || '|' || CAST(site AS VARCHAR) || '|' || CAST(lts AS VARCHAR) || '|' || op || '|' || coalesce(data, '-'), ';' ORDER BY key, site, lts) AS d FROM p{s} GROUP BY id"
 
@@ -285,20 +290,20 @@ def converged(spark, sf_dir):
     return A.converged(_replicas(spark, sf_dir), 3)
 
 
-@query("missing_ops", with_log("m", "SELECT id, key, seq FROM ops WHERE (site = 3 OR epoch < 60) AND NOT (site = 1 OR epoch < 20)", window=64))
+@query("missing_ops", with_log("m", f"SELECT id, key, seq FROM ops WHERE (site = 3 OR seq * 4 < {_TOP} * 3) AND NOT (site = 1 OR seq * 4 < {_TOP})", window=64))
 def missing_ops(spark, sf_dir):
     ops = log(spark, sf_dir, "m", 64)
-    epoch = F.floor(F.col("seq") / 64)
-    return A.missing_ops(ops.where((F.col("site") == 3) | (epoch < 60)), ops.where((F.col("site") == 1) | (epoch < 20))).select("id", "key", "seq")
+    top = table(spark, sf_dir, "events").agg(F.max("event_id")).scalar()
+    return A.missing_ops(_known(ops, top, 3), _known(ops, top, 1)).select("id", "key", "seq")
 
 
 @query("check_causal", with_log("m", """
 SELECT o.id, o.site, o.lts[o.site] AS own, 'gap' AS reason FROM ops o JOIN ops p
 ON o.id = p.id AND o.site = p.site AND o.lts[o.site] = p.lts[p.site] + 1
-WHERE o.seq % 97 <> 0 AND p.seq % 97 = 0"""))
+WHERE o.key <> 'signup' AND p.key = 'signup'"""))
 def check_causal(spark, sf_dir):
-    """Every operation whose predecessor was lost is reported."""
-    return A.check_causal(log(spark, sf_dir, "m").where("seq % 97 != 0"), N_SITES)
+    """A log that lost its sign-ups: every operation whose predecessor is gone is reported."""
+    return A.check_causal(log(spark, sf_dir, "m").where("key != 'signup'"), N_SITES)
 
 
 @query("conflicts", with_present("m", """

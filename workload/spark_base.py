@@ -1,10 +1,14 @@
 """Shared pieces of the registered queries."""
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from causalog.operators.present import causal_present
+from causalog.schema import OP
+from causalog.session import ensure_checkpoint_dir
 from causalog.sources.recipes import N_SITES, WINDOW, event_ops
 
 
@@ -12,8 +16,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_WRITTEN: set[str] = set()
+
+
 def log(spark: SparkSession, sf_dir: str, kind: str, window: int = WINDOW) -> DataFrame:
-    return event_ops(table(spark, sf_dir, "events"), kind, window)
+    """One structure type's log, derived from the events once per session and stored
+    as parquet in the shared checkpoint folder, as an operation log would be."""
+    ensure_checkpoint_dir(spark)
+    sc = spark.sparkContext
+    source = os.path.abspath(sf_dir).strip("/").replace("/", "_")
+    path = f"{sc.getCheckpointDir()}/logs-{sc.applicationId}/{source}-{kind}-{window}"
+    if path not in _WRITTEN:
+        ops = event_ops(table(spark, sf_dir, "events"), kind, window)
+        ops.write.mode("overwrite").parquet(path)
+        _WRITTEN.add(path)
+    return spark.read.schema(OP).parquet(path)
 
 
 def current(spark: SparkSession, sf_dir: str, kind: str, window: int = WINDOW, mode: str = "causal") -> DataFrame:
