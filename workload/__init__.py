@@ -1,5 +1,5 @@
 """Registered queries with their SQL cross-checks."""
 
-from workload import lookups, views, writes
+from workload import documents, lookups, runs, streams, views, writes
 
-MODULES = [views, lookups, writes]
+MODULES = [views, lookups, writes, documents, runs, streams]
