@@ -18,6 +18,7 @@ from causalog.operators import resolve as R
 from causalog.operators.lookup import list_ranks
 from causalog.plans.scan import Running, prefix_scan, row_numbers
 from causalog.schema import OP_COLUMNS
+from causalog.session import stable
 
 # Consecutive sequence numbers handled by one task in the running totals.
 WIDTH = 1 << 20
@@ -189,7 +190,7 @@ def clear_effects(
         {"__write": Running("min", F.col("intent_seq"), inclusive=False)}, reverse=True,
     )
     marks = clears.select(*who, "intent_seq", at.alias("__mark"))
-    both = next_write.unionByName(marks, allowMissingColumns=True)
+    both = stable(next_write.unionByName(marks, allowMissingColumns=True))
     upcoming = prefix_scan(
         both, who, ["intent_seq"], _bucket("intent_seq", width),
         {"__clear": Running("min", F.col("__mark"), inclusive=False)}, reverse=True,
@@ -212,13 +213,14 @@ def effects(
 ) -> DataFrame:
     """Every operation the batch causes.  Name the structure types it touches in
     ``kinds`` to leave out the branches of the others."""
+    # Later steps read these several times, so each family is computed and written once.
     parts = {}
     if set(kinds) & {"r", "s", "m"}:
-        parts["plain"] = plain_effects(intents)
+        parts["plain"] = plain_effects(intents)  # a projection, cheap to repeat
     if "c" in kinds:
         parts["c"] = counter_effects(intents, present, width)
     if "l" in kinds:
-        parts["l"] = list_effects(intents, present, mode, width)
+        parts["l"] = stable(list_effects(intents, present, mode, width))
     out = None
     for part in parts.values():
         out = part if out is None else out.unionByName(part)
@@ -267,10 +269,10 @@ def stamp_hlc(events: DataFrame, seed: DataFrame | None = None, width: int = WID
         start = seed.select("site", F.col("physical_time").alias("__p0"), F.col("logical_time").alias("__l0"))
         rows = rows.join(start, "site", "left")
     seen = F.greatest(F.coalesce("__p0", F.lit(0)), F.col("__before"))
-    rows = rows.withColumns({
+    rows = stable(rows.withColumns({
         "__advance": F.when(F.col("wall_ms") > seen, F.col("__n")),
         "__physical": F.greatest(F.col("wall_ms"), seen),
-    })
+    }))
     rows = prefix_scan(rows, ["site"], order, bucket, {"__start": Running("max", F.col("__advance"))})
     logical = F.when(F.col("__start").isNull(), F.coalesce("__l0", F.lit(0)) + F.col("__n")).otherwise(
         F.col("__n") - F.col("__start") + 1
@@ -282,8 +284,9 @@ def stamp(
     rows: DataFrame, seen: DataFrame, n_sites: int, seed: DataFrame | None = None, width: int = WIDTH
 ) -> DataFrame:
     """Effects to operations.  ``seen`` are the rows visible to the writers."""
-    events = events_of(rows)
-    stamped = stamp_hlc(stamp_lts(events, seen, n_sites, width), seed, width)
+    rows = stable(rows)
+    events = stable(stamp_lts(events_of(rows), seen, n_sites, width))
+    stamped = stamp_hlc(events, seed, width)
     keys = ["id", "site", "intent_seq"]
     return rows.join(stamped.select(*keys, "lts", "pts"), keys).select(
         "id", "key", "type", "data", "site", "lts", "pts", "op",

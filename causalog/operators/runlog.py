@@ -139,7 +139,10 @@ def lag_over_time(log: DataFrame, main_worker: int = 0, bucket: float = 1) -> Da
     reported before for each counter; a bucket without such reads carries the previous
     lag on.
     """
-    state = with_run_state(log).withColumn("workers", F.coalesce("run_workers", F.lit(0)))
+    used = log.where(F.col("message").isin(RUNNING, RUN_STARTED, COMPLETED, READ)).select(
+        "line", "message", "time", "real_time", "worker", "workers", "totalCounters", "counters"
+    )
+    state = stable(with_run_state(used).withColumn("workers", F.coalesce("run_workers", F.lit(0))))
     begin = _first_start(log)
     reads = state.where(F.col("message") == READ)
     main = reads.where(F.col("worker") == main_worker).select(
@@ -169,9 +172,9 @@ def lag_over_time(log: DataFrame, main_worker: int = 0, bucket: float = 1) -> Da
         "workers", _bucketed(_seconds("real_time") - begin, bucket).alias("time"),
         F.lit(0.0).alias("delay"), F.lit(0).alias("reads"), F.lit(1).alias("done"),
     )
-    points = delays.unionByName(completed).groupBy("workers", "time").agg(
+    points = stable(delays.unionByName(completed).groupBy("workers", "time").agg(
         F.sum("delay").alias("delay"), F.sum("reads").alias("reads"), F.sum("done").alias("done")
-    )
+    ))
     carried = prefix_scan(
         points, [], ["workers", "time"],
         F.col("workers") * F.lit(2**32) + F.floor(F.col("time") / SECONDS_PER_BUCKET),
