@@ -146,7 +146,7 @@ _P95 = """CASE WHEN n <= 1 THEN 'NaN'::DOUBLE ELSE a[CAST(floor(r) AS BIGINT) +
 WITH o AS (SELECT user_id % 3 AS run, user_id % 8 AS worker, event_type AS name, value AS rt, value < 5 AS ab FROM events
   UNION ALL SELECT user_id % 3, user_id % 8, 'total', value, value < 5 FROM events),
 w AS (SELECT run, worker, name, count(*) FILTER (NOT ab) AS ct, sum(rt) FILTER (NOT ab) AS s, count(*) FILTER (ab) AS ac,
-  count(*) FILTER (NOT ab) / (50.0 + worker) AS tps FROM o GROUP BY ALL),
+  count(*) FILTER (NOT ab) / (50.0 + worker) AS tps FROM o GROUP BY run, worker, name),
 per_run AS (SELECT run, name, sum(ct) AS ct, sum(s) AS s, sum(ac) AS ac, sum(tps) AS tps FROM w GROUP BY ALL),
 q AS (SELECT run, name, list(rt ORDER BY rt) AS a, count(*) AS n, greatest(CAST(0.95 AS DOUBLE) * count(*) - 1, 0) AS r FROM o WHERE NOT ab GROUP BY ALL)
 SELECT name, round(avg(s / ct), 6) AS rt, round(avg(tps), 6) AS tps, round(avg(ct), 6) AS ct, round(avg(ac / (ac + ct)), 6) AS ar, round(avg({_P95}), 6) AS rt_p95
