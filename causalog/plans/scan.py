@@ -60,7 +60,7 @@ def prefix_scan(
 ) -> DataFrame:
     """Add running aggregates over (group, ordered by order).
 
-    ``bucket`` must be a deterministic non-NULL long expression that never decreases
+    Group columns must not be NULL, and ``bucket`` must be a deterministic non-NULL long expression that never decreases
     along ``order``.  ``reverse`` scans from the end.  With ``levels`` above one the
     bucket totals are scanned the same way, so even a group of very many (sparse)
     buckets is not gathered in one task.
@@ -100,25 +100,18 @@ def prefix_scan(
         })
     offsets = offsets.select(*keys, *[f"__o_{name}" for name in running])
 
-    joined = local.alias("a").join(
-        offsets.alias("b"),
-        on=[F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys],
-        how="left",
-    )
-    kept = [F.col(f"a.{c}") for c in df.columns if c not in running]
+    # Same keys as the window above: the rows are not shuffled again for this join.
+    joined = local.join(offsets, keys, "left")
+    kept = [F.col(c) for c in df.columns if c not in running]
     return joined.select(
         *kept,
-        *[
-            _combine(spec.kind, F.col(f"b.__o_{name}"), F.col(f"a.__l_{name}")).alias(name)
-            for name, spec in running.items()
-        ],
+        *[_combine(spec.kind, F.col(f"__o_{name}"), F.col(f"__l_{name}")).alias(name) for name, spec in running.items()],
     )
 
 
 def row_numbers(df: DataFrame, group: list[str], order: list[str], bucket: Column, name: str, levels: int = 1) -> DataFrame:
     """1-based position of each row in its group, without one window per group."""
-    out = prefix_scan(df, group, order, bucket, {name: Running("sum", F.lit(1).cast("long"))}, levels=levels)
-    return out
+    return prefix_scan(df, group, order, bucket, {name: Running("sum", F.lit(1).cast("long"))}, levels=levels)
 
 
 def sorted_buckets(df: DataFrame, order: list[str], name: str = "__range") -> DataFrame:
