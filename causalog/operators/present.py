@@ -123,27 +123,49 @@ def _exact_frontier(ops: DataFrame, n_sites: int, keys, site: str, lts: str) ->
     judged = stable(judged.drop("__pivots"))
 
     # On a causal log nothing is left to decide.
-    suspects = judged.where("__suspect").select(*keys, lts)
+    suspects = judged.where("__suspect")
     if suspects.isEmpty():
         return judged.select(*columns)
-    lost = _dominated_clocks(suspects.distinct(), n_sites, keys, lts)
-    return judged.join(lost, [*keys, lts], "left_anti").select(*columns)
+    maximal = _clock_frontier(suspects.select(*keys, lts).distinct(), n_sites, keys, lts)
+    kept = suspects.join(maximal, [*keys, lts], "left_semi")
+    return judged.where("not __suspect").unionByName(kept).select(*columns)
+
+
+def _clock_frontier(clocks: DataFrame, n_sites: int, keys: list[str], lts: str) -> DataFrame:
+    """Distinct clocks no other clock of the same element strictly dominates.
+
+    Elements are cut into hash blocks of bounded size and each block drops what it can
+    by itself; this repeats with new blocks while it at least halves the rest.  An
+    element that fits one block is then done; the others compare across blocks.
+    """
+    clocks = stable(clocks)
+    turn, size = 0, clocks.count()
+    while True:
+        blocked = _in_blocks(clocks, keys, lts, turn)
+        members = blocked.groupBy(*keys, "__block").agg(
+            F.collect_list(lts).alias("__m"), F.max(F.col("__blocks") > 1).alias("__split")
+        )
+        alive = F.filter("__m", lambda x: ~F.exists("__m", lambda y: vc_lt(x, y, n_sites)))
+        left = stable(members.select(*keys, "__split", F.explode(alive).alias(lts)))
+        clocks, turn, before, size = left.drop("__split"), turn + 1, size, left.count()
+        if left.where("__split").isEmpty():
+            return clocks
+        if size * 2 > before:
+            return clocks.join(_dominated_clocks(clocks, n_sites, keys, lts), [*keys, lts], "left_anti")
+
+
+def _in_blocks(clocks: DataFrame, keys: list[str], lts: str, turn: int) -> DataFrame:
+    counts = clocks.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).alias("__blocks"))
+    return clocks.join(counts, keys).withColumn("__block", F.pmod(F.xxhash64(lts, F.lit(turn)), F.col("__blocks")))
 
 
 def _dominated_clocks(clocks: DataFrame, n_sites: int, keys: list[str], lts: str) -> DataFrame:
-    """Distinct clocks that some other clock of the same element strictly dominates.
+    """Clocks that some other clock of the same element strictly dominates.
 
-    Each element is cut into hash blocks of bounded size.  A clock visits only blocks
-    whose pointwise maximum is not below it, and is compared inside the block; no
-    block, and no pair list, grows with the element.
+    A clock visits only blocks whose pointwise maximum is not below it, and is compared
+    inside the block.
     """
-    counts = clocks.groupBy(*keys).agg(F.count("*").alias("__n"))
-    blocks_needed = F.ceil(F.col("__n") / F.lit(BLOCK_ROWS))
-    blocked = stable(
-        clocks.join(counts, keys)
-        .withColumn("__block", F.pmod(F.xxhash64(lts), blocks_needed))
-        .select(*keys, lts, "__block")
-    )
+    blocked = stable(_in_blocks(clocks, keys, lts, -1).drop("__blocks"))
     blocks = blocked.groupBy(*keys, "__block").agg(
         F.collect_list(lts).alias("__members"),
         F.array(*[F.max(coord(lts, s)) for s in range(1, n_sites + 1)]).alias("__high"),

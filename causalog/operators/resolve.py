@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from causalog.functions.ordering import asc, newest_first
+from causalog.plans.scan import row_numbers, sorted_buckets
 
 
 def _typed(present: DataFrame, kind: str) -> DataFrame:
@@ -172,6 +173,20 @@ def list_tuple(present: DataFrame) -> DataFrame:
     )
 
 
+def pages(rows: DataFrame, order: str, page_rows: int) -> DataFrame:
+    """The collection of each structure in pages: (id, page, data).
+
+    A tuple view holds a whole structure in one row.  For structures too large for that,
+    give the row form of a view here: pages hold at most ``page_rows`` elements each, in
+    order, and one structure's pages are built by many tasks.
+    """
+    ranged = sorted_buckets(rows, ["id", order])
+    numbered = row_numbers(ranged, ["id"], [order], F.col("__range"), "__n")
+    page = F.floor((F.col("__n") - 1) / page_rows).alias("page")
+    held = F.array_sort(F.collect_list(F.struct("__n", "data")))
+    return numbered.groupBy("id", page).agg(F.transform(held, lambda x: x["data"]).alias("data"))
+
+
 # any typed operation table
 
 RULES = ("aw", "rw", "lww")

@@ -193,6 +193,14 @@ def dedup_ops(spark, sf_dir):
     return flat(P.dedup_ops(ops.unionByName(later).unionByName(ops)).where("hops = 0").select("id", "key", "site", "lts", "op", "seq"))
 
 
+@query("list_pages", with_present("l", """
+SELECT id, page, CAST(to_json(list(data ORDER BY pos)) AS VARCHAR) AS data FROM (
+  SELECT id, data, key AS pos, (row_number() OVER (PARTITION BY id ORDER BY key) - 1) // 10 AS page FROM cur WHERE op <> 'r')
+GROUP BY id, page"""))
+def list_pages(spark, sf_dir):
+    return flat(R.pages(R.list_unsorted(current(spark, sf_dir, "l")), "pos", 10))
+
+
 # typed tables
 _CART = """cart AS (
   SELECT o_custkey AS cart_id, l_partkey AS product_id, CAST(l_quantity AS INTEGER) AS quantity,
