@@ -120,18 +120,25 @@ def stamp_lts(spark, sf_dir):
 _SEED = "seed AS (SELECT site, max(pt) AS p0, CAST(7 AS INTEGER) AS l0 FROM ops_ev WHERE event_id <= " + _HALF + " GROUP BY site)"
 
 
+_HLC = """held AS (
+  SELECT i.site, seq, p0, l0, greatest(p0, max(wall_ms) OVER w) AS physical, row_number() OVER w AS pos,
+    wall_ms > greatest(p0, coalesce(max(wall_ms) OVER (PARTITION BY i.site ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS advance
+  FROM ints i JOIN seed s ON i.site = s.site WINDOW w AS (PARTITION BY i.site ORDER BY seq)),
+runs AS (SELECT *, max(CASE WHEN advance THEN pos END) OVER (PARTITION BY site ORDER BY seq) AS start FROM held)"""
+
+
 @query("stamp_hlc", with_log("r", """
-SELECT i.site, i.seq, greatest(s.p0, max(wall_ms) OVER w) AS physical_time, CAST(0 AS BIGINT) AS held
-FROM ints i JOIN seed s ON i.site = s.site WINDOW w AS (PARTITION BY i.site ORDER BY seq)""", more=f"{_LOCAL}, {_ints('r')}, {_SEED}"))
+SELECT site, seq, physical AS physical_time, CASE WHEN start IS NULL THEN l0 + pos ELSE pos - start + 1 END AS logical_time FROM runs""",
+    more=f"{_LOCAL}, {_ints('r')}, {_SEED}, {_HLC}"))
 def stamp_hlc(spark, sf_dir):
-    """Also checks that the logical part counts every step the physical part stands still."""
+    """Clocks that go on from what each site had seen before the batch."""
     ev = table(spark, sf_dir, "events")
     top = ev.agg(F.floor(F.max("event_id") / 2)).scalar()
     seed = ev.where(F.col("event_id") <= top).groupBy((1 + F.col("event_id") % N_SITES).cast("int").alias("site")).agg(
         F.max(epoch_ms("ts")).alias("physical_time"), F.lit(7).alias("logical_time")
     )
     got = W.stamp_hlc(W.events_of(intents(spark, sf_dir, "r")), seed)
-    return got.select("site", F.col("intent_seq").alias("seq"), "pts.physical_time", F.lit(0).cast("long").alias("held"))
+    return got.select("site", F.col("intent_seq").alias("seq"), "pts.physical_time", "pts.logical_time")
 
 
 @query("merge_intents", with_log("c", """
