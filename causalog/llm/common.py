@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from causalog.session import ensure_checkpoint_dir, stable
 
-__all__ = ["CHUNK_BYTES", "WORD", "chunks", "column", "letters_lower", "shared_folder", "sized_broadcast", "stable", "table", "text_bytes"]
+__all__ = ["CHUNK_BYTES", "WORD", "chunks", "column", "letters_lower", "lists", "shared_folder", "sized_broadcast", "stable", "table", "text_bytes"]
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -55,6 +55,13 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
+def lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    """An Arrow list column of numpy rows."""
+    ends = np.cumsum([0, *map(len, rows)])
+    flat = np.concatenate(rows) if rows else np.zeros(0)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(kind.to_pandas_dtype()), kind))
+
+
 def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES):
     """Row ranges of about ``limit`` bytes each; a longer text is a range by itself."""
     start, n = 0, len(offsets) - 1

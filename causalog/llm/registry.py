@@ -9,11 +9,16 @@ from pyspark.sql import functions as F
 from causalog.llm.common import table
 from causalog.llm.decontaminate import decontaminate
 from causalog.llm.exact_dedup import exact_dedup
+from causalog.llm import langid, toxicity
 from causalog.llm.mixing import mix
 from causalog.llm.sharding import hilbert_shards
 from causalog.llm.simhash import near_duplicates
 
 
+def _remainder(docs, parts):
+    return F.crc32(docs["doc_id"].cast("string")) % parts
+
+
 def op3_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -45,5 +50,22 @@ def op10_decontamination(spark, sf_dir):
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-SPARK = {f.__name__: f for f in (op3_simhash, op4_mixing, op5_exact_dedup, op6_sharding, op10_decontamination)}
+def op1_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(_remainder(docs, 3) == 1, F.lit(False))
+    model = toxicity.character_model(docs)
+    labelled = docs.where(~held_out).join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
+    weights, bias = toxicity.train(labelled, model)
+    scored = toxicity.score(docs.withColumn("held_out", held_out), model, weights, bias, ["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+def op7_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(_remainder(docs, 4) == 2, F.lit(False))
+    model = langid.train(docs.where(~held_out))
+    return langid.predict(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"])
+
+
+SPARK = {f.__name__: f for f in (op1_toxicity, op3_simhash, op4_mixing, op5_exact_dedup, op6_sharding, op7_language, op10_decontamination)}
 SQL = {}
