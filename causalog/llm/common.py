@@ -1,5 +1,7 @@
 """Helpers shared by the document operators."""
 
+from uuid import uuid4
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 from causalog.session import ensure_checkpoint_dir, stable
 
-__all__ = ["CHUNK_BYTES", "WORD", "chunks", "column", "letters_lower", "lists", "shared_folder", "sized_broadcast", "stable", "table", "text_bytes"]
+__all__ = ["CHUNK_BYTES", "WORD", "chunks", "column", "letters_lower", "lists", "shared_folder", "sized_broadcast", "stable", "table", "text_bytes", "written"]
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -72,6 +74,13 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES):
         start = end
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet to the shared folder; for rows that carry texts, as it is compressed."""
+    path = f"{shared_folder(df.sparkSession)}/written-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir`` that driver and executors share."""
     ensure_checkpoint_dir(spark)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from causalog.llm.common import table
 from causalog.llm.decontaminate import decontaminate
 from causalog.llm.exact_dedup import exact_dedup
-from causalog.llm import langid, toxicity
+from causalog.llm import langid, quality, toxicity
 from causalog.llm.mixing import mix
 from causalog.llm.sharding import hilbert_shards
 from causalog.llm.simhash import near_duplicates
@@ -43,6 +43,12 @@ def op6_sharding(spark, sf_dir):
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.with_quality(docs, quality.train(docs), score_col="score")
+    return scored.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_decontamination(spark, sf_dir):
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(
@@ -67,5 +73,5 @@ def op7_language(spark, sf_dir):
     return langid.predict(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"])
 
 
-SPARK = {f.__name__: f for f in (op1_toxicity, op3_simhash, op4_mixing, op5_exact_dedup, op6_sharding, op7_language, op10_decontamination)}
+SPARK = {f.__name__: f for f in (op1_toxicity, op3_simhash, op4_mixing, op5_exact_dedup, op6_sharding, op7_language, op8_quality, op10_decontamination)}
 SQL = {}

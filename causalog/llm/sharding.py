@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from causalog.llm.common import column, stable
+from causalog.llm.common import column, written
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -63,7 +63,7 @@ def hilbert_shards(
     Rows of one cell are ordered by ``ties``.  Nulls take the lowest cell of their
     dimension; equal rows may stand in any order; an empty table gives an empty result.
     The sort is a range partition over (curve, ties), so a cell with very many rows is
-    cut over several tasks; its order is fixed once, in the checkpoint.
+    cut over several tasks; its order is fixed once, by writing the sorted rows.
     """
     spark = docs.sparkSession
     kept = docs.columns if payload is None else payload
@@ -94,7 +94,7 @@ def hilbert_shards(
     keys = ["curve", *[f"t{i}" for i in range(len(ties))]]
     placed = base.withColumn("curve", curve(F.struct(*[cell(i).alias(f"c{i}") for i in range(len(dims))])))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = stable(
+    ordered = written(
         placed.select("curve", *[c for c in base.columns if c[0] != "d"])
         .repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
         .withColumn("at", F.monotonically_increasing_id())

@@ -1,7 +1,9 @@
 """The corpus pipeline: quality, near-duplicates, decontamination, mixing, sharding.
 
-Every stage takes (spark, docs, sf_dir) and works on all its predecessor kept; ``run``
-writes each stage's rows as Parquet to the shared folder and reads them again.
+Every stage takes (spark, docs, sf_dir), works on all its predecessor kept and, but for
+the last, returns the columns it got.  ``run`` writes each stage's rows as Parquet to
+the shared folder and reads them again.  Documents are known by ``doc_id``; null counts
+as an id like any other.
 """
 
 from uuid import uuid4
@@ -9,25 +11,76 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causalog.llm.common import shared_folder, table
+from causalog.llm import quality
+from causalog.llm.common import shared_folder, sized_broadcast, stable, table
 from causalog.llm.decontaminate import decontaminate
 from causalog.llm.mixing import mix
-from causalog.llm.registry import with_shape
 from causalog.llm.sharding import hilbert_shards
 from causalog.llm.simhash import near_duplicates
 
+#: Rejected from here down: the linear model takes the text for bad.
+LEAST_QUALITY = 0.5
 
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a word inside a benchmark window."""
+
+def matched(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """``docs`` joined by doc_id with ``found``, whose id column is called _id."""
+    return docs.join(sized_broadcast(stable(found)), F.col("doc_id").eqNullSafe(F.col("_id")), how)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the quality model does not reject; texts too short to judge stay."""
+    scored = quality.with_quality(docs, quality.train(docs), score_col="_quality")
+    return scored.where(F.col("_quality") >= LEAST_QUALITY).select(*docs.columns)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of every group of near-duplicates.
+
+    Rows that repeat both id and text count as one document.
+    """
+    found = near_duplicates(docs)
+    first = stable(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")))
+    ids = first.distinct()
+    rest = matched(docs, ids, "left_semi")
+    repeats = first.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return rest if repeats.isEmpty() else rest.dropDuplicates(["doc_id", "text"])
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a word inside a benchmark window.
+
+    Of rows that repeat an id, all go if one is contaminated.
+    """
     found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return kept(docs, found.where(~F.col("contaminated")))
+    return matched(docs, found.where("contaminated").select(F.col("doc_id").alias("_id")), "left_anti")
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it, to the nearest whole number of times.
+
+    Repeated rows of an id share their takings.  Documents without words are not taken.
+    """
+    taken = mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
+    times = taken.select("_id", F.expr("CAST(floor(_taken / _size + 0.5) AS INT)").alias("_times")).where("_times > 0")
+    copies = matched(docs, times, "inner")
+    return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+
 
+def hilbert_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows with their shard and their slot in it, in Hilbert order of size, language and source."""
+    shaped = docs.withColumns({"_size": F.octet_length(F.coalesce("text", F.lit(""))), "_sum": F.crc32(F.coalesce("text", F.lit("")))})
+    return hilbert_shards(shaped, ["_size", "lang", "source"], 8, ties=[shaped["_sum"], shaped["doc_id"]], payload=docs.columns)
 
-def kept(docs: DataFrame, good: DataFrame) -> DataFrame:
-    return docs.join(good.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("source_mixing", source_mixing),
+    ("hilbert_sharding", hilbert_sharding),
+]
 
-STAGES = []
+#: The model and the fingerprints are beyond SQL; tests/llm holds each stage against brute force.
 ORACLE_SQL = None
 
 
