@@ -8,8 +8,17 @@ _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _SHIFT = np.uint64(32)
 
 
+def mix(h: np.ndarray) -> np.ndarray:
+    """Spread the bits of 64-bit numbers."""
+    h = h ^ (h >> _SHIFT)
+    h = h * _MIX
+    h = h ^ (h >> _SHIFT)
+    h = h * _MIX
+    return h ^ (h >> _SHIFT)
+
+
 class SpanHash:
-    """Hashes of any spans of a byte buffer in constant time each.
+    """Hashes of any spans of a byte or code point buffer in constant time each.
 
     A polynomial in an odd base modulo 2^64: the difference of two prefix sums, brought
     back to position 0 by the inverse power, then mixed.
@@ -26,12 +35,12 @@ class SpanHash:
         self.back = down
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
-        h = (self.sums[ends] - self.sums[starts]) * self.back[starts] + np.uint64(salt)
-        h ^= h >> _SHIFT
-        h *= _MIX
-        h ^= h >> _SHIFT
-        h *= _MIX
-        return h ^ (h >> _SHIFT)
+        return mix((self.sums[ends] - self.sums[starts]) * self.back[starts] + np.uint64(salt))
+
+    def without(self, start: int, end: int, at: np.ndarray, salt: int = 0) -> np.ndarray:
+        """Hashes of one span with a single element left out, for each place in ``at``."""
+        kept = (self.sums[at] - self.sums[start]) + (self.sums[end] - self.sums[at + 1]) * np.uint64(_INVERSE)
+        return mix(kept * self.back[start] + np.uint64(salt))
 
 
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

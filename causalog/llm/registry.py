@@ -10,6 +10,7 @@ from causalog.llm.common import table
 from causalog.llm.decontaminate import decontaminate
 from causalog.llm.exact_dedup import exact_dedup
 from causalog.llm import langid, quality, toxicity
+from causalog.llm.line_dedup import dedup_lines
 from causalog.llm.mixing import mix
 from causalog.llm.sharding import hilbert_shards
 from causalog.llm.simhash import near_duplicates
@@ -49,6 +50,13 @@ def op8_quality(spark, sf_dir):
     return scored.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_line_dedup(spark, sf_dir):
+    out = dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("kept").cast("long").alias("n_kept"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op10_decontamination(spark, sf_dir):
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(
@@ -73,5 +81,5 @@ def op7_language(spark, sf_dir):
     return langid.predict(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"])
 
 
-SPARK = {f.__name__: f for f in (op1_toxicity, op3_simhash, op4_mixing, op5_exact_dedup, op6_sharding, op7_language, op8_quality, op10_decontamination)}
+SPARK = {f.__name__: f for f in (op1_toxicity, op3_simhash, op4_mixing, op5_exact_dedup, op6_sharding, op7_language, op8_quality, op9_line_dedup, op10_decontamination)}
 SQL = {}
