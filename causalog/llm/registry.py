@@ -14,12 +14,51 @@ from causalog.llm.line_dedup import dedup_lines
 from causalog.llm.mixing import mix
 from causalog.llm.sharding import hilbert_shards
 from causalog.llm.simhash import near_duplicates
+from causalog.llm.warc import resolve_revisits
 
 
 def _remainder(docs, parts):
     return F.crc32(docs["doc_id"].cast("string")) % parts
 
 
+def page_records(pages):
+    """Archive records as a crawl of ``pages`` makes them: every page's response, a
+    conditional request ten seconds later and another after the crawl.
+
+    The server confirms with the page's own ETag; every seventh page has none and is
+    confirmed by date, every fifth has changed in between.
+    """
+    tag = F.concat(F.lit('"'), F.md5("html"), F.lit('"'))
+    has_tag, crlf = F.col("page_id") % 7 != 0, "\r\n"
+    changed = F.when(F.col("page_id") % 5 == 0, F.lit("x")).otherwise("")
+    modified = F.concat(F.lit("day "), (F.col("page_id") % 1000).cast("string"))
+
+    def block(status, *fields):
+        return F.concat_ws(crlf, F.lit(f"HTTP/1.1 {status}"), *fields)
+
+    def field(name, value):
+        return F.concat(F.lit(name + ": "), value)
+
+    response = block(
+        "200 OK", field("Content-Type", F.lit("text/html")), field("Content-Length", F.octet_length("html").cast("string")),
+        F.when(has_tag, field("ETag", tag)), field("Last-Modified", modified), field("Cache-Control", F.lit("max-age=60")))
+    confirmed = block(
+        "304 Not Modified", F.when(has_tag, field("etag", F.concat(F.lit("W/"), changed, tag))),
+        field("Last-Modified", F.concat(changed, modified)), field("Cache-Control", F.lit("max-age=600")), field("Content-Length", F.lit("0")))
+    kinds = F.array(*[
+        F.struct(F.lit(k).alias("k"), F.lit(kind).alias("type"), F.lit(delay).alias("delay"), http.alias("http"))
+        for k, kind, delay, http in ((0, "response", 0, response), (1, "revisit", 10, confirmed), (2, "revisit", 10**9, confirmed))])
+    return pages.where("html is not null").select("page_id", "url", F.explode(kinds).alias("r")).select(
+        (F.col("page_id") * 3 + F.col("r.k")).alias("record_id"), F.col("r.type").alias("type"), "url",
+        F.timestamp_seconds(F.col("page_id") * 60 + F.col("r.delay")).alias("date"), F.col("r.http").alias("http"))
+
+
+def op2_warc_revisits(spark, sf_dir):
+    out = resolve_revisits(page_records(table(spark, sf_dir, "pages")))
+    lines = F.array_join(F.transform("headers", lambda x: F.concat(x["name"], F.lit(": "), x["value"])), "\n")
+    return out.select("record_id", "url_key", "matched_id", "verdict", F.size("headers").cast("long").alias("n_headers"), F.md5(lines).alias("headers_md5"))
+
+
 def op3_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -81,5 +120,5 @@ def op7_language(spark, sf_dir):
     return langid.predict(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"])
 
 
-SPARK = {f.__name__: f for f in (op1_toxicity, op3_simhash, op4_mixing, op5_exact_dedup, op6_sharding, op7_language, op8_quality, op9_line_dedup, op10_decontamination)}
+SPARK = {f.__name__: f for f in (op1_toxicity, op2_warc_revisits, op3_simhash, op4_mixing, op5_exact_dedup, op6_sharding, op7_language, op8_quality, op9_line_dedup, op10_decontamination)}
 SQL = {}
