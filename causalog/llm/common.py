@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from causalog.session import ensure_checkpoint_dir, stable
 
-__all__ = ["CHUNK_BYTES", "WORD", "chunks", "column", "letters_lower", "lists", "shared_folder", "sized_broadcast", "stable", "table", "text_bytes", "written"]
+__all__ = ["CHUNK_BYTES", "WORD", "chunks", "column", "fresh", "letters_lower", "lists", "shared_folder", "sized_broadcast", "stable", "table", "text_bytes", "written"]
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,6 +31,14 @@ def column(df: DataFrame, name: str) -> Column:
     return df["`" + name.replace("`", "``") + "`"]
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def sized_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``limit`` rows; else as it is.
 
@@ -51,6 +59,8 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts of a batch and the n + 1 offsets of the texts; null as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     texts = texts.fill_null("").cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
     data = texts.buffers()[2]

@@ -105,6 +105,8 @@ def _lines(least: int):
 
 def _variants(batches):
     for batch in batches:
+        if not batch.num_rows:
+            continue
         firsts, keys = [], []
         texts, parts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
         for i, (text, own) in enumerate(zip(texts, parts)):

@@ -84,7 +84,7 @@ def op6_sharding(spark, sf_dir):
 
 
 def op8_quality(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.with_quality(docs, quality.train(docs), score_col="score")
     return scored.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -104,7 +104,7 @@ def op10_decontamination(spark, sf_dir):
 
 
 def op1_toxicity(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(_remainder(docs, 3) == 1, F.lit(False))
     model = toxicity.character_model(docs)
     labelled = docs.where(~held_out).join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
@@ -114,7 +114,7 @@ def op1_toxicity(spark, sf_dir):
 
 
 def op7_language(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(_remainder(docs, 4) == 2, F.lit(False))
     model = langid.train(docs.where(~held_out))
     return langid.predict(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"])

@@ -57,7 +57,7 @@ def hilbert_shards(
     docs: DataFrame, dims: list[str], n_shards: int = 8, bits: int = 5, ties: list[Column] | None = None,
     payload: list[str] | None = None, accuracy: int = 10_000,
 ) -> DataFrame:
-    """``payload`` columns (all by default) with curve, shard and slot.
+    """``payload`` columns (all by default) with curve, shard and slot, which replace columns so called.
 
     Shard row counts differ by at most one; ``slot`` counts from 0 within a shard.
     Rows of one cell are ordered by ``ties``.  Nulls take the lowest cell of their
@@ -66,7 +66,7 @@ def hilbert_shards(
     cut over several tasks; its order is fixed once, by writing the sorted rows.
     """
     spark = docs.sparkSession
-    kept = docs.columns if payload is None else payload
+    kept = [c for c in (docs.columns if payload is None else payload) if c.lower() not in ("curve", "shard", "slot")]
     ties = ties or []
     base = docs.select(
         *[column(docs, c).alias(f"p{i}") for i, c in enumerate(kept)],

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causalog.llm import quality
-from causalog.llm.common import shared_folder, sized_broadcast, stable, table
+from causalog.llm.common import fresh, shared_folder, sized_broadcast, stable, table
 from causalog.llm.decontaminate import decontaminate
 from causalog.llm.mixing import mix
 from causalog.llm.sharding import hilbert_shards
@@ -23,14 +23,16 @@ LEAST_QUALITY = 0.5
 
 
 def matched(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    """``docs`` joined by doc_id with ``found``, whose id column is called _id."""
-    return docs.join(sized_broadcast(stable(found)), F.col("doc_id").eqNullSafe(F.col("_id")), how)
+    """``docs`` joined by doc_id with the first column of ``found``."""
+    found = stable(found)
+    return docs.join(sized_broadcast(found), docs["doc_id"].eqNullSafe(found[found.columns[0]]), how)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the quality model does not reject; texts too short to judge stay."""
-    scored = quality.with_quality(docs, quality.train(docs), score_col="_quality")
-    return scored.where(F.col("_quality") >= LEAST_QUALITY).select(*docs.columns)
+    score = fresh(docs, "_quality")
+    scored = quality.with_quality(docs, quality.train(docs), score_col=score)
+    return scored.where(F.col(score) >= LEAST_QUALITY).drop(score)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,11 +41,10 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Rows that repeat both id and text count as one document.
     """
     found = near_duplicates(docs)
-    first = stable(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")))
-    ids = first.distinct()
-    rest = matched(docs, ids, "left_semi")
-    repeats = first.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return rest if repeats.isEmpty() else rest.dropDuplicates(["doc_id", "text"])
+    first = stable(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
+    rest = matched(docs, first.distinct(), "left_semi")
+    repeated = first.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return rest if repeated.isEmpty() else rest.dropDuplicates(["doc_id", "text"])
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +53,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     Of rows that repeat an id, all go if one is contaminated.
     """
     found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return matched(docs, found.where("contaminated").select(F.col("doc_id").alias("_id")), "left_anti")
+    return matched(docs, found.where("contaminated").select("doc_id"), "left_anti")
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,16 +61,18 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Repeated rows of an id share their takings.  Documents without words are not taken.
     """
-    taken = mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
-    times = taken.select("_id", F.expr("CAST(floor(_taken / _size + 0.5) AS INT)").alias("_times")).where("_times > 0")
-    copies = matched(docs, times, "inner")
-    return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    own, times = fresh(docs, "_doc"), fresh(docs, "_times")
+    taken = mix(docs).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size")).where("size > 0")
+    counted = taken.select(F.col("doc_id").alias(own), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias(times))
+    copies = matched(docs, counted.where(F.col(times) > 0), "inner").drop(own)
+    return copies.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(times)
 
 
 def hilbert_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows with their shard and their slot in it, in Hilbert order of size, language and source."""
-    shaped = docs.withColumns({"_size": F.octet_length(F.coalesce("text", F.lit(""))), "_sum": F.crc32(F.coalesce("text", F.lit("")))})
-    return hilbert_shards(shaped, ["_size", "lang", "source"], 8, ties=[shaped["_sum"], shaped["doc_id"]], payload=docs.columns)
+    size, text = fresh(docs, "_size"), F.coalesce("text", F.lit(""))
+    shaped = docs.withColumn(size, F.octet_length(text))
+    return hilbert_shards(shaped, [size, "lang", "source"], 8, ties=[F.crc32(text), F.col("doc_id")], payload=docs.columns)
 
 
 STAGES = [
