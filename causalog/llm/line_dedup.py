@@ -12,6 +12,7 @@ are within one edit of each other and only the earliest need be looked at: the w
 linear, however many lines share a key.
 """
 
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -42,24 +43,30 @@ def part_keys(hashed: SpanHash, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return np.stack(out, 1).astype(np.int64)
 
 
-def one_edit_keys(points: np.ndarray, parts: list[int]) -> np.ndarray:
-    """Keys of a line's one-character variants in the given parts (columns of ``part_keys``).
+#: What a variant is of its line: the line itself, the line without a character, or the
+#: line without the character of a given place.
+WHOLE, SHORTER, CHANGED = 0, 1, 2
 
-    Equal keys mean: same length and different at most at the same place, or one line is
-    the other without one character.
+
+def one_edit_keys(points: np.ndarray, parts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and kinds of a line's one-character variants in the given parts (columns of ``part_keys``).
+
+    Lines with a CHANGED key in common differ at most at one place.  A line's WHOLE key
+    is a SHORTER key of the lines that have one character more.
     """
     hashed, n = SpanHash(points), len(points)
-    keys = []
+    keys = {WHOLE: [], SHORTER: [], CHANGED: []}
     for part in parts:
         longer, j = divmod(part, PARTS)
         m = n - longer
         at = np.arange(m * j // PARTS, min(n, m * (j + 1) // PARTS + longer))
         if longer:
-            keys.append(hashed.without(0, n, at, 1))
+            keys[SHORTER].append(hashed.without(0, n, at, 1))
         else:
-            keys.append(mix(hashed.without(0, n, at, 2) + at.astype(np.uint64)))
-            keys.append(hashed(np.array([0]), np.array([n]), 1))
-    return np.unique(np.concatenate(keys)).astype(np.int64)
+            keys[CHANGED].append(mix(hashed.without(0, n, at, 2) + at.astype(np.uint64)))
+            keys[WHOLE] = [hashed(np.array([0]), np.array([n]), 1)]
+    found = [np.unique(np.concatenate(k)) if k else np.zeros(0, np.uint64) for k in keys.values()]
+    return np.concatenate(found).astype(np.int64), np.repeat(np.array(list(keys), np.int8), [len(k) for k in found])
 
 
 def within_one_edit(a: str, b: str) -> bool:
@@ -107,14 +114,16 @@ def _variants(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        firsts, keys = [], []
+        firsts, keys, kinds = [], [], []
         texts, parts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
         for i, (text, own) in enumerate(zip(texts, parts)):
-            k = one_edit_keys(np.frombuffer(text.encode("utf-32-le"), np.uint32), own)
-            keys.append(k)
-            firsts.append(np.full(len(k), i))
+            key, kind = one_edit_keys(np.frombuffer(text.encode("utf-32-le"), np.uint32), own)
+            keys.append(key)
+            kinds.append(kind)
+            firsts.append(np.full(len(key), i))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(keys)), batch.column(0).take(pa.array(np.concatenate(firsts)))], ["key", "first"])
+            [pa.array(np.concatenate(keys)), pa.array(np.concatenate(kinds)), batch.column(0).take(pa.array(np.concatenate(firsts)))],
+            ["key", "kind", "first"])
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 20) -> DataFrame:
@@ -151,11 +160,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     found = written(found.dropDuplicates(["first"]))
 
-    # The earliest line of every key; the lines of a key are all within one edit.
+    # Of every key the earliest line that is within one edit of a row of the given kind.
     of_first = f"struct<last:boolean,id:{kind},th:bigint,no:int>"
-    variants = found.mapInArrow(_variants, f"key long, first {of_first}")
-    earliest = variants.groupBy("key").agg(F.min("first").alias("best"), F.max("first").alias("latest")).where("best < latest").select("key", "best")
-    pairs = variants.join(earliest, "key").where("best < first").select("first", "best").distinct()
+    variants = found.mapInArrow(_variants, f"key long, kind byte, first {of_first}")
+    partner = {WHOLE: SHORTER, SHORTER: WHOLE, CHANGED: CHANGED}
+    earliest = (
+        variants.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.min(F.when(F.col("kind") == k, F.col("first"))).alias(f"best{k}") for k in partner])
+        .where("n > 1").drop("n")
+    )
+    best = reduce(lambda out, k: F.when(F.col("kind") == k, F.col(f"best{partner[k]}")).otherwise(out), partner, F.lit(None))
+    pairs = variants.join(earliest, "key").withColumn("best", best).where("best < first").select("first", "best").distinct()
 
     @F.pandas_udf("boolean")
     def near_enough(a, b):
