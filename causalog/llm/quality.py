@@ -99,7 +99,7 @@ class Measured:
             "signs": self._share(self.signs, self.words),
             "capitals": self._share(self.upper, doc_letters),
             "bare": self._share(self.bare, self.words),
-            "few_words": np.where(self.words <= 300, 1 - distinct / np.maximum(1, self.words), 0.0),
+            "few_words": np.where((self.words > 0) & (self.words <= 300), 1 - distinct / np.maximum(1, self.words), 0.0),
             "few_letters": self._share(self.sign_chars, chars),
             "same_lines": 1 - np.where(n_lines > 0, kinds, 1) / np.maximum(1, n_lines),
         }
@@ -152,14 +152,15 @@ def pattern_votes() -> np.ndarray:
     return np.stack([codes // 3 ** k % 3 for k in reversed(range(len(LABELLERS)))], 1)
 
 
-def expectation_maximisation(counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def expectation_maximisation(counts: np.ndarray, rounds: int = 200, false_alarms: float = 0.01) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of good per pattern, P(good vote | class) as (class, labeller), class shares.
 
     Bad texts come in kinds that few labellers see, so the model has one class of good
     texts (number 0) and as many kinds of bad ones as labellers; votes are independent
     within a class, and no vote says nothing.  Kind j starts from the patterns in which
-    labeller j votes bad.  Good texts are held to get more good votes from every
-    labeller than the average of bad ones.  A pattern without votes gets the share of
+    labeller j votes bad.  A kind that one labeller alone sees looks like that labeller's
+    mistakes; so its bad votes on good texts are held to a share of ``false_alarms``.
+    A pattern without votes gets the share of
     good; without any documents the start is returned.
     """
     votes = pattern_votes()
@@ -174,8 +175,7 @@ def expectation_maximisation(counts: np.ndarray, rounds: int = 200) -> tuple[np.
         yes, no = weight @ yes_votes + 0.5, weight @ no_votes + 0.5
         table = yes / (yes + no)
         shares = (weight.sum(1) + 0.5) / (counts.sum() + 0.5 * len(weight))
-        average = (shares[1:, None] * table[1:]).sum(0) / shares[1:].sum()
-        table[0] = np.maximum(table[0], average)
+        table[0] = np.maximum(table[0], 1 - false_alarms)
         new = softmax(np.log(shares) + yes_votes @ np.log(table).T + no_votes @ np.log(1 - table).T)
         done = np.abs(new - belief).max() < 1e-6
         belief = new

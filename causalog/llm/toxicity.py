@@ -45,9 +45,8 @@ _SEPARATOR = np.isin(np.arange(256), [ord(c) for c in SEPARATORS])
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 _ONE = "[a-z" + re.escape("".join(LEET)) + "]"
-_NOT = "[^" + re.escape(SEPARATORS) + r"\s]"
 #: Three or more single characters, each apart by one separator.
-SPACED = re.compile(f"(?<!{_NOT}){_ONE}(?:[{re.escape(SEPARATORS)}]{_ONE}){{2,}}(?!{_NOT})")
+SPACED = re.compile(rf"(?<!\w){_ONE}(?:[{re.escape(SEPARATORS)}]{_ONE}){{2,}}(?!\w)")
 
 BITS = 18
 
@@ -128,11 +127,13 @@ class Decoder:
         return places
 
     def _decode(self, span: str) -> str:
-        """The likeliest reading; letters spaced out are read with and without their separators."""
-        read = self._best(self._lattice(span), 0.0)
+        """The likeliest reading.  Letters spaced out may be a word, alone or with a
+        one-letter word before or after it, or stand apart as written."""
+        read = [self._best(self._lattice(span), 0.0)]
         if SPACED.fullmatch(span):
-            read = max(read, self._best(self._lattice(span[::2]), SPREAD), key=lambda r: r[0])
-        return read[1]
+            joined = (span[::2], span[:2] + span[2::2], span[:-2:2] + span[-2:])
+            read += [self._best(self._lattice(s), SPREAD) for s in joined]
+        return max(read, key=lambda r: r[0])[1]
 
     def _best(self, lattice: list, start: float) -> tuple[float, str]:
         """Viterbi: states are the last two symbols, non-letters in a row count as one."""
