@@ -3,7 +3,6 @@
 import itertools
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,4 +169,3 @@ def test_quality_edge_cases(spark):
     assert len(got) == 6 and all(0 <= r.quality_score <= 1 for r in got) and len({r.quality_score for r in got if r.text in (None, "")}) == 1
     assert quality.with_quality(docs(spark, []), model).count() == 0
     assert {r.quality_score for r in quality.with_quality(docs(spark, rows), quality.train(docs(spark, []))).collect()} == {0.5}
-    assert pa.array([1]) is not None
