@@ -14,6 +14,7 @@ from causalog.llm.line_dedup import dedup_lines
 from causalog.llm.mixing import mix
 from causalog.llm.sharding import hilbert_shards
 from causalog.llm.simhash import near_duplicates
+from causalog.llm.sql import SQL
 from causalog.llm.warc import resolve_revisits
 
 
@@ -121,4 +122,5 @@ def op7_language(spark, sf_dir):
 
 
 SPARK = {f.__name__: f for f in (op1_toxicity, op2_warc_revisits, op3_simhash, op4_mixing, op5_exact_dedup, op6_sharding, op7_language, op8_quality, op9_line_dedup, op10_decontamination)}
-SQL = {}
+
+__all__ = ["SPARK", "SQL"]
