@@ -84,7 +84,9 @@ def counter_effects(intents: DataFrame, present: DataFrame, width: int = WIDTH)
     )
 
 
-def _list_inserts(intents: DataFrame, ranks: DataFrame, sizes: DataFrame, mode: str, width: int) -> DataFrame:
+def _list_inserts(
+    intents: DataFrame, ranks: DataFrame, sizes: DataFrame, mode: str, width: int, site_digits: int
+) -> DataFrame:
     """Inserts into one gap share it by rank.
 
     Gap g lies before the element at index g.  Inserting again at the same index puts
@@ -106,7 +108,7 @@ def _list_inserts(intents: DataFrame, ranks: DataFrame, sizes: DataFrame, mode:
     after = ranks.select("id", F.col("index").alias("__gap"), F.col("pos").alias("__hi"))
     before = ranks.select("id", (F.col("index") + 1).alias("__gap"), F.col("pos").alias("__lo"))
     rows = rows.join(before, ["id", "__gap"], "left").join(after, ["id", "__gap"], "left")
-    rows = with_gap(rows, "__lo", "__hi", "__n", "site")
+    rows = with_gap(rows, "__lo", "__hi", "__n", "site", site_digits)
     return rows.select(
         "id", position_at("__n", "__rank", mode).alias("key"), F.lit("l").alias("type"),
         F.col("value").alias("data"), F.lit("a").alias("op"), "site", "wall_ms", "intent_seq",
@@ -132,7 +134,7 @@ def _list_targets(intents: DataFrame, sizes: DataFrame, width: int) -> DataFrame
     return pops.select(*columns, taken.alias("index")).unionByName(removes)
 
 
-def list_effects(intents: DataFrame, present: DataFrame, mode: str = "regular", width: int = WIDTH) -> DataFrame:
+def list_effects(intents: DataFrame, present: DataFrame, mode: str = "regular", width: int = WIDTH, site_digits: int = 1) -> DataFrame:
     """Inserts, removes and pops.  Removing an index outside the list does nothing."""
     ranks = list_ranks(present)
     sizes = present.where("type = 'l' and op != 'r'").groupBy("id").agg(F.count("*").alias("__size"))
@@ -141,7 +143,7 @@ def list_effects(intents: DataFrame, present: DataFrame, mode: str = "regular",
         "id", F.col("pos").alias("key"), F.lit("l").alias("type"), F.lit(None).cast("string").alias("data"),
         F.lit("r").alias("op"), "site", "wall_ms", "intent_seq",
     )
-    return _list_inserts(intents, ranks, sizes, mode, width).unionByName(removes)
+    return _list_inserts(intents, ranks, sizes, mode, width, site_digits).unionByName(removes)
 
 
 def list_popped(intents: DataFrame, present: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -210,6 +212,7 @@ def effects(
     kinds: tuple[str, ...] = ("r", "s", "m", "c", "l"),
     mode: str = "regular",
     width: int = WIDTH,
+    site_digits: int = 1,
 ) -> DataFrame:
     """Every operation the batch causes.  Name the structure types it touches in
     ``kinds`` to leave out the branches of the others."""
@@ -220,7 +223,7 @@ def effects(
     if "c" in kinds:
         parts["c"] = counter_effects(intents, present, width)
     if "l" in kinds:
-        parts["l"] = stable(list_effects(intents, present, mode, width))
+        parts["l"] = stable(list_effects(intents, present, mode, width, site_digits))
     out = None
     for part in parts.values():
         out = part if out is None else out.unionByName(part)
@@ -305,26 +308,27 @@ def run_intents(
     width: int = WIDTH,
 ) -> DataFrame:
     """Intents to log rows ready for ``append_ops`` or ``merge_ops``."""
-    return stamp(effects(intents, present, kinds, mode, width), present, n_sites, seed, width)
+    return stamp(effects(intents, present, kinds, mode, width, len(str(n_sites))), present, n_sites, seed, width)
 
 
-def link_integrity(ops: DataFrame, constraints: DataFrame, max_depth: int = 16) -> DataFrame:
+def link_integrity(ops: DataFrame, constraints: DataFrame) -> DataFrame:
     """Intents that keep outer entries alive: each local operation on an inner structure
     also adds that structure to its outer one, at the same site and time.
 
     ``constraints`` is (outer_id, outer_key, inner_id, add_verb).  An added entry can
-    itself touch a constrained structure, so the join repeats up the chain; a chain
-    longer than ``max_depth`` counts as a cycle and is rejected.
+    itself touch a constrained structure, so the join repeats up the chain, however long
+    it is.  Constraints that lead from a structure back to itself are refused.
     """
     links = constraints.select("inner_id", "outer_id", "outer_key", "add_verb")
     edges = links.select("inner_id", "outer_id").distinct()
+    edges = stable(edges)
+    step = edges.select(F.col("inner_id").alias("outer_id"), F.col("outer_id").alias("__up"))
     reach, depth = edges, 0
     while not reach.isEmpty():
         depth += 1
-        if depth > max_depth:
-            raise ValueError(f"constraints form a cycle or a chain longer than {max_depth}")
-        step = edges.select(F.col("inner_id").alias("outer_id"), F.col("outer_id").alias("__up"))
-        reach = reach.join(step, "outer_id").select("inner_id", F.col("__up").alias("outer_id")).distinct()
+        if not reach.where("inner_id = outer_id").isEmpty():
+            raise ValueError("constraints form a cycle")
+        reach = stable(reach.join(step, "outer_id").select("inner_id", F.col("__up").alias("outer_id")).distinct())
 
     level = ops.select("id", "site", F.col("pts.physical_time").alias("wall_ms"), F.col("seq").alias("intent_seq"))
     out = None

@@ -109,7 +109,10 @@ def list_get_at(probes: DataFrame, present: DataFrame) -> DataFrame:
 
 
 def _end(ids: DataFrame, present: DataFrame, pick) -> DataFrame:
-    ends = R.list_unsorted(present).groupBy("id").agg(pick(F.struct("data"), F.col("pos")).alias("__e"))
+    # The order of list_ranks: rows that share a position are told apart by site, newest first.
+    order = F.struct("key", "site", -F.col("pts.physical_time"), -F.col("pts.logical_time"))
+    live = present.where("type = 'l' and op != 'r'")
+    ends = live.groupBy("id").agg(pick(F.struct("data"), order).alias("__e"))
     return _get(ids, ends.select("id", F.col("__e.data").alias("data")))
 
 

@@ -65,6 +65,7 @@ def causal_present(
     ``mode="exact"`` accepts any clocks.  ``prefilter`` first drops rows that reach
     no coordinate maximum; on logs that are not causal this changes the answer.
     """
+    ops = _checked(ops, n_sites, site, lts)
     if prefilter:
         ops = coordinate_max_candidates(ops, n_sites, keys, lts)
     if mode == "causal":
@@ -74,6 +75,21 @@ def causal_present(
     raise ValueError(f"unknown mode {mode!r}; expected 'exact' or 'causal'")
 
 
+def _checked(ops: DataFrame, n_sites: int, site: str, lts: str) -> DataFrame:
+    """Fail on rows of a site, or with a clock, that ``n_sites`` has no room for, rather than lose them."""
+    fits = F.coalesce(F.col(site).between(1, n_sites) & (F.size(lts) <= n_sites), F.lit(False))
+    refuse = F.raise_error(F.lit(f"a row's site or clock does not fit {n_sites} sites"))
+    return ops.withColumn(site, F.when(fits, F.col(site)).otherwise(refuse.cast(ops.schema[site].dataType)))
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys match each other; the keys come from the left."""
+    other = {k: f"__right_{k}" for k in keys}
+    renamed = right.withColumnsRenamed(other)
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(o)) for k, o in other.items()])
+    return left.join(renamed, same, how).drop(*other.values())
+
+
 def _causal_frontier(ops: DataFrame, n_sites: int, keys, site: str, lts: str) -> DataFrame:
     columns = ops.columns
     row = F.struct(*[F.col(c) for c in columns if c not in keys])
@@ -116,7 +132,7 @@ def _exact_frontier(ops: DataFrame, n_sites: int, keys, site: str, lts: str) ->
     pivots = tops.groupBy(*keys).agg(
         F.array_distinct(F.array(*[F.max_by(F.col(lts), s) for s in scores])).alias("__pivots")
     )
-    judged = tops.join(pivots, keys).where(
+    judged = join_null_safe(tops, pivots, keys).where(
         ~F.exists("__pivots", lambda p: vc_lt(F.col(lts), p, n_sites))
     )
     judged = judged.withColumn("__suspect", ~F.exists("__pivots", lambda p: vc_eq(F.col(lts), p, n_sites)))
@@ -127,7 +143,7 @@ def _exact_frontier(ops: DataFrame, n_sites: int, keys, site: str, lts: str) ->
     if suspects.isEmpty():
         return judged.select(*columns)
     maximal = _clock_frontier(suspects.select(*keys, lts).distinct(), n_sites, keys, lts)
-    kept = suspects.join(maximal, [*keys, lts], "left_semi")
+    kept = join_null_safe(suspects, maximal, [*keys, lts], "left_semi")
     return judged.where("not __suspect").unionByName(kept).select(*columns)
 
 
@@ -151,12 +167,12 @@ def _clock_frontier(clocks: DataFrame, n_sites: int, keys: list[str], lts: str)
         if left.where("__split").isEmpty():
             return clocks
         if size * 2 > before:
-            return clocks.join(_dominated_clocks(clocks, n_sites, keys, lts), [*keys, lts], "left_anti")
+            return join_null_safe(clocks, _dominated_clocks(clocks, n_sites, keys, lts), [*keys, lts], "left_anti")
 
 
 def _in_blocks(clocks: DataFrame, keys: list[str], lts: str, turn: int) -> DataFrame:
     counts = clocks.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).alias("__blocks"))
-    return clocks.join(counts, keys).withColumn("__block", F.pmod(F.xxhash64(lts, F.lit(turn)), F.col("__blocks")))
+    return join_null_safe(clocks, counts, keys).withColumn("__block", F.pmod(F.xxhash64(lts, F.lit(turn)), F.col("__blocks")))
 
 
 def _dominated_clocks(clocks: DataFrame, n_sites: int, keys: list[str], lts: str) -> DataFrame:
@@ -172,13 +188,12 @@ def _dominated_clocks(clocks: DataFrame, n_sites: int, keys: list[str], lts: str
     )
     heads = blocks.select(*keys, F.col("__block").alias("__visit"), "__high")
     visits = (
-        blocked.drop("__block")
-        .join(heads, keys)
+        join_null_safe(blocked.drop("__block"), heads, keys)
         .where(vc_lte(lts, "__high", n_sites))
         .select(*keys, lts, F.col("__visit").alias("__block"))
     )
     return (
-        visits.join(blocks.drop("__high"), [*keys, "__block"])
+        join_null_safe(visits, blocks.drop("__high"), [*keys, "__block"])
         .where(F.exists("__members", lambda m: vc_lt(F.col(lts), m, n_sites)))
         .select(*keys, lts)
         .distinct()
@@ -192,7 +207,7 @@ def coordinate_max_candidates(
     tops = [F.max(coord(lts, s)).alias(f"__m{s}") for s in range(1, n_sites + 1)]
     maxima = ops.groupBy(*keys).agg(*tops)
     reaches = reduce(or_, [coord(lts, s) == F.col(f"__m{s}") for s in range(1, n_sites + 1)])
-    return ops.join(maxima, list(keys)).where(reaches).select(*ops.columns)
+    return join_null_safe(ops, maxima, list(keys)).where(reaches).select(*ops.columns)
 
 
 def present(

@@ -9,30 +9,32 @@ from causalog.session import stable
 LINES_PER_BUCKET = 1 << 20
 SECONDS_PER_BUCKET = 1 << 12
 BINS = 4096
-# A table of at most this many one-line groups is small enough to send to every task.
-BROADCAST_GROUPS = 50_000
+# A final bin of a percentile holds at most so many values, or equal ones only.
+FINAL_ROWS = 100_000
+# A group's values meet its bin in this many join keys, so a hot group is dealt to several tasks.
+SALTS = 16
 RUNNING, RUN_STARTED, COMPLETED, READ = "Running", "Run started", "completed", "read"
 
 
-def percentile_interp(df: DataFrame, group: list[str], value: str, p: float, rounds: int = 2) -> DataFrame:
+def percentile_interp(df: DataFrame, group: list[str], value: str, p: float) -> DataFrame:
     """Percentile with rank r = p/100 * n - 1, interpolated between neighbours.
 
     NaN for groups of fewer than two values; a rank before the first value means the
     first.  Exact without sorting a group: each round counts values per histogram bin
-    (combined map-side) and goes on inside the bin holding the rank, so only the values
-    of one final bin are ordered.
+    (combined map-side) and goes on inside the bin holding the rank, until that bin is
+    small or holds one value; every round with different values divides them.
     """
     values = df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("__v"))
     stats = stable(values.groupBy(*group).agg(
         F.count("*").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")
     ))
-    few = stats.count() <= BROADCAST_GROUPS
+    salted = values.withColumn("__salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)))
 
     def matched(want: DataFrame) -> DataFrame:
-        side = (F.broadcast(want) if few else want).alias("w")
-        hit = [F.col(f"v.{g}").eqNullSafe(F.col(f"w.{g}")) for g in group]
+        side = want.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))).alias("w")
+        hit = [F.col(f"v.{g}").eqNullSafe(F.col(f"w.{g}")) for g in [*group, "__salt"]]
         inside = F.col("v.__v").between(F.col("w.__lo"), F.col("w.__hi"))
-        return values.alias("v").join(side, [*hit, inside]).select("w.*", "v.__v")
+        return salted.alias("v").join(side, [*hit, inside]).select("w.*", "v.__v").drop("__salt")
 
     rank = F.greatest(F.lit(p / 100.0) * F.col("__n") - 1, F.lit(0.0))
     head = stats.withColumn("__r", rank).withColumn("__base", F.floor("__r"))
@@ -41,13 +43,16 @@ def percentile_interp(df: DataFrame, group: list[str], value: str, p: float, rou
     ).withColumn("__k", F.least(F.col("__base") + F.col("__t"), F.col("__n") - 1)).drop("__base", "__n")
 
     slot = [*group, "__t"]
-    for _ in range(rounds):
+    large = True
+    while large:
         span = F.col("__hi") - F.col("__lo")
         bin_ = F.when(span > 0, F.least(F.floor((F.col("__v") - F.col("__lo")) / span * BINS), F.lit(BINS - 1))).otherwise(0)
         bins = matched(want).groupBy(*slot, "__k", bin_.alias("__bin")).agg(
             F.count("*").alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")
         )
-        want = stable(_holding_rank(bins, slot, "__bin").drop("__c", "__before", "__bin"))
+        want = stable(_holding_rank(bins, slot, "__bin"))
+        large = not want.where((F.col("__c") > FINAL_ROWS) & (F.col("__lo") < F.col("__hi"))).isEmpty()
+        want = want.drop("__c", "__before", "__bin")
     single = matched(want).groupBy(*slot, "__k", "__v").agg(F.count("*").alias("__c"))
     found = _holding_rank(single, slot, "__v").groupBy(*group).agg(
         F.max(F.when(F.col("__t") == 0, F.col("__v"))).alias("__a"), F.max(F.when(F.col("__t") == 1, F.col("__v"))).alias("__b")
@@ -98,7 +103,7 @@ def op_summary(ops: DataFrame, seconds: Column, p: float = 95) -> DataFrame:
 
 
 def _seconds(column: str) -> Column:
-    return F.unix_micros(F.to_timestamp(column)) / F.lit(1_000_000.0)
+    return F.unix_micros(F.try_to_timestamp(column)) / F.lit(1_000_000.0)
 
 
 def _bucketed(seconds: Column, width: float) -> Column:
@@ -243,11 +248,19 @@ def derive(df: DataFrame, x: str, y: str, group: str = "''", where: str | None =
 
 
 def pivot_mean(df: DataFrame, x: str, group: str, y: str, groups: list | None = None) -> DataFrame:
-    """Mean of y for every (x, group) pair; pairs without rows get 0."""
-    wide = df.groupBy(x).pivot(group, groups).agg(F.avg(y))
-    names = [c for c in wide.columns if c != x]
-    filled = wide.fillna(0.0, subset=names)
-    return filled.unpivot([x], [f"`{c}`" for c in names], group, y)
+    """Mean of y for every (x, group) pair; pairs without rows get 0.
+
+    The result has one row per pair by definition.  It is made in long form, so there
+    may be any number of groups; ``groups`` names those wanted.
+    """
+    found = df.groupBy(F.col(x).alias("__x"), F.col(group).cast("string").alias("__g")).agg(F.avg(y).alias("__y"))
+    if groups is None:
+        wanted = df.select(F.col(group).cast("string").alias(group)).distinct()
+    else:
+        wanted = df.sparkSession.createDataFrame([(str(g),) for g in groups], f"`{group}` string")
+    pairs = df.select(x).distinct().crossJoin(wanted)
+    hit = F.col(x).eqNullSafe(F.col("__x")) & F.col(group).eqNullSafe(F.col("__g"))
+    return pairs.join(found, hit, "left").select(x, group, F.coalesce("__y", F.lit(0.0)).alias(y))
 
 
 def band(df: DataFrame, x: str, y: str) -> DataFrame:

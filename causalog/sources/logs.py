@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from causalog.session import stable
+
 # The fields of a run log line, and the text form of one captured packet.
 RUN_LOG_FIELDS = (
     "time string, message string, worker int, workers int, operation string, type string, rt double, "
@@ -22,6 +24,7 @@ def numbered_lines(spark: SparkSession, path) -> DataFrame:
         "value", F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b"),
         F.monotonically_increasing_id().alias("__id"),
     )
+    raw = stable(raw)  # one scan: rows and blocks are numbered alike whatever the cluster does between
     blocks = raw.groupBy("__f", "__b").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
     before = Window.orderBy("__f", "__b").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select("__f", "__b", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
@@ -32,14 +35,15 @@ def numbered_lines(spark: SparkSession, path) -> DataFrame:
 def parse_run_log(lines: DataFrame) -> DataFrame:
     """Lines (line, value) to typed columns; lines that are no JSON object are skipped.
 
-    Fields starting with an underscore are counters and go into one map.
+    Fields starting with an underscore are counters and go into one map; a counter that
+    is no whole number is left out.
     """
     parsed = lines.withColumn("__r", F.from_json(
         "value", f"{RUN_LOG_FIELDS}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
     )).where("__r is not null and __r._broken is null")
     everything = F.from_json("value", "map<string,string>")
     counters = F.transform_values(
-        F.map_filter(everything, lambda k, v: k.startswith("_")), lambda k, v: v.cast("long")
+        F.map_filter(everything, lambda k, v: k.startswith("_") & v.try_cast("long").isNotNull()), lambda k, v: v.try_cast("long")
     )
     names = [f.split()[0] for f in RUN_LOG_FIELDS.split(", ")]
     return parsed.select("line", *[F.col(f"__r.{n}").alias(n) for n in names], counters.alias("counters"))

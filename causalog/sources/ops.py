@@ -15,12 +15,14 @@ def read_ops(spark: SparkSession, path: str, n_sites: int) -> tuple[DataFrame, D
     return split_rejects(spark.read.schema(OP).parquet(path), n_sites)
 
 
-def read_ops_stream(spark: SparkSession, path: str, n_sites: int, max_files: int | None = None) -> DataFrame:
-    """The same log as an unbounded stream of newly written files."""
+def read_ops_stream(
+    spark: SparkSession, path: str, n_sites: int, max_files: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The same log as unbounded streams of newly written files: (valid rows, rejected rows)."""
     reader = spark.readStream.schema(OP)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return split_rejects(reader.parquet(path), n_sites)[0]
+    return split_rejects(reader.parquet(path), n_sites)
 
 
 def with_log_defaults(df: DataFrame, now_ms: int | None = None) -> DataFrame:

@@ -1,89 +1,129 @@
-"""The materialised present as versioned parquet buckets plus a manifest.
+"""The materialised present as levels of resolved rows.
 
-A batch rewrites only the buckets it touches, into a folder of its own version, and
-becomes visible when its manifest commits.  Readers follow the newest committed
-manifest, so a failed or repeated batch never shows half a result.
+Every commit appends the frontier of its own batch as a level; reading resolves the
+levels together.  A row's identity is the row itself, so a batch that comes again, late,
+or from another stream merges like any other.  When there are many levels the smaller
+ones are resolved into one.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causalog.operators.merge import merge_ops
+from causalog.operators.merge import as_merged
+from causalog.operators.present import causal_present
 from causalog.schema import PRESENT, PRESENT_COLUMNS
 
-MANIFEST_SCHEMA = "bucket int, version bigint"
+MANIFEST_SCHEMA = "level string, rows bigint, replaces array<string>"
 
 
 class PresentStore:
-    def __init__(self, spark: SparkSession, path: str, n_sites: int, n_buckets: int = 64, mode: str = "exact"):
-        self.spark, self.path = spark, path.rstrip("/")
-        self.n_sites, self.n_buckets, self.mode = n_sites, n_buckets, mode
+    """``max_levels`` levels are kept at most; beyond, all but the largest few are compacted."""
 
-    def _bucket(self) -> Column:
-        """Buckets hash the element, so one large structure spreads over all of them."""
-        return F.pmod(F.xxhash64("id", "key"), F.lit(self.n_buckets)).cast("int")
+    def __init__(self, spark: SparkSession, path: str, n_sites: int, mode: str = "exact", max_levels: int = 8):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.n_sites, self.mode, self.max_levels = n_sites, mode, max_levels
 
-    def _files(self):
+    def _folder(self, name: str):
         jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
-        return folder.getFileSystem(conf), folder, jvm.org.apache.hadoop.fs.Path
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def versions(self) -> list[int]:
-        """Committed batch versions, oldest first."""
-        fs, folder, make = self._files()
+    def _manifests(self) -> list[str]:
+        """Committed manifests: a folder counts once Spark has marked it complete."""
+        fs, folder = self._folder("manifest")
         if not fs.exists(folder):
             return []
-        found = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("v=")]
-        return sorted(int(p.getName()[2:]) for p in found if fs.exists(make(p, "_SUCCESS")))
-
-    def _live(self) -> dict[int, int]:
-        """Bucket to version; at most one entry per bucket."""
-        done = self.versions()
-        if not done:
+        names = [s.getPath().getName() for s in fs.listStatus(folder)]
+        done = [n for n in names if not n.startswith("_") and fs.exists(self._folder(f"manifest/{n}/_SUCCESS")[1])]
+        return sorted(done)
+
+    def levels(self) -> dict[str, int]:
+        """Live levels and their row counts; at most ``max_levels`` after a commit by one writer."""
+        names = self._manifests()
+        if not names:
             return {}
-        rows = self.spark.read.schema(MANIFEST_SCHEMA).parquet(f"{self.path}/manifest/v={done[-1]}").collect()
-        return {r["bucket"]: r["version"] for r in rows}
-
-    def read(self, buckets: set[int] | None = None) -> DataFrame:
-        """The present, or the part of it in some buckets."""
-        live = self._live()
-        paths = [
-            f"{self.path}/data/v={v}/bucket={b}" for b, v in sorted(live.items()) if buckets is None or b in buckets
-        ]
-        if not paths:
-            return self.spark.createDataFrame([], PRESENT)
-        return self.spark.read.schema(PRESENT).parquet(*paths)
+        paths = [f"{self.path}/manifest/{n}" for n in names]
+        entries = self.spark.read.schema(MANIFEST_SCHEMA).parquet(*paths).collect()
+        gone = {old for e in entries for old in e["replaces"]}
+        return {e["level"]: e["rows"] for e in entries if e["level"] not in gone}
 
-    def merge(self, batch: DataFrame, version: int) -> None:
-        """Merge one batch of operations; a version already committed is skipped."""
-        if version in self.versions():
-            return
-        touched = {r[0] for r in batch.select(self._bucket()).distinct().collect()}
-        if not touched:
+    def _rows(self, levels: list[str]) -> DataFrame:
+        if not levels:
+            return self.spark.createDataFrame([], PRESENT)
+        return self.spark.read.schema(PRESENT).parquet(*[f"{self.path}/data/{level}" for level in sorted(levels)])
+
+    def _resolved(self, rows: DataFrame) -> DataFrame:
+        return causal_present(rows.select(*PRESENT_COLUMNS), self.n_sites, mode=self.mode)
+
+    def read(self) -> DataFrame:
+        """The present.  A filter on ``id`` reaches the scan of every level."""
+        levels = list(self.levels())
+        rows = self._rows(levels)
+        return rows if len(levels) < 2 else self._resolved(rows)
+
+    def _commit(self, rows: DataFrame, replaces: list[str]) -> None:
+        level = f"level-{uuid4().hex}"
+        rows.select(*PRESENT_COLUMNS).sortWithinPartitions("id", "key").write.parquet(f"{self.path}/data/{level}")
+        n = self._rows([level]).count()
+        entry = self.spark.createDataFrame([(level, n, replaces)], MANIFEST_SCHEMA)
+        entry.coalesce(1).write.parquet(f"{self.path}/manifest/{level}")
+
+    def append(self, rows: DataFrame) -> None:
+        """Add rows that are resolved already."""
+        self._commit(rows, [])
+
+    def merge(self, batch: DataFrame) -> None:
+        """Merge one batch of operations; merging it again changes nothing."""
+        self._commit(self._resolved(as_merged(batch)), [])
+        if len(self.levels()) > self.max_levels:
+            self.compact()
+
+    def compact(self, keep: int = 2) -> None:
+        """Resolve all levels but the ``keep`` largest into one.
+
+        Size tiers: a row is rewritten only when its level is among the smaller ones.  The
+        manifests of replaced levels go after the new one is complete; readers that see
+        both follow the new one.  Replaced data stay for readers under way until ``vacuum``.
+        """
+        levels = self.levels()
+        small = sorted(levels, key=levels.get)[: max(0, len(levels) - keep)]
+        if len(small) < 2:
             return
-        merged = merge_ops(self.read(touched), batch, self.n_sites, self.mode).withColumn("bucket", self._bucket())
-        merged.select(*PRESENT_COLUMNS, "bucket").repartition("bucket").sortWithinPartitions("id", "key").write.mode(
-            "overwrite"
-        ).partitionBy("bucket").parquet(f"{self.path}/data/v={version}")
-        live = {**self._live(), **{b: version for b in touched}}
-        manifest = self.spark.createDataFrame(sorted(live.items()), MANIFEST_SCHEMA)
-        manifest.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/v={version}")
-
-
-def write_present(rows: DataFrame, path: str, n_sites: int, n_buckets: int = 64) -> PresentStore:
-    """Store already resolved rows as version 0 of a new store."""
-    store = PresentStore(rows.sparkSession, path, n_sites, n_buckets)
-    store.merge(rows.withColumn("arrival_time", F.col("merged_at")), 0)
+        self._commit(self._resolved(self._rows(small)), sorted(small))
+        for level in small:
+            fs, path = self._folder(f"manifest/{level}")
+            fs.delete(path, True)
+
+    def vacuum(self) -> None:
+        """Delete data of levels that are not live.  Run it when no one reads or writes."""
+        fs, folder = self._folder("data")
+        live = self.levels()
+        for status in fs.listStatus(folder) if fs.exists(folder) else []:
+            if status.getPath().getName() not in live:
+                fs.delete(status.getPath(), True)
+
+
+def write_present(rows: DataFrame, path: str, n_sites: int) -> PresentStore:
+    """Store already resolved rows as the first level of a store."""
+    store = PresentStore(rows.sparkSession, path, n_sites)
+    store.append(rows)
     return store
 
 
 def merge_stream(ops: DataFrame, store: PresentStore, checkpoint: str, available_now: bool = False):
     """Merge a stream of operations continuously; one micro-batch is one commit.
 
-    Late operations merge like any others, so there is no watermark.  The batch number
-    is the version, which makes a batch replayed after a failure a no-op.
+    Late operations merge like any others, so there is no watermark.  A batch replayed
+    after a failure, or read again by a second stream, changes nothing.
     """
-    writer = ops.writeStream.foreachBatch(lambda batch, number: store.merge(batch, number + 1))
+    writer = ops.writeStream.foreachBatch(lambda batch, number: store.merge(batch))
     writer = writer.option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def reject_stream(rejects: DataFrame, path: str, checkpoint: str, available_now: bool = False):
+    """Append the rejected rows of a stream to a folder of Parquet files."""
+    writer = rejects.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()

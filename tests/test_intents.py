@@ -172,6 +172,14 @@ def test_bulk_positions_are_ordered_and_short(spark, mode, monkeypatch):
     assert max(map(len, got["a"])) <= 5
 
 
+def test_positions_of_many_sites_are_distinct(spark):
+    df = spark.createDataFrame([(f"x{s}", None, None, n, s) for s, n in ((1, 2000), (11, 60), (2, 300))], "id string, lo string, hi string, n long, site int")
+    made = [r.pos for r in bulk_positions(df, site_digits=2).collect()]
+    assert len(set(made)) == 2360
+    with pytest.raises(Exception, match="more than 1 digits"):
+        bulk_positions(df).collect()
+
+
 def test_link_integrity_chains_and_rejects_cycles(spark):
     schema = "outer_id string, outer_key string, inner_id string, add_verb string"
     links = spark.createDataFrame([("m", "k", "s", "map_add"), ("top", None, "m", "set_add"), ("l", "2", "other", "list_insert_at")], schema)
@@ -180,9 +188,11 @@ def test_link_integrity_chains_and_rejects_cycles(spark):
     assert rows(got.select("id", "verb", "key", "value", "site", "wall_ms", "intent_seq")) == [
         ("m", "map_add", "k", "s", 2, 9, 4), ("top", "set_add", "m", None, 2, 9, 4)]
     assert W.link_integrity(log, links.limit(0)).count() == 0
+    long = spark.createDataFrame([(f"n{i + 1}", "k", f"n{i}", "map_add") for i in range(20)], schema)
+    assert W.link_integrity(ops(spark, [op(id="n0", seq=1)]), long).count() == 20
     loop = spark.createDataFrame([("a", None, "b", "set_add"), ("b", None, "a", "set_add")], schema)
     with pytest.raises(ValueError):
-        W.link_integrity(log, loop, max_depth=4)
+        W.link_integrity(log, loop)
 
 
 def test_outer_entry_survives_concurrent_remove(spark):

@@ -1,65 +1,40 @@
 import json
-import random
 
 import pytest
 
 from causalog.operators.nested import nested_json, nested_rows, validate_path
 from tests.helpers import op, present, rows
 
-VIEWS = {
-    "register": ["register_lww"], "set": ["set_aw", "set_rw", "set_lww"], "map": ["map_aw_lww", "MapLww"],
-    "list": ["list"], "counter": ["counter"],
-}
-
-
-def chain(rng, longest=5):
-    kinds = [rng.choice(["register", "set", "map", "list"])]
-    while len(kinds) < longest and rng.random() < 0.8:
-        kinds.append(rng.choice(["register", "set", "map", "list", "counter"]))
-        if kinds[-1] == "counter":
-            break
-    return kinds
-
-
-class Builder:
-    """Rows of a random nested structure together with the value they stand for."""
-
-    def __init__(self):
-        self.n, self.rows = 0, []
-
-    def build(self, kinds, id):
-        if not kinds:
-            return id
-        kind, rest = kinds[0], kinds[1:]
-        if kind == "counter":
-            self.n += 1
-            self.rows.append(op(id=id, type="c", key="1", data=str(self.n)))
-            return self.n
-        made = []
-        for i in range({"register": 1, "set": 1}.get(kind, 2)):
-            self.n += 1
-            inner = f"nested-{self.n}"
-            key, data = {"register": ("", inner), "set": (inner, None), "map": (f"k-{i}", inner), "list": (f"{chr(80 + i)}1", inner)}[kind]
-            self.rows.append(op(id=id, type=kind[0], key=key, data=data, lts=(i + 1, 0, 0)))
-            made.append(self.build(rest, inner))
-        if kind == "register":
-            return made[0]
-        return {f"k-{i}": v for i, v in enumerate(made)} if kind == "map" else made
-
-
-@pytest.mark.parametrize("seed", range(8))
-def test_random_chains(spark, seed):
-    rng = random.Random(seed)
-    kinds = chain(rng)
-    b = Builder()
-    value = b.build(kinds, "nested-0")
-    path = [rng.choice(VIEWS[k]) for k in kinds]
-    p = present(spark, b.rows)
-    roots = spark.createDataFrame([("nested-0",)], "id string")
-    restricted = nested_json(p, path, roots).collect()
-    assert len(restricted) == 1 and json.loads(restricted[0]["data"]) == value
-    everything = {r["id"]: r["data"] for r in nested_json(p, path).collect()}
-    assert json.loads(everything["nested-0"]) == value
+# Whole documents with the rows that hold them: (path, root, rows, value).
+DOCUMENTS = [
+    (["map_lww", "list"], "order-1", [
+        op(id="order-1", key="lines", data="lines-1"), op(id="order-1", key="notes", data="notes-1", site=2, lts=(0, 1, 0)),
+        op(id="lines-1", type="l", key="P1", data="pen"), op(id="lines-1", type="l", key="Q1", data="ink"),
+        op(id="notes-1", type="l", key="P1", data="urgent"),
+    ], {"lines": ["pen", "ink"], "notes": ["urgent"]}),
+    (["register_lww", "map_aw_lww", "counter"], "page", [
+        op(id="page", type="r", key="", data="stats"), op(id="stats", key="views", data="views-c"), op(id="stats", key="likes", data="likes-c"),
+        op(id="views-c", type="c", key="1", data="40"), op(id="views-c", type="c", key="2", data="2", site=2, lts=(0, 1, 0)),
+        op(id="likes-c", type="c", key="1", data="7"),
+    ], {"likes": 7, "views": 42}),
+    (["set_aw", "set_rw", "register_lww"], "teams", [
+        op(id="teams", type="s", key="red"), op(id="red", type="s", key="ann"), op(id="ann", type="r", key="", data="captain"),
+    ], [["captain"]]),
+    (["list", "list", "map_lww"], "table", [
+        op(id="table", type="l", key="A1", data="row-1"), op(id="table", type="l", key="B1", data="row-2"),
+        op(id="row-1", type="l", key="A1", data="cell-1"), op(id="row-2", type="l", key="A1", data="cell-2"),
+        op(id="cell-1", key="w", data="3"), op(id="cell-2", key="w", data="5"),
+    ], [[{"w": "3"}], [{"w": "5"}]]),
+    (["counter"], "hits", [op(id="hits", type="c", key="1", data="11")], 11),
+]
+
+
+@pytest.mark.parametrize("path,root,log,value", DOCUMENTS, ids=[d[1] for d in DOCUMENTS])
+def test_documents(spark, path, root, log, value):
+    p = present(spark, log)
+    (only,) = nested_json(p, path, spark.createDataFrame([(root,)], "id string")).collect()
+    assert json.loads(only["data"]) == value
+    assert json.loads({r["id"]: r["data"] for r in nested_json(p, path).collect()}[root]) == value
 
 
 def test_key_order_quoting_and_nulls(spark):

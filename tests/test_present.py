@@ -146,3 +146,11 @@ def test_audit(spark):
     assert A.check_causal(cleared, N).count() == 0
     kinds = ops(spark, [op(), op(site=2, op="r"), op(key="j"), op(key="j", site=2), op(key="i")])
     assert {(r["key"], r["kind"]) for r in A.conflicts(kinds).collect()} == {("k", "add/remove"), ("j", "add/add")}
+
+
+@pytest.mark.parametrize("mode", ["causal", "exact"])
+def test_null_keys_stay_and_unknown_sites_fail(spark, mode):
+    log = ops(spark, [op(key=None, data="a"), op(key=None, data="b", site=2, lts=(0, 1, 0)), op(key=None, data="old", site=2, lts=(0, 0, 0)), op(key="k")])
+    assert sorted(r["data"] or "" for r in P.causal_present(log, N, mode=mode).collect()) == ["", "a", "b"]
+    with pytest.raises(Exception, match="does not fit 2 sites"):
+        P.causal_present(ops(spark, [op(site=3, lts=(0, 0, 1)), op()]), 2, mode=mode).collect()

@@ -6,7 +6,7 @@ from causalog.operators.merge import as_merged, merge_ops
 from causalog.operators.present import causal_present
 from causalog.sources.ops import append_ops, read_ops, read_ops_stream
 from causalog.streaming.frontier import COLUMNS, present_stateful
-from causalog.streaming.store import PresentStore, merge_stream, write_present
+from causalog.streaming.store import PresentStore, merge_stream, reject_stream, write_present
 from tests.helpers import N, op, ops, present, rows
 from tests.test_present import causal_log
 
@@ -21,42 +21,71 @@ def test_stream_equals_batch_and_restarts(spark, tmp_path):
     random.Random(1).shuffle(log)
     src, out, ck = (str(tmp_path / n) for n in ("log", "present", "ck"))
     write_files(spark, src, log[:120], 3)
-    store = PresentStore(spark, out, N, n_buckets=4)
+    store = PresentStore(spark, out, N)
 
     def run():
-        merge_stream(read_ops_stream(spark, src, N, max_files=1), store, ck, available_now=True).awaitTermination()
+        merge_stream(read_ops_stream(spark, src, N, max_files=1)[0], store, ck, available_now=True).awaitTermination()
 
     run()
     half = rows(store.read())
     assert half == rows(merge_ops(present(spark, []), ops(spark, log[:120]), N))
-    done = store.versions()
+    done = store.levels()
     run()
-    assert store.versions() == done
+    assert store.levels() == done
     write_files(spark, src, log[120:], 2)
     run()
     assert rows(store.read()) == rows(merge_ops(present(spark, []), ops(spark, log), N))
 
 
-def test_committed_version_is_not_merged_twice(spark, tmp_path):
-    store = PresentStore(spark, str(tmp_path / "p"), N, n_buckets=2)
-    store.merge(ops(spark, [op(data="a")]), 1)
-    store.merge(ops(spark, [op(data="b", lts=(9, 0, 0))]), 1)
+def test_batches_in_any_order_and_again(spark, tmp_path):
+    log = causal_log(8, 120)
+    want = rows(merge_ops(present(spark, []), ops(spark, log), N))
+    parts = [log[i::4] for i in range(4)]
+    for n, order in enumerate(([0, 1, 2, 3], [3, 1, 0, 2, 2, 1])):
+        store = PresentStore(spark, str(tmp_path / f"p{n}"), N, max_levels=3)
+        for i in order:
+            store.merge(ops(spark, parts[i]))
+        assert rows(store.read()) == want and len(store.levels()) <= 4
+
+
+def test_two_streams_into_one_store(spark, tmp_path):
+    log = causal_log(5, 160)
+    store = PresentStore(spark, str(tmp_path / "p"), N, max_levels=3)
+    for name, part in (("a", log[:100]), ("b", log[60:])):
+        src = str(tmp_path / name)
+        write_files(spark, src, part, 2)
+        merge_stream(read_ops_stream(spark, src, N, max_files=1)[0], store, f"{src}-ck", available_now=True).awaitTermination()
+    want = rows(merge_ops(present(spark, []), ops(spark, log), N))
+    assert rows(store.read()) == want
+    store.compact(keep=0)
+    store.vacuum()
+    assert rows(store.read()) == want and len(store.levels()) == 1
+
+
+def test_level_without_manifest_stays_invisible(spark, tmp_path):
+    path = str(tmp_path / "p")
+    store = PresentStore(spark, path, N)
+    store.merge(ops(spark, [op(data="a")]))
+    as_merged(ops(spark, [op(data="half", lts=(9, 0, 0))])).write.parquet(f"{path}/data/level-half")
+    assert [r["data"] for r in store.read().collect()] == ["a"]
+    store.merge(ops(spark, []))
     assert [r["data"] for r in store.read().collect()] == ["a"]
-    store.merge(ops(spark, [op(data="b", lts=(9, 0, 0))]), 2)
-    assert [r["data"] for r in store.read().collect()] == ["b"]
 
 
-def test_uncommitted_version_stays_invisible(spark, tmp_path):
-    path = str(tmp_path / "p")
-    store = PresentStore(spark, path, N, n_buckets=1)
-    store.merge(ops(spark, [op(data="a")]), 1)
-    as_merged(ops(spark, [op(data="half")])).withColumn("bucket", F.lit(0)).write.partitionBy("bucket").parquet(f"{path}/data/v=2")
-    assert [r["data"] for r in store.read().collect()] == ["a"]
+def test_rejects_of_a_stream_are_kept(spark, tmp_path):
+    src, out = str(tmp_path / "log"), str(tmp_path / "rejects")
+    append_ops(ops(spark, [op(), op(type="?"), op(site=8)]), src)
+    good, bad = read_ops_stream(spark, src, N)
+    reject_stream(bad, out, str(tmp_path / "ck"), available_now=True).awaitTermination()
+    assert spark.read.parquet(out).count() == 2
+    store = PresentStore(spark, str(tmp_path / "p"), N)
+    merge_stream(good, store, str(tmp_path / "ck2"), available_now=True).awaitTermination()
+    assert store.read().count() == 1
 
 
 def test_write_present_keeps_merge_times(spark, tmp_path):
     rows_in = present(spark, [op(), op(key="j", site=2, lts=(0, 1, 0))])
-    assert rows(write_present(rows_in, str(tmp_path / "p"), N, 4).read()) == rows(rows_in)
+    assert rows(write_present(rows_in, str(tmp_path / "p"), N).read()) == rows(rows_in)
 
 
 def test_stateful_changes_sum_to_the_frontier(spark, tmp_path):
@@ -65,7 +94,7 @@ def test_stateful_changes_sum_to_the_frontier(spark, tmp_path):
     for causal in (False, True):
         src, out, ck = (str(tmp_path / f"{n}{causal}") for n in ("log", "changes", "ck"))
         write_files(spark, src, log + log[:30], 3)
-        changes = present_stateful(read_ops_stream(spark, src, N, max_files=1), causal)
+        changes = present_stateful(read_ops_stream(spark, src, N, max_files=1)[0], causal)
         changes.writeStream.outputMode("update").foreachBatch(
             lambda batch, n: batch.withColumn("n", F.lit(n)).write.mode("append").parquet(out)
         ).option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination()

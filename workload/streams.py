@@ -31,7 +31,7 @@ def _folder(spark):
 def _log_files(spark, sf_dir, folder, files=6):
     """The log in files of random rows, so late operations arrive in later batches."""
     append_ops(log(spark, sf_dir, "m").repartition(files, F.xxhash64("seq")), f"{folder}/log")
-    return read_ops_stream(spark, f"{folder}/log", N_SITES, max_files=2)
+    return read_ops_stream(spark, f"{folder}/log", N_SITES, max_files=2)[0]
 
 
 _ROWS = "SELECT id, key, site, CAST(to_json(lts) AS VARCHAR) AS lts, op, data, pt AS merged_at FROM cur"
@@ -45,7 +45,7 @@ def _rows(df):
 def merge_stream_query(spark, sf_dir):
     log(spark, sf_dir, "m")
     folder = _folder(spark)
-    store = PresentStore(spark, f"{folder}/present", N_SITES, n_buckets=8, mode="causal")
+    store = PresentStore(spark, f"{folder}/present", N_SITES, mode="causal")
     merge_stream(_log_files(spark, sf_dir, folder), store, f"{folder}/checkpoint", available_now=True).awaitTermination()
     return _rows(store.read())
 
@@ -83,4 +83,4 @@ def append_ops_query(spark, sf_dir):
 @query("write_present", with_present("m", _ROWS))
 def write_present_query(spark, sf_dir):
     rows = current(spark, sf_dir, "m")
-    return _rows(write_present(rows, f"{_folder(spark)}/present", N_SITES, n_buckets=8).read())
+    return _rows(write_present(rows, f"{_folder(spark)}/present", N_SITES).read())
