@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from causalog.operators import runlog as T
 from causalog.session import ensure_checkpoint_dir
 from causalog.sources import logs as S
-from workload.spark_base import table
+from workload.spark_base import folder, table
 
 SPARK, SQL = {}, {}
 DAY = 86400
@@ -65,7 +65,11 @@ def lines(spark, sf_dir):
 
 
 def run_log(spark, sf_dir):
-    return S.parse_run_log(lines(spark, sf_dir))
+    """The log as files in line order, read back; every line keeps its place, not its number."""
+    path = folder(spark, "run-log")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines(spark, sf_dir).repartitionByRange(parts, "line").sortWithinPartitions("line").select("value").write.text(path)
+    return S.read_run_log(spark, path)
 
 
 _LOG = f"""ev AS (SELECT *, epoch_us(ts) / 1000000.0 AS sec, CAST(floor(value * 100) AS BIGINT) AS v,
@@ -77,11 +81,13 @@ st AS (SELECT ev.*, CAST(sec AS DOUBLE) - CAST(b AS DOUBLE) AS x, sum(CASE WHEN
 
 
 @query("read_run_log", """
+SELECT line, message, operation, worker, rt FROM (SELECT * REPLACE (row_number() OVER (ORDER BY line) AS line) FROM (
 SELECT event_id * 4 + 2 AS line, 'completed' AS message, event_type AS operation, CAST(user_id % 8 AS INTEGER) AS worker, round(value / 1000, 9) AS rt FROM events
 UNION ALL SELECT event_id * 4 + 3, CASE event_type WHEN 'view' THEN 'read' WHEN 'click' THEN 'delay' ELSE 'Unmerged rows' END, NULL,
   CASE WHEN event_type = 'view' THEN CAST(user_id % 4 AS INTEGER) END, NULL FROM events WHERE event_type IN ('view', 'click', 'signup')
 UNION ALL SELECT event_id * 4 + 1, 'Run started', NULL, NULL, NULL FROM events WHERE json_extract_string(props, '$.k') = '7'
-UNION ALL SELECT event_id * 4, 'Running', NULL, NULL, NULL FROM events WHERE event_id = 0""")
+UNION ALL SELECT event_id * 4, 'Running', NULL, NULL, NULL FROM events WHERE event_id = 0
+UNION ALL SELECT event_id * 4 + 3, NULL, NULL, NULL, NULL FROM events WHERE event_type = 'error')) WHERE message IS NOT NULL""")
 def read_run_log(spark, sf_dir):
     """Broken lines (one per error event) are skipped."""
     return run_log(spark, sf_dir).select("line", "message", "operation", "worker", F.round("rt", 9).alias("rt"))
@@ -184,7 +190,9 @@ def packet_lines(spark, sf_dir):
 
 
 def packets(spark, sf_dir):
-    return S.parse_packets(packet_lines(spark, sf_dir))
+    path = folder(spark, "packets")
+    packet_lines(spark, sf_dir).write.text(path)
+    return S.read_packets(spark, path)
 
 
 _PACKETS = """pk AS (SELECT event_id * 5 / 2.0 AS time, '10.0.0.' || CAST(user_id % 3 AS VARCHAR) AS src,
@@ -248,12 +256,13 @@ def phase_times(spark, sf_dir):
 
 
 @query("read_results", """
-SELECT name, tps, extra FROM (SELECT s_name AS name, s_acctbal AS tps, NULL AS extra FROM supplier
-UNION ALL SELECT c_name, c_acctbal, c_mktsegment FROM customer)""")
+SELECT name, tps, extra, stem LIKE 'part-%' AS from_part FROM (SELECT s_name AS name, s_acctbal AS tps, NULL AS extra, 'part-s' AS stem FROM supplier
+UNION ALL SELECT c_name, c_acctbal, c_mktsegment, 'part-c' FROM customer)""")
 def read_results(spark, sf_dir):
     ensure_checkpoint_dir(spark)
     out = f"{spark.sparkContext.getCheckpointDir()}/results-{spark.sparkContext.applicationId}"
     s, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
     s.selectExpr("s_name as name", "s_acctbal as tps").write.mode("overwrite").csv(f"{out}/a", header=True)
     c.selectExpr("c_mktsegment as extra", "c_name as name", "c_acctbal as tps").write.mode("overwrite").csv(f"{out}/b", header=True)
-    return S.read_results(spark, [f"{out}/a", f"{out}/b"], ("tps",)).drop("_file")
+    found = S.read_results(spark, [f"{out}/a", f"{out}/b"], ("tps",))
+    return found.withColumn("from_part", F.col("_file").rlike("^part-[^./]+$")).drop("_file")

@@ -1,6 +1,7 @@
 """Shared pieces of the registered queries."""
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,12 @@ def log(spark: SparkSession, sf_dir: str, kind: str, window: int = WINDOW) -> Da
     return spark.read.schema(OP).parquet(path)
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def current(spark: SparkSession, sf_dir: str, kind: str, window: int = WINDOW, mode: str = "causal") -> DataFrame:
     """Present of one structure type, in the materialised layout."""
     rows = causal_present(log(spark, sf_dir, kind, window), N_SITES, mode=mode)
