@@ -16,7 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Texts are handed to numpy in pieces of about this many bytes, so that temporary
 #: arrays stay small however many rows an Arrow batch holds.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 #: Rows up to which the small side of a join is sent to every executor.
 BROADCAST_ROWS = 200_000
