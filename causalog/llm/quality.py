@@ -191,7 +191,7 @@ def accuracies(table: np.ndarray, shares: np.ndarray) -> dict[str, tuple[float,
     return {n: (float(b / (a + b)), float(c / (c + d))) for n, a, b, c, d in zip(LABELLERS, no_good, no_bad, good, bad)}
 
 
-def train(docs: DataFrame, text_col: str = "text", sample_rows: int = 8000, l1: float = 0.2, l2: float = 0.1, seed: int = 7) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, text_col: str = "text", sample_rows: int = 6000, l1: float = 0.2, l2: float = 0.1, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and bias of the linear model for "good".
 
     Vote patterns are counted over all rows; about ``sample_rows`` rows, picked by a hash

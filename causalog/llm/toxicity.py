@@ -260,7 +260,7 @@ def restored_texts(docs: DataFrame, model: np.ndarray, text_col: str = "text") -
 
 
 def train(
-    labelled: DataFrame, model: np.ndarray, text_col: str = "text", label_col: str = "toxic", sample_rows: int = 8000,
+    labelled: DataFrame, model: np.ndarray, text_col: str = "text", label_col: str = "toxic", sample_rows: int = 6000,
     l1: float = 1.0, l2: float = 0.1, epochs: int = 10, seed: int = 7,
 ) -> tuple[np.ndarray, float]:
     """Weights per bucket and a bias, fitted on about ``sample_rows`` labelled rows (by a hash of the text)."""
