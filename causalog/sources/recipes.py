@@ -14,10 +14,15 @@ from causalog.schema import OP_COLUMNS
 
 N_SITES = 3
 WINDOW = 2048
-N_IDS = 40
 EPOCHS_PER_BUCKET = 4096
 
 
+def structure_id(kind: str) -> Column:
+    """A structure per user, so structures grow with the input; every fifth user writes to one hot structure."""
+    owner = F.when(F.col("user_id") % 5 == 0, F.lit(0).cast("long")).otherwise(F.col("user_id"))
+    return F.concat(F.lit(kind + "-"), owner.cast("string"))
+
+
 def epoch_ms(ts: str) -> Column:
     """Milliseconds since 1970 of a zone-less timestamp, whatever the session zone."""
     return F.expr(
@@ -32,7 +37,7 @@ def _stamped_events(events: DataFrame, kind: str, window: int) -> DataFrame:
         "event_id",
         (F.lit(1) + F.col("event_id") % N_SITES).cast("int").alias("site"),
         F.floor(F.col("event_id") / window).alias("epoch"),
-        F.concat(F.lit(kind + "-"), (F.col("user_id") % N_IDS).cast("string")).alias("id"),
+        structure_id(kind).alias("id"),
         epoch_ms("ts").alias("pt"),
         (F.col("event_id") % 4).cast("int").alias("lt"),
         F.floor(F.col("value") * 100).cast("long").alias("v"),

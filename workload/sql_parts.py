@@ -33,7 +33,7 @@ def events_cte(kind: str, window: int = WINDOW, name: str = "ops") -> str:
     return f"""
 {name}_ev AS (
   SELECT event_id, CAST(1 + event_id % 3 AS INTEGER) AS site, event_id // {window} AS epoch,
-    '{kind}-' || CAST(user_id % 40 AS VARCHAR) AS id, epoch_us(ts) // 1000 AS pt, CAST(event_id % 4 AS INTEGER) AS lt,
+    '{kind}-' || CAST(CASE WHEN user_id % 5 = 0 THEN 0 ELSE user_id END AS VARCHAR) AS id, epoch_us(ts) // 1000 AS pt, CAST(event_id % 4 AS INTEGER) AS lt,
     CAST(floor(value * 100) AS BIGINT) AS v, event_type, value,
     lpad(CAST(event_id AS VARCHAR), 12, '0') || CAST(1 + event_id % 3 AS VARCHAR) AS slot
   FROM events),

@@ -7,7 +7,7 @@ from causalog.functions.positions import bulk_positions
 from causalog.operators import intents as W, lookup as L
 from causalog.operators.merge import merge_ops
 from causalog.plans.scan import Running, prefix_scan, sorted_buckets
-from causalog.sources.recipes import N_IDS, N_SITES, epoch_ms
+from causalog.sources.recipes import N_SITES, epoch_ms, structure_id
 from workload.spark_base import flat, log, table
 from workload.sql_parts import with_log
 from workload.views import _HALF, _LOCAL, _halves
@@ -41,7 +41,7 @@ def intents(spark, sf_dir, kind):
     top = ev.agg(F.floor(F.max("event_id") / 2)).scalar()
     v = F.floor(F.col("value") * 100).cast("long")
     return ev.where(F.col("event_id") > top).select(
-        F.concat(F.lit(kind + "-"), (F.col("user_id") % N_IDS).cast("string")).alias("id"),
+        structure_id(kind).alias("id"),
         F.expr(_VERBS[kind]).alias("verb"), F.col("event_type").alias("key"), v.cast("string").alias("value"),
         v.alias("delta"), (v % 40).alias("index"), (1 + F.col("event_id") % N_SITES).cast("int").alias("site"),
         (epoch_ms("ts") - F.col("event_id") % 5 * _BACK_MS).alias("wall_ms"), F.col("event_id").alias("intent_seq"),
