@@ -140,7 +140,7 @@ def test_concurrent_inserts_at_one_place_converge(spark):
 
 def between(spark, lo, hi, n=1, mode="regular"):
     df = spark.createDataFrame([(lo, hi, n, r, "") for r in range(1, n + 1)], "lo string, hi string, n bigint, r bigint, s string")
-    df = with_gap(df, "lo", "hi", "n", "s").withColumn("pos", position_at("n", "r", mode))
+    df = with_gap(df, "lo", "hi", "n", "s", site_digits=0).withColumn("pos", position_at("n", "r", mode))
     return [r["pos"] for r in df.orderBy("r").collect()]
 
 
