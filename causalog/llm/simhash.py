@@ -142,9 +142,11 @@ def near_duplicates(
     fps = stable(fingerprints(docs, id_col, text_col, shingle))
     distinct = stable(fps.groupBy("fp").agg(F.min("id").alias("least")))
     parts = stable(components(links(distinct.select("fp"), distance, bucket)).withColumnRenamed("node", "fp"))
-    rooted = distinct.join(parts, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = distinct.join(parts, "fp")
+    smallest = sized_broadcast(stable(linked.groupBy("root").agg(F.min("least").alias("component_id"))))
+    named = linked.join(smallest, "root").select("fp", "component_id")
     # Written, so that the join with all rows has plain exchanges, which split where one fingerprint is very common.
-    classes = sized_broadcast(stable(rooted.join(smallest, "root").select("fp", "component_id")))
+    classes = sized_broadcast(stable(
+        distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))))
     return fps.join(classes, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
