@@ -240,9 +240,10 @@ def with_quality(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str
     def run(texts):
         weights, bias = shared.value
         total = np.full(len(texts), bias)
-        for lo, n, m in _measured(pa.array(texts, pa.string(), from_pandas=True)):
-            doc, bucket, value = m.features()
-            total[lo:lo + n] += np.bincount(doc, value * weights[bucket], n)
+        for first in range(0, len(texts), 1000):  # not all texts of a batch twice in memory
+            for lo, n, m in _measured(pa.array(texts.iloc[first:first + 1000], pa.string(), from_pandas=True)):
+                doc, bucket, value = m.features()
+                total[first + lo:first + lo + n] += np.bincount(doc, value * weights[bucket], n)
         return type(texts)(1 / (1 + np.exp(-np.clip(total, -500, 500))))
 
     return docs.withColumn(score_col, run(column(docs, text_col)))
