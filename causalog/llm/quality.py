@@ -22,12 +22,14 @@ LABELLERS = {
     "signs": (0.30, 0.08),          # words with two signs in a row
     "capitals": (0.40, 0.15),       # letters that are upper case
     "bare": (0.15, 0.04),           # words without letter or digit
-    "few_words": (0.85, 0.60),      # 1 - distinct words / words, in texts up to 300 words
+    "few_words": (0.85, 0.60),      # 1 - distinct words / words, the mean over all runs of RUN words
     "few_letters": (0.45, 0.20),    # characters that are no letter, digit or white space
     "same_lines": (0.60, 0.10),     # lines that repeat an earlier line
 }
 #: Shorter texts get no votes: the fractions mean little there.
 LEAST_WORDS = 8
+#: Distinct words are counted in runs of so many words, as longer texts repeat more of theirs.
+RUN = 300
 BITS = 16
 
 _UPPER = np.zeros(256, bool)
@@ -87,8 +89,24 @@ class Measured:
         new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
         return np.bincount(doc[new], minlength=self.docs)
 
+    def _repeats(self) -> np.ndarray:
+        """Share of words that repeat one of their run: the mean over every run of ``RUN``
+        words of the whole text, a shorter text being one run."""
+        order = np.argsort(self.word, kind="stable")  # equal words in the order of the texts
+        word, doc = self.word[order], self.doc[order]
+        again = np.flatnonzero((word[1:] == word[:-1]) & (doc[1:] == doc[:-1])) + 1
+        first = np.cumsum(self.words) - self.words
+        place = (np.arange(len(self.doc)) - first[self.doc]).astype(np.int32)
+        before = np.full(len(self.doc), -1, np.int32)
+        before[order[again]] = place[order[again - 1]]
+        # A word is new in the runs that begin after its last occurrence and reach it.
+        size = np.minimum(RUN, self.words).astype(np.int32)
+        last_start = self.words.astype(np.int32) - size
+        new = np.minimum(place, last_start[self.doc]) - np.maximum(before, place - size[self.doc])
+        distinct = np.bincount(self.doc, np.maximum(0, new), self.docs)
+        return np.where(self.words > 0, 1 - distinct / np.maximum(1, size.astype(np.int64) * (last_start + 1)), 0.0)
+
     def measures(self) -> dict[str, np.ndarray]:
-        distinct = self._distinct(self.doc, self.word)
         lines, line_end, of = runs(self.data != 10, self.at)
         n_lines, kinds = np.bincount(of, minlength=self.docs), self._distinct(of, self.hashed(lines, line_end))
         chars = np.bincount(self.doc, self.size, self.docs)
@@ -99,7 +117,7 @@ class Measured:
             "signs": self._share(self.signs, self.words),
             "capitals": self._share(self.upper, doc_letters),
             "bare": self._share(self.bare, self.words),
-            "few_words": np.where((self.words > 0) & (self.words <= 300), 1 - distinct / np.maximum(1, self.words), 0.0),
+            "few_words": self._repeats(),
             "few_letters": self._share(self.sign_chars, chars),
             "same_lines": 1 - np.where(n_lines > 0, kinds, 1) / np.maximum(1, n_lines),
         }

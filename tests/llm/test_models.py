@@ -155,6 +155,22 @@ def test_measures():
     assert m["few_words"].round(2).tolist() == [0.5, 0, 0.4, 0]
 
 
+def test_few_words_in_texts_of_any_length():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(itertools.islice(itertools.cycle(["buy", "now", "cheap"]), n)) for n in (300, 301, 5000)]
+    texts += ["", "one", *(" ".join(map(str, rng.integers(0, kinds, n))) for kinds, n in ((40, 299), (90, 301), (500, 937), (7, 600)))]
+    m = quality.Measured(*buffer(texts))
+
+    def slowly(words):
+        size = min(quality.RUN, len(words))
+        runs_ = [words[i:i + size] for i in range(len(words) - size + 1)]
+        return np.mean([1 - len(set(r)) / size for r in runs_]) if words else 0
+
+    assert m.measures()["few_words"] == pytest.approx([slowly(t.split()) for t in texts])
+    place = list(quality.LABELLERS).index("few_words")
+    assert quality.pattern_votes()[m.patterns()[:3], place].tolist() == [1, 1, 1]
+
+
 def test_quality_agrees_with_the_labels_it_never_saw(spark):
     got = registry.op8_quality(spark, "/root/testdata/sf0.01")
     seen = got.join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").collect()
