@@ -1,10 +1,11 @@
 """Toxicity through a noisy channel: restore disguised words, then score the text.
 
-Spans that may be disguised (leetspeak, letters spaced out, letters repeated) become
-lattices: each character may stand for itself or for what it replaces, a separator may be
-there or not, a run may be shortened.  Viterbi decoding finds the most likely reading
-under a trigram character model counted over all documents.  Everything else has one
-reading only and is kept as it is.  A linear model over the restored words, fitted on a
+Spans that may be disguised (leetspeak, letters spaced out, words split by signs, letters
+repeated) become lattices: each character may stand for itself or for what it replaces, a
+run of separators may be there or not, a run may be shortened.  Viterbi decoding finds the
+most likely reading under a trigram character model counted over all documents.
+Everything else is kept as it is; a blank between two pieces of three or more characters
+always is, as are numbers.  A linear model over the restored words, fitted on a
 bounded sample of labelled rows, gives the score.
 """
 
@@ -24,11 +25,11 @@ LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t",
 }
-SEPARATORS = " ._-*"
 
 #: Log-probabilities of the channel's moves: a letter written as something else, a sign
-#: that means itself right before a letter, letters spaced out, a letter repeated.
-SWAP, SIGN, SPREAD, SHORTEN = np.log(0.1), np.log(0.02), np.log(0.1), np.log(0.1)
+#: that means itself right before a letter, a span's letters spaced out, a border of words
+#: among such letters, a word split in longer pieces, a letter repeated.
+SWAP, SIGN, SPREAD, BREAK, SPLIT, SHORTEN = np.log(0.1), np.log(0.02), np.log(0.1), np.log(0.003), np.log(0.1), np.log(0.1)
 
 # Symbols of the character model: 0 any non-letter, 1-26 a-z, 27 other letters, 28 digits.
 SYMBOLS = 29
@@ -41,12 +42,9 @@ _LOWER[ord("A"):ord("Z") + 1] += 32
 _LETTER = (_SYMBOL > 0) & (_SYMBOL < 28)
 _PLAIN = (_SYMBOL > 0) & (_SYMBOL < 27)
 _LEET = np.isin(np.arange(256), [ord(c) for c in LEET])
-_SEPARATOR = np.isin(np.arange(256), [ord(c) for c in SEPARATORS])
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
-_ONE = "[a-z" + re.escape("".join(LEET)) + "]"
-#: Three or more single characters, each apart by one separator.
-SPACED = re.compile(rf"(?<!\w){_ONE}(?:[{re.escape(SEPARATORS)}]{_ONE}){{2,}}(?!\w)")
+_GAP = re.compile(r"[^\w" + re.escape("".join(LEET)) + "]+")
 
 BITS = 18
 
@@ -102,21 +100,51 @@ class Decoder:
         if out is None:
             if len(self.known) >= self.KEPT:
                 self.known.clear()
-            out = self.known[span] = self._decode(span)
+            out = self.known[span] = max(self._best(self._lattice(span, False), 0.0), self._best(self._lattice(span), SPREAD), key=lambda r: r[0])[1]
         return out
 
     @staticmethod
     def _symbol(c: str) -> int:
         return int(_SYMBOL[ord(c)]) if ord(c) < 128 else 27 if c.isalpha() else 0
 
-    def _lattice(self, span: str) -> list:
-        """Per place of a span its readings: (symbols, text, log-probability)."""
+    @staticmethod
+    def _separates(c: str) -> bool:
+        return ord(c) < 128 and not ("a" <= c <= "z" or c in LEET)
+
+    @staticmethod
+    def _divides(span: str, i: int) -> bool:
+        """A sign that may replace a letter, but stands again two places on: i|d|i|o|t."""
+        c, near = span[i], span[i - 1:i] + span[i + 1:i + 2]
+        return not (c.isalnum() or c in near) and (span[i - 2:i - 1] == c or span[i + 2:i + 3] == c) and near.isalnum()
+
+    def _lattice(self, span: str, spread: bool = True) -> list:
+        """Per place of a span its readings: (symbols, text, log-probability).
+
+        A run of separators may be there or not; between two single letters it may be
+        missing only if the span is read as ``spread`` out.  Borders of words are likelier
+        where the gap is wide; with all gaps alike, beside a one-letter word at either end.
+        """
+        gaps = [len(gap) for gap in _GAP.findall(span)] or [0]
+        narrow, uneven = min(gaps), min(gaps) < max(gaps)
         places, i, n = [], 0, len(span)
         while i < n:
             c, j = span[i], i + 1
             while j < n and span[j] == c and "a" <= c <= "z":
                 j += 1
             s = self._symbol(c)
+            if self._separates(c) or 0 < i < n - 1 and self._divides(span, i):
+                while j < n and self._separates(span[j]):
+                    j += 1
+                places.append([((0,), span[i:j], 0.0)])
+                if 0 < i and j < n:
+                    alone = (i < 2 or not span[i - 2].isalnum()) and not (j + 1 < n and span[j + 1].isalnum())
+                    if not alone:
+                        places[-1].append(((), "", SPLIT))
+                    elif spread:
+                        border = j - i > narrow or not uneven and (i == 1 or j == n - 1)
+                        places[-1] = [((0,), span[i:j], 0.0 if border else BREAK), ((), "", 0.0)]
+                i = j
+                continue
             if j - i >= 3:
                 places.append([((s,) * (j - i), span[i:j], 0.0), ((s,), c, SHORTEN), ((s, s), c + c, SHORTEN)])
                 i = j
@@ -126,15 +154,6 @@ class Decoder:
             i += 1
         return places
 
-    def _decode(self, span: str) -> str:
-        """The likeliest reading.  Letters spaced out may be a word, alone or with a
-        one-letter word before or after it, or stand apart as written."""
-        read = [self._best(self._lattice(span), 0.0)]
-        if SPACED.fullmatch(span):
-            joined = (span[::2], span[:2] + span[2::2], span[:-2:2] + span[-2:])
-            read += [self._best(self._lattice(s), SPREAD) for s in joined]
-        return max(read, key=lambda r: r[0])[1]
-
     def _best(self, lattice: list, start: float) -> tuple[float, str]:
         """Viterbi: states are the last two symbols, non-letters in a row count as one."""
         best = {(0, 0): (start, None)}
@@ -160,57 +179,70 @@ class Decoder:
         return total, "".join(reversed(out))
 
 
-def restore(data: np.ndarray, at: np.ndarray, decode: Decoder) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased bytes of texts with disguised spans decoded, and their new offsets."""
-    low = _LOWER[data]
-    n = len(low)
-    letter, plain, leet = _LETTER[low], _PLAIN[low], _LEET[low]
-    odd = np.zeros(n, bool)
-    if n > 2:
+def _groups(link: np.ndarray) -> np.ndarray:
+    """Group numbers of pieces, given for all but the last whether the next one belongs to it."""
+    return np.concatenate([[0], np.cumsum(~link)])
+
+
+def _spans(low: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, document) of the spans to decode, of lower-cased texts.
+
+    Pieces are runs of letters and of signs for letters.  A span is what only signs hold
+    together, or tokens of pieces of one or two characters, three of one at least,
+    whatever stands between them.
+    """
+    plain, leet = _PLAIN[low], _LEET[low]
+    starts, ends, doc = runs(_LETTER[low] | leet, at)
+    if not len(starts):
+        return starts, ends, doc
+
+    def total(flags: np.ndarray, a: np.ndarray = starts, b: np.ndarray = ends) -> np.ndarray:
+        sums = np.concatenate([[0], np.cumsum(flags, dtype=np.int32)])
+        return sums[b] - sums[a]
+
+    size, letters = ends - starts, total(plain)
+    odd = _odd(low, at, plain, leet, total, letters, size)
+    same = doc[1:] == doc[:-1]
+    tight = same & (total(_SPACE[low], ends[:-1], starts[1:]) == 0)
+    short = (size <= 2) & (letters + total(leet) == size)
+    token = _groups(tight)
+    short &= (np.bincount(token, ~short) == 0)[token]  # not the t of don't
+    chain = _groups(same & short[1:] & short[:-1])
+    single, plains = (np.bincount(chain, short * x) for x in (size == 1, letters))
+    apart = short & ((single >= 3) & (plains >= 2))[chain]
+    span = _groups(tight | (same & apart[1:] & apart[:-1]))
+    taken = (np.bincount(span, odd | apart) > 0) | ((np.bincount(span) > 1) & (np.bincount(span, letters) > 0))
+    first = np.flatnonzero(np.diff(span, prepend=-1))
+    last = np.append(first[1:], len(span)) - 1
+    return starts[first[taken]], ends[last[taken]], doc[first[taken]]
+
+
+def _odd(low, at, plain, leet, total, letters, size) -> np.ndarray:
+    """Pieces that have more than one reading."""
+    odd = np.zeros(len(low), bool)
+    if len(low) > 2:
         odd[:-1] |= leet[:-1] & plain[1:]
         odd[:-2] |= leet[:-2] & leet[1:-1] & plain[2:]
         odd[:-2] |= plain[:-2] & (low[:-2] == low[1:-1]) & (low[:-2] == low[2:])
-    single = (plain | leet)
-    apart = _SEPARATOR[low] | _SPACE[low]
-    edge = np.zeros(n + 1, bool)
-    edge[at] = True
-    single[1:] &= apart[:-1] | edge[1:-1]
-    single[:-1] &= apart[1:] | edge[1:-1]
-    chain = np.flatnonzero(single[:-4] & single[2:-2] & single[4:]) if n > 4 else np.zeros(0, int)
-    spaced = set((np.searchsorted(at, chain, "right") - 1).tolist())
-    starts, ends, doc = runs(~_SPACE[low], at)
-    before = np.concatenate([[0], np.cumsum(odd)])
-    flagged = np.flatnonzero(before[ends] > before[starts])
-    if not len(flagged) and not spaced:
+    return total(odd) > 0
+
+
+def restore(data: np.ndarray, at: np.ndarray, decode: Decoder) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-cased bytes of texts with disguised spans decoded, and their new offsets."""
+    low = _LOWER[data]
+    starts, ends, doc = _spans(low, at)
+    if not len(starts):
         return low, at
     raw = low.tobytes()
-    pieces, last, sizes = [], 0, np.diff(at)
-    for k in flagged.tolist():
-        a, b, d = int(starts[k]), int(ends[k]), int(doc[k])
-        if d in spaced:
-            continue
+    pieces, last, grown = [], 0, np.zeros(len(starts), np.int64)
+    for k, (a, b) in enumerate(zip(starts.tolist(), ends.tolist())):
         new = decode(raw[a:b].decode("utf-8", "replace")).encode()
         pieces += [raw[last:a], new]
-        sizes[d] += len(new) - (b - a)
+        grown[k] = len(new) - (b - a)
         last = b
     pieces.append(raw[last:])
-    raw = b"".join(pieces)
-    if spaced:
-        where = np.concatenate([[0], np.cumsum(sizes)])
-        texts = [raw[where[d]:where[d + 1]] for d in range(len(sizes))]
-        for d in spaced:
-            text = SPACED.sub(lambda m: decode(m.group()), texts[d].decode("utf-8", "replace"))
-            texts[d] = re.sub(r"\S+", lambda m: decode(m.group()) if _disguised(m.group()) else m.group(), text).encode()
-            sizes[d] = len(texts[d])
-        raw = b"".join(texts)
-    return np.frombuffer(raw, np.uint8), np.concatenate([[0], np.cumsum(sizes)])
-
-
-_DISGUISED = re.compile("[" + re.escape("".join(LEET)) + r"]{1,2}[a-z]|([a-z])\1\1")
-
-
-def _disguised(token: str) -> bool:
-    return _DISGUISED.search(token) is not None
+    sizes = np.diff(at) + np.bincount(doc, grown, len(at) - 1).astype(np.int64)
+    return np.frombuffer(b"".join(pieces), np.uint8), np.concatenate([[0], np.cumsum(sizes)])
 
 
 def word_features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

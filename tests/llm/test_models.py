@@ -109,6 +109,26 @@ def test_restored_words(spark, characters):
     assert "loser" in got[5] and got[6] == "moron worthless"
 
 
+@pytest.mark.parametrize("text, wanted", [
+    ("st.upid", "stupid"), ("such id-iot", "such idiot"), ("s t u p id", "stupid"), ("i  d\ti\no  t", "idiot"), ("i/d/i/o/t", "idiot"),
+    ("i|d|i|o|t", "idiot"), ("y o u  i d i o t", "you  idiot"), ("a well-known end.Next", "a well-known end.next"), ("no. 12 at 10:30, 3.5", "no. 12 at 10:30, 3.5"),
+])
+def test_separators_may_be_there_or_not(characters, text, wanted):
+    data, at = buffer(["plain", text, ""])
+    got, ends = toxicity.restore(data, at, toxicity.Decoder(characters))
+    assert bytes(got).decode() == "plain" + wanted and ends.tolist() == [0, 5, 5 + len(wanted), 5 + len(wanted)]
+
+
+@pytest.mark.parametrize("span", ["st.upid", "i d i-ot", "y o  u i", "a|b|c"])
+@pytest.mark.parametrize("spread", [False, True])
+def test_decoding_of_separators_is_the_best_of_all_readings(characters, span, spread):
+    decode = toxicity.Decoder(characters)
+    places = decode._lattice(span, spread)
+    if spread:
+        assert any(not symbols for place in places for symbols, _, _ in place)
+    assert decode._best(places, 0.0)[0] == pytest.approx(all_readings(decode, places, 0.0))
+
+
 def test_toxicity_of_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     got = registry.op1_toxicity(spark, sf)
