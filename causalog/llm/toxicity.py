@@ -10,6 +10,7 @@ bounded sample of labelled rows, gives the score.
 """
 
 import re
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,10 @@ LEET = {
 
 #: Log-probabilities of the channel's moves: a letter written as something else, a sign
 #: that means itself right before a letter, a span's letters spaced out, a border of words
-#: among such letters, a word split in longer pieces, a letter repeated.
+#: among such letters, a word split in longer pieces, a letter repeated; @ or $ that means
+#: itself within a word, a doubled letter that is a single one.
 SWAP, SIGN, SPREAD, BREAK, SPLIT, SHORTEN = np.log(0.1), np.log(0.02), np.log(0.1), np.log(0.003), np.log(0.1), np.log(0.1)
+STRANGE, HALVE = np.log(1e-6), np.log(0.004)
 
 # Symbols of the character model: 0 any non-letter, 1-26 a-z, 27 other letters, 28 digits.
 SYMBOLS = 29
@@ -44,7 +47,7 @@ _PLAIN = (_SYMBOL > 0) & (_SYMBOL < 27)
 _LEET = np.isin(np.arange(256), [ord(c) for c in LEET])
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
-_GAP = re.compile(r"[^\w" + re.escape("".join(LEET)) + "]+")
+_GAP = re.compile(r"[^\w" + re.escape("".join(x for x in LEET if x != "|")) + "]+")
 
 BITS = 18
 
@@ -89,7 +92,7 @@ def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 class Decoder:
     """Viterbi decoding of one disguised span; readings of frequent spans are remembered."""
 
-    KEPT = 50_000
+    KEPT = 200_000
 
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
@@ -100,7 +103,10 @@ class Decoder:
         if out is None:
             if len(self.known) >= self.KEPT:
                 self.known.clear()
-            out = self.known[span] = max(self._best(self._lattice(span, False), 0.0), self._best(self._lattice(span), SPREAD), key=lambda r: r[0])[1]
+            read = self._best(self._lattice(span, False), 0.0)
+            if _GAP.search(span):
+                read = max(read, self._best(self._lattice(span), SPREAD), key=lambda r: r[0])
+            out = self.known[span] = read[1]
         return out
 
     @staticmethod
@@ -111,6 +117,15 @@ class Decoder:
     def _separates(c: str) -> bool:
         return ord(c) < 128 and not ("a" <= c <= "z" or c in LEET)
 
+    @staticmethod
+    def _sign(span: str, i: int, j: int) -> float:
+        """Cost of a sign that means itself: unlikely right before a letter and, but for
+        marks and three in a row at the end of a word, beside a letter or another sign for one."""
+        near = span[max(0, i - 1):i] + span[j:j + 1]
+        if span[i] not in "!+|" and j - i < 3 and any("a" <= x <= "z" or x in "@$!|" for x in near):
+            return STRANGE
+        return SIGN if "a" <= span[j:j + 1] <= "z" else 0.0
+
     @staticmethod
     def _divides(span: str, i: int) -> bool:
         """A sign that may replace a letter, but stands again two places on: i|d|i|o|t."""
@@ -129,7 +144,7 @@ class Decoder:
         places, i, n = [], 0, len(span)
         while i < n:
             c, j = span[i], i + 1
-            while j < n and span[j] == c and "a" <= c <= "z":
+            while j < n and span[j] == c and ("a" <= c <= "z" or c in LEET):
                 j += 1
             s = self._symbol(c)
             if self._separates(c) or 0 < i < n - 1 and self._divides(span, i):
@@ -145,13 +160,19 @@ class Decoder:
                         places[-1] = [((0,), span[i:j], 0.0 if border else BREAK), ((), "", 0.0)]
                 i = j
                 continue
-            if j - i >= 3:
-                places.append([((s,) * (j - i), span[i:j], 0.0), ((s,), c, SHORTEN), ((s, s), c + c, SHORTEN)])
-                i = j
-                continue
-            sign = SIGN if c in LEET and s == 0 and j < n and "a" <= span[j] <= "z" else 0.0
-            places.append([((s,), c, sign), *[((self._symbol(x),), x, SWAP) for x in LEET.get(c, "")]])
-            i += 1
+            sign = self._sign(span, i, j) if s == 0 and c in LEET else 0.0  # once a run
+            read = [((self._symbol(x),), x, SWAP) for x in LEET.get(c, "")]
+            if j - i == 1:
+                places.append([((s,), c, sign), *read])
+            else:
+                m = j - i
+                places.append([((s,) * m, c * m, sign)])
+                if s and c not in LEET:
+                    places[-1] += [((s,) * k, c * k, SHORTEN if m > 2 else HALVE) for k in range(1, min(m, 3))]
+                for k in range(1, min(m, 3) + 1):  # 1111 as l or ll, 111 as ill
+                    cost = SWAP * m + HALVE if k < m == 2 else SWAP * k + (SHORTEN if k < m else 0.0)
+                    places[-1] += [(sum((r[0] for r in p), ()), "".join(r[1] for r in p), cost) for p in product(read, repeat=k)]
+            i = j
         return places
 
     def _best(self, lattice: list, start: float) -> tuple[float, str]:
@@ -201,7 +222,13 @@ def _spans(low: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
         return sums[b] - sums[a]
 
     size, letters = ends - starts, total(plain)
-    odd = _odd(low, at, plain, leet, total, letters, size)
+    # Pieces with more than one reading: letters and signs for letters, doubled letters, or signs alone (not one repeated).
+    double, other = np.zeros(len(low), bool), np.zeros(len(low), bool)
+    double[1:] = plain[1:] & (low[1:] == low[:-1])
+    other[1:] = low[1:] != low[:-1]
+    signs = total(leet & (_SYMBOL[low] == 0))
+    odd = ((letters > 0) & ((letters < size) & (total(leet) > 0) | (total(double, starts + 1, ends) > 0))
+           | (letters == 0) & (signs > 1) & (total(other, starts + 1, ends) > 0) & (signs * 2 >= size))
     same = doc[1:] == doc[:-1]
     tight = same & (total(_SPACE[low], ends[:-1], starts[1:]) == 0)
     short = (size <= 2) & (letters + total(leet) == size)
@@ -217,16 +244,6 @@ def _spans(low: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts[first[taken]], ends[last[taken]], doc[first[taken]]
 
 
-def _odd(low, at, plain, leet, total, letters, size) -> np.ndarray:
-    """Pieces that have more than one reading."""
-    odd = np.zeros(len(low), bool)
-    if len(low) > 2:
-        odd[:-1] |= leet[:-1] & plain[1:]
-        odd[:-2] |= leet[:-2] & leet[1:-1] & plain[2:]
-        odd[:-2] |= plain[:-2] & (low[:-2] == low[1:-1]) & (low[:-2] == low[2:])
-    return total(odd) > 0
-
-
 def restore(data: np.ndarray, at: np.ndarray, decode: Decoder) -> tuple[np.ndarray, np.ndarray]:
     """Lower-cased bytes of texts with disguised spans decoded, and their new offsets."""
     low = _LOWER[data]

@@ -119,6 +119,21 @@ def test_separators_may_be_there_or_not(characters, text, wanted):
     assert bytes(got).decode() == "plain" + wanted and ends.tolist() == [0, 5, 5 + len(wanted), 5 + len(wanted)]
 
 
+def test_every_token_with_two_readings_is_decoded(characters):
+    # These documents hold no "ass", so their model takes the doubled sign for one letter.
+    text = "idio7 hat3 a55 @$$ stuupiidd id1111ot 1d!0t hello worthless idiot! pay $100, $5, 2024 or 10+ now!! $$$"
+    data, at = buffer([text])
+    got, _ = toxicity.restore(data, at, toxicity.Decoder(characters))
+    assert bytes(got).decode() == "idiot hate as as stupid idiot idiot hello worthless idiot! pay $100, $5, 2024 or 10+ now!! $$$"
+
+
+@pytest.mark.parametrize("span", ["a55", "@$$", "f111", "oo77", "!!a"])
+def test_decoding_of_repeated_signs_is_the_best_of_all_readings(characters, span):
+    decode = toxicity.Decoder(characters)
+    places = decode._lattice(span)
+    assert decode._best(places, 0.0)[0] == pytest.approx(all_readings(decode, places, 0.0))
+
+
 @pytest.mark.parametrize("span", ["st.upid", "i d i-ot", "y o  u i", "a|b|c"])
 @pytest.mark.parametrize("spread", [False, True])
 def test_decoding_of_separators_is_the_best_of_all_readings(characters, span, spread):
