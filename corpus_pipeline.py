@@ -2,8 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir), works on all its predecessor kept and, but for
 the last, returns the columns it got.  ``run`` writes each stage's rows as Parquet to
-the shared folder and reads them again.  Documents are known by ``doc_id``; null counts
-as an id like any other.
+the shared folder and reads them again.  The stages that drop rows decide on every row
+by itself, known by a key of its own; mixing knows documents by ``doc_id``, null being an
+id like any other.
 """
 
 from uuid import uuid4
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causalog.llm import quality
-from causalog.llm.common import fresh, shared_folder, sized_broadcast, stable, table
+from causalog.llm.common import fresh, shared_folder, sized_broadcast, stable, table, written
 from causalog.llm.decontaminate import decontaminate
 from causalog.llm.mixing import mix
 from causalog.llm.sharding import hilbert_shards
@@ -35,25 +36,33 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return scored.where(F.col(score) >= LEAST_QUALITY).drop(score)
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a unique number per row, written once so that it stays, and that column's name."""
+    key = fresh(docs, "_row")
+    return written(docs.withColumn(key, F.monotonically_increasing_id())), key
+
+
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near-duplicates.
+    """One row of every group of near-duplicates: the smallest id, null last, and of its rows any one.
 
-    Rows that repeat both id and text count as one document.
+    Rows that repeat an id, null ids too, are each compared by their own text.
     """
-    found = near_duplicates(docs)
-    first = stable(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
-    rest = matched(docs, first.distinct(), "left_semi")
-    repeated = first.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return rest if repeated.isEmpty() else rest.dropDuplicates(["doc_id", "text"])
+    rows, key = keyed(docs)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col(key).alias("row"))
+    found = near_duplicates(rows.select(place.alias("place"), "text"), id_col="place")
+    first = stable(found.where("place.row = component_id.row").select(F.col("place.row").alias(key)))
+    return rows.join(sized_broadcast(first), key, "left_semi").select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a word inside a benchmark window.
 
-    Of rows that repeat an id, all go if one is contaminated.
+    Rows that repeat an id, null ids too, are each judged by their own text.
     """
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return matched(docs, found.where("contaminated").select("doc_id"), "left_anti")
+    rows, key = keyed(docs)
+    found = decontaminate(rows, table(spark, sf_dir, "benchmark"), id_col=key)
+    hit = stable(found.where("contaminated").select(key))
+    return rows.join(sized_broadcast(hit), key, "left_anti").select(*docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,6 +53,18 @@ def test_decontamination_stage(spark, documents):
     assert ids(cp.benchmark_decontamination(spark, documents, SF)) == sorted(r.doc_id for r in found.where("n_hit = 0").collect())
 
 
+def test_stages_decide_by_row_where_ids_are_null_or_shared(spark):
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").select("text").first()[0]
+    rows = [(None, leak), (None, "clean words without an id"), (7, leak), (7, "clean words of a shared id"), (8, "clean words")]
+    got = cp.benchmark_decontamination(spark, docs(spark, rows), SF).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == [("7", rows[3][1]), ("8", rows[4][1]), ("None", rows[1][1])]
+
+    near, other, third = "a b c d e", "other words all along", "alone as an island is"
+    rows = [(None, near), (None, near), (1, near), (2, other), (None, other), (1, third), (0, third), (None, "only without an id"), (None, "only without an id")]
+    got = cp.simhash_near_dedup(spark, docs(spark, rows), SF).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == [("0", third), ("1", near), ("2", other), ("None", "only without an id")]
+
+
 def test_mixing_stage_repeats_documents(spark, documents):
     got = cp.source_mixing(spark, documents, SF)
     words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
