@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from causalog.session import ensure_checkpoint_dir, stable
 
-__all__ = ["CHUNK_BYTES", "WORD", "chunks", "column", "fresh", "letters_lower", "lists", "shared_folder", "sized_broadcast", "stable", "table", "text_bytes", "written"]
+__all__ = ["CHUNK_BYTES", "WORD", "bounded_broadcast", "chunks", "column", "fresh", "letters_lower", "lists", "shared_folder", "sized_broadcast", "stable", "table", "text_bytes", "written"]
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,6 +48,22 @@ def sized_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+#: Bytes up to which ``bounded_broadcast`` sends a side to every executor.
+BROADCAST_BYTES = 64 << 20
+
+
+def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its values take at most ``limit`` bytes; else as it is.
+
+    Measured over all rows: texts by their length, other columns 16 bytes each.  ``df``
+    should be flat and cheap to read twice.  Without the hint the join shuffles, and
+    adaptive execution splits hot keys.
+    """
+    texts = [F.coalesce(F.octet_length(column(df, c)), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
+    row = sum(texts, F.lit(16 * len(df.columns))).cast("long")
+    return F.broadcast(df) if (df.agg(F.sum(row)).first()[0] or 0) <= limit else df
+
+
 def letters_lower(text: Column) -> Column:
     """Lower-case A-Z only.  An all-ASCII text may use the faster built-in."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -12,6 +12,7 @@ from causalog.llm.exact_dedup import exact_dedup
 from causalog.llm import langid, quality, toxicity
 from causalog.llm.line_dedup import dedup_lines
 from causalog.llm.mixing import mix
+from causalog.llm.reputation import filter_urls
 from causalog.llm.sharding import hilbert_shards
 from causalog.llm.simhash import near_duplicates
 from causalog.llm.sql import SQL
@@ -121,6 +122,17 @@ def op7_language(spark, sf_dir):
     return langid.predict(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"])
 
 
-SPARK = {f.__name__: f for f in (op1_toxicity, op2_warc_revisits, op3_simhash, op4_mixing, op5_exact_dedup, op6_sharding, op7_language, op8_quality, op9_line_dedup, op10_decontamination)}
+#: Rules of the query, before reputation: (verdict, host/path).
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op11_url_filters(spark, sf_dir):
+    """The tables label no pages; a page takes the label of its number, bad if toxic or of poor quality."""
+    labels = table(spark, sf_dir, "labels")
+    bad = F.greatest(F.col("toxic"), 1 - F.col("quality"))
+    return filter_urls(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")), URL_RULES)
+
+
+SPARK = {f.__name__: f for f in (op1_toxicity, op2_warc_revisits, op3_simhash, op4_mixing, op5_exact_dedup, op6_sharding, op7_language, op8_quality, op9_line_dedup, op10_decontamination, op11_url_filters)}
 
 __all__ = ["SPARK", "SQL"]
