@@ -6,10 +6,10 @@ table and derive digest columns from its result.
 
 from pyspark.sql import functions as F
 
-from causalog.llm.common import table
+from causalog.llm.common import stable, table
 from causalog.llm.decontaminate import decontaminate
 from causalog.llm.exact_dedup import exact_dedup
-from causalog.llm import langid, quality, toxicity
+from causalog.llm import langid, quality, toxicity, vector_codes
 from causalog.llm.line_dedup import dedup_lines
 from causalog.llm.mixing import mix
 from causalog.llm.reputation import filter_urls
@@ -133,6 +133,15 @@ def op11_url_filters(spark, sf_dir):
     return filter_urls(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")), URL_RULES)
 
 
-SPARK = {f.__name__: f for f in (op1_toxicity, op2_warc_revisits, op3_simhash, op4_mixing, op5_exact_dedup, op6_sharding, op7_language, op8_quality, op9_line_dedup, op10_decontamination, op11_url_filters)}
+def op12_vector_codes(spark, sf_dir):
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    code = F.lower(F.array_join(F.transform("codes", lambda c: F.lpad(F.hex(c), 2, "0")), ""))
+    error = F.aggregate("errors", F.lit(0).cast("long"), lambda a, b: a + b)
+    found = stable(coded.select("vec_id", "label", code.alias("code"), error.alias("error")))
+    return vector_codes.with_label_error(found).select(
+        "vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+SPARK = {f.__name__: f for f in (op1_toxicity, op2_warc_revisits, op3_simhash, op4_mixing, op5_exact_dedup, op6_sharding, op7_language, op8_quality, op9_line_dedup, op10_decontamination, op11_url_filters, op12_vector_codes)}
 
 __all__ = ["SPARK", "SQL"]

@@ -181,4 +181,38 @@ SELECT page_id, host, path, rule,
 FROM ruled JOIN judged USING (host)
 """
 
-SQL = {"op2_warc_revisits": OP2, "op4_mixing": OP4, "op5_exact_dedup": OP5, "op9_line_dedup": OP9, "op10_decontamination": OP10, "op11_url_filters": OP11}
+def _round(no: int) -> str:
+    """Assignment to the codebooks ``book{no}``; whole numbers in doubles are exact here."""
+    return f"""
+near{no} AS (
+  SELECT x.key, x.part, arg_min(entry, (d, entry)) AS entry, min(d) AS far FROM (
+    SELECT x.key, x.part, b.entry, list_inner_product(x.x, x.x) - 2 * list_inner_product(x.x, b.x) + list_inner_product(b.x, b.x) AS d
+    FROM parts x JOIN book{no} b ON x.part = b.part) x
+  GROUP BY x.key, x.part)"""
+
+
+def _book(no: int) -> str:
+    return f"""
+book{no} AS (
+  SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM book{no - 1} b LEFT JOIN (
+    SELECT part, entry, list(floor(total / n) ORDER BY i) AS x FROM (
+      SELECT n.part, n.entry, i, sum(p.x[i]) AS total, count(*) AS n
+      FROM near{no - 1} n JOIN parts p ON n.key = p.key AND n.part = p.part, range(1, len(p.x) + 1) r(i) GROUP BY n.part, n.entry, i)
+    GROUP BY part, entry) m ON b.part = m.part AND b.entry = m.entry)"""
+
+
+OP12 = f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda v: floor(1024 * CAST(v AS DOUBLE))) AS x, row_number() OVER (ORDER BY vec_id) - 1 AS key
+  FROM embeddings WHERE len(embedding) = len(list_filter(embedding, lambda v: coalesce(isfinite(v), false)))),
+parts AS MATERIALIZED (SELECT key, part, x[part * len(x) // 4 + 1:(part + 1) * len(x) // 4] AS x FROM kept, range(4) r(part)),
+book0 AS (SELECT part, key AS entry, x FROM parts WHERE key < 256),
+{_round(0)}, {", ".join(_book(no) + ", " + _round(no) for no in range(1, 5))},
+digest AS (SELECT sha256(string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, i)) AS codebooks_sha256
+  FROM (SELECT part, entry, unnest(x) AS v, unnest(range(len(x))) AS i FROM book4)),
+coded AS (SELECT key, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(far) AS BIGINT) AS error FROM near4 GROUP BY key)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (key), digest
+"""
+
+SQL = {"op2_warc_revisits": OP2, "op4_mixing": OP4, "op5_exact_dedup": OP5, "op9_line_dedup": OP9, "op10_decontamination": OP10, "op11_url_filters": OP11, "op12_vector_codes": OP12}
