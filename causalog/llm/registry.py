@@ -6,10 +6,10 @@ table and derive digest columns from its result.
 
 from pyspark.sql import functions as F
 
-from causalog.llm.common import stable, table
+from causalog.llm.common import stable, table, written
 from causalog.llm.decontaminate import decontaminate
 from causalog.llm.exact_dedup import exact_dedup
-from causalog.llm import langid, quality, toxicity, vector_codes
+from causalog.llm import alignment, langid, quality, toxicity, vector_codes
 from causalog.llm.line_dedup import dedup_lines
 from causalog.llm.mixing import mix
 from causalog.llm.reputation import filter_urls
@@ -142,6 +142,13 @@ def op12_vector_codes(spark, sf_dir):
         "vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
 
 
-SPARK = {f.__name__: f for f in (op1_toxicity, op2_warc_revisits, op3_simhash, op4_mixing, op5_exact_dedup, op6_sharding, op7_language, op8_quality, op9_line_dedup, op10_decontamination, op11_url_filters, op12_vector_codes)}
+def op13_alignment(spark, sf_dir):
+    aligned = alignment.align_tokens(table(spark, sf_dir, "documents"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    rows = written(aligned.withColumn("groups_sha256", digest).drop("groups"))
+    return alignment.with_link_counts(rows, ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"])
+
+
+SPARK = {f.__name__: f for f in (op1_toxicity, op2_warc_revisits, op3_simhash, op4_mixing, op5_exact_dedup, op6_sharding, op7_language, op8_quality, op9_line_dedup, op10_decontamination, op11_url_filters, op12_vector_codes, op13_alignment)}
 
 __all__ = ["SPARK", "SQL"]
