@@ -18,6 +18,7 @@ encoded once for many texts, and encoders never see more than a unit at a time.
 import re
 import sys
 from dataclasses import dataclass
+from itertools import chain
 from types import ModuleType
 
 import numpy as np
@@ -31,7 +32,7 @@ from causalog.llm.common import bounded_broadcast, chunks, column, stable, text_
 FOLDER, BYTE_FILE, PIECE_FILE = "/opt/tokenizers", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 #: Units kept encoded by a Python worker before it starts afresh, and the longest unit kept, in characters.
-CACHED_UNITS, LONGEST_CACHED = 200_000, 64
+CACHED_UNITS, LONGEST_CACHED = 500_000, 64
 
 _SEPARATORS = (",", "|", ";", "")
 
@@ -106,39 +107,40 @@ class Encoder:
         """Per side the ids of all texts, one after another, and the texts' offsets among them."""
         if len(self.places) > CACHED_UNITS:
             self.start_afresh()
-        places, fresh, at, counts = self.places, [], [], []
-        known = len(places)
-        extra = {}  # long units of these texts, not kept
-        for text in texts:
-            own = units(text) if self.splits else [text]
-            counts.append(len(own))
-            for u in own:
-                place = places.get(u)
-                if place is None:
-                    place = extra.get(u)
-                if place is None:
-                    place = known + len(fresh)
-                    fresh.append(u)
-                    (places if len(u) <= LONGEST_CACHED else extra)[u] = place
-                at.append(place)
+        own = [units(t) if self.splits else [t] for t in texts]
+        ends = np.concatenate([[0], np.cumsum([*map(len, own)], dtype=np.int64)])
+        own = [*chain.from_iterable(own)]
+        at = [*map(self.places.get, own)]
+        fresh, known, passing = [], len(self.places), {}
+        for i, place in enumerate(at):
+            if place is None:
+                unit = own[i]
+                if len(unit) > LONGEST_CACHED:  # of these texts alone; numbered downwards
+                    at[i] = passing.setdefault(unit, -1 - len(passing))
+                else:
+                    at[i] = self.places.setdefault(unit, known + len(fresh))
+                    if at[i] == known + len(fresh):
+                        fresh.append(unit)
         at = np.array(at, np.int64)
-        ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+        at = np.where(at < 0, len(self.places) - 1 - at, at)
         out = []
         for n, side in enumerate(self.sides):
-            found = side.encode(fresh) if fresh else []
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            new = np.fromiter((i for ids in found for i in ids), np.int32, int(sizes.sum()))
-            self.flat[n] = np.concatenate([self.flat[n], new])
-            self.starts[n] = np.concatenate([self.starts[n], self.starts[n][-1] + np.cumsum(sizes)])
-            size = (self.starts[n][1:] - self.starts[n][:-1])[at]
+            self.flat[n], self.starts[n] = _appended(self.flat[n], self.starts[n], side.encode(fresh))
+            flat, starts = _appended(self.flat[n], self.starts[n], side.encode([*passing]))
+            size = np.diff(starts)[at]
             before = np.concatenate([[0], np.cumsum(size)])
-            pick = np.repeat(self.starts[n][at] - before[:-1], size) + np.arange(before[-1])
-            out.append((self.flat[n][pick], before[ends]))
-        if extra:  # their places are not known to the next texts
-            self.start_afresh()
+            out.append((flat[np.repeat(starts[at] - before[:-1], size) + np.arange(before[-1])], before[ends]))
         return out
 
 
+def _appended(flat: np.ndarray, starts: np.ndarray, found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    if not found:
+        return flat, starts
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    ids = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
+    return np.concatenate([flat, ids]), np.concatenate([starts, starts[-1] + np.cumsum(sizes)])
+
+
 _LOOSE = re.compile(r"(?<![!-~\w]) | (?![!-~\w])")
 _TIGHT = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
 
@@ -244,18 +246,24 @@ def group_texts(x: Aligned, labels: pa.Array) -> pa.Array:
 def link_lists(x: Aligned) -> tuple[np.ndarray, pa.ListArray, pa.ListArray]:
     """Per text the number of links, its distinct id pairs (a << 32 | b) and how often each is linked."""
     # Every stretch between two neighbouring ends of any side lies in one token of each.
-    stretches = np.union1d(*x.ends)
-    a, b = (i[np.searchsorted(e, stretches)].astype(np.int64) for i, e in zip(x.ids, x.ends))
-    text = np.searchsorted(x.bounds[1:], stretches)
-    order = np.lexsort((b, a, text))
-    a, b, text = a[order], b[order], text[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (np.diff(a) != 0) | (np.diff(b) != 0) | (np.diff(text) != 0)
-    first = np.flatnonzero(new)
-    times = np.diff(np.append(first, len(a)))
-    ends = pa.array(np.searchsorted(text[first], np.arange(len(x.bounds))), pa.int32())
-    pairs = pa.ListArray.from_arrays(ends, pa.array(a[first] << 32 | b[first], pa.int64()))
-    return x.per_text(stretches), pairs, pa.ListArray.from_arrays(ends, pa.array(times, pa.int32()))
+    both = np.concatenate(x.ends)
+    order = np.argsort(both, kind="stable")  # merges two sorted runs
+    both, of_a = both[order], order < len(x.ends[0])
+    new = np.diff(both, prepend=-1) != 0
+    stretches = both[new]
+    # An end closes its own token: those before it are counted.
+    a, b = (ids[(np.cumsum(own) - own)[new]].astype(np.int64) for ids, own in zip(x.ids, (of_a, ~of_a)))
+    n_links = x.per_text(stretches)
+    text = np.repeat(np.arange(len(n_links)), n_links)
+    wide = int(a.max(initial=0)) + 1, int(b.max(initial=0)) + 1
+    key = np.sort((text * wide[0] + a) * wide[1] + b)
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    times = np.diff(np.append(first, len(key)))
+    key, b = np.divmod(key[first], wide[1])
+    text, a = np.divmod(key, wide[0])
+    ends = pa.array(np.searchsorted(text, np.arange(len(x.bounds))), pa.int32())
+    pairs = pa.ListArray.from_arrays(ends, pa.array(a << 32 | b, pa.int64()))
+    return n_links, pairs, pa.ListArray.from_arrays(ends, pa.array(times, pa.int32()))
 
 
 def _encoder(folder: str, byte_file: str, piece_file: str) -> Encoder:
