@@ -3,8 +3,7 @@
 An intent is (id, verb, key, value, delta, index, site, wall_ms, intent_seq);
 ``intent_seq`` is non-negative and unique per site.  The result equals running the
 intents one by one in that order at each site, where a site sees its own earlier
-intents and no other site's.  List indexes are the exception: they refer to the list
-as it was before the batch (pops count each other; see ``list_effects``).
+intents and no other site's (for lists see ``list_edits``).
 
 An *effect* is the operation an intent causes, before it has a timestamp.
 """
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from causalog.functions.clocks import coord, hlc
 from causalog.functions.positions import position_at, with_gap
 from causalog.operators import resolve as R
+from causalog.operators.list_edits import BLOCK, list_items
 from causalog.operators.lookup import list_ranks
 from causalog.plans.scan import Running, prefix_scan, row_numbers
 from causalog.schema import OP_COLUMNS
@@ -84,75 +84,54 @@ def counter_effects(intents: DataFrame, present: DataFrame, width: int = WIDTH)
     )
 
 
-def _list_inserts(
-    intents: DataFrame, ranks: DataFrame, sizes: DataFrame, mode: str, width: int, site_digits: int
-) -> DataFrame:
-    """Inserts into one gap share it by rank.
-
-    Gap g lies before the element at index g.  Inserting again at the same index puts
-    the later element first; appends keep their order.  An index past the end appends.
-    """
-    rows = intents.where(F.col("verb").isin(*_INSERT)).join(sizes, "id", "left")
-    size = F.coalesce("__size", F.lit(0))
-    at = F.when(F.col("verb") == "list_prepend", 0).when(F.col("verb") == "list_append", size).otherwise(
-        F.least(F.col("index"), size)
-    )
-    at_end = (F.col("verb") == "list_append") | ((F.col("verb") == "list_insert_at") & (F.col("index") > size))
-    rows = rows.withColumns({
-        "__gap": at.cast("long"),
-        "__ord": F.when(at_end, F.col("intent_seq")).otherwise(-F.col("intent_seq") - 1),
-    })
-    gap = ["id", "site", "__gap"]
-    counts = rows.groupBy(*gap).agg(F.count("*").alias("__n"))
-    rows = row_numbers(rows, gap, ["__ord"], _bucket("__ord", width), "__rank").join(counts, gap)
-    after = ranks.select("id", F.col("index").alias("__gap"), F.col("pos").alias("__hi"))
-    before = ranks.select("id", (F.col("index") + 1).alias("__gap"), F.col("pos").alias("__lo"))
-    rows = rows.join(before, ["id", "__gap"], "left").join(after, ["id", "__gap"], "left")
-    rows = with_gap(rows, "__lo", "__hi", "__n", "site", site_digits)
-    return rows.select(
-        "id", position_at("__n", "__rank", mode).alias("key"), F.lit("l").alias("type"),
-        F.col("value").alias("data"), F.lit("a").alias("op"), "site", "wall_ms", "intent_seq",
-    )
+def _sizes(present: DataFrame) -> DataFrame:
+    return present.where("type = 'l' and op != 'r'").groupBy("id").agg(F.count("*").alias("__size"))
 
 
-def _list_targets(intents: DataFrame, sizes: DataFrame, width: int) -> DataFrame:
-    """Index each remove or pop takes out.
+def _new_positions(new: DataFrame, ranks: DataFrame, mode: str, site_digits: int) -> DataFrame:
+    """Positions (id, site, seq, key, by) of new elements (id, site, ord, seq, by, old).
 
-    The n-th pop_first of a site takes index n - 1 and the n-th pop_last takes the
-    n-th from the end, until the list is used up.
+    Gap g lies before the old element at index g; the new elements of a gap share it by
+    rank, those removed again included.
     """
-    pops = intents.where(F.col("verb").isin(*_POP))
-    first = (F.col("verb") == "list_pop_first").cast("long")
-    pops = prefix_scan(
-        pops, ["id", "site"], ["intent_seq"], _bucket("intent_seq", width),
-        {"__front": Running("sum", first), "__back": Running("sum", F.lit(1).cast("long") - first)},
-    ).join(sizes, "id")
-    pops = pops.where(F.col("__front") + F.col("__back") <= F.col("__size"))
-    taken = F.when(F.col("verb") == "list_pop_first", F.col("__front") - 1).otherwise(F.col("__size") - F.col("__back"))
-    columns = ["id", "site", "wall_ms", "intent_seq"]
-    removes = intents.where("verb = 'list_rmv'").select(*columns, F.col("index").cast("long").alias("index"))
-    return pops.select(*columns, taken.alias("index")).unionByName(removes)
+    gap = ["id", "site", "old"]
+    counts = new.groupBy(*gap).agg(F.count("*").alias("__n"))
+    rows = row_numbers(new, gap, ["ord"], _bucket("ord", WIDTH), "__rank", levels=2).join(counts, gap)
+    after = ranks.select("id", F.col("index").alias("old"), F.col("pos").alias("__hi"))
+    before = ranks.select("id", (F.col("index") + 1).alias("old"), F.col("pos").alias("__lo"))
+    rows = rows.join(before, ["id", "old"], "left").join(after, ["id", "old"], "left")
+    rows = with_gap(rows, "__lo", "__hi", "__n", "site", site_digits)
+    return rows.select("id", "site", "seq", position_at("__n", "__rank", mode).alias("key"), "by")
 
 
 def list_effects(intents: DataFrame, present: DataFrame, mode: str = "regular", width: int = WIDTH, site_digits: int = 1) -> DataFrame:
-    """Inserts, removes and pops.  Removing an index outside the list does nothing."""
-    ranks = list_ranks(present)
-    sizes = present.where("type = 'l' and op != 'r'").groupBy("id").agg(F.count("*").alias("__size"))
-    targets = _list_targets(intents, sizes, width).join(ranks.select("id", "index", "pos"), ["id", "index"])
-    removes = targets.select(
-        "id", F.col("pos").alias("key"), F.lit("l").alias("type"), F.lit(None).cast("string").alias("data"),
-        F.lit("r").alias("op"), "site", "wall_ms", "intent_seq",
-    )
-    return _list_inserts(intents, ranks, sizes, mode, width, site_digits).unionByName(removes)
+    """Inserts, removes and pops, each on the list as the site's earlier edits leave it.
+
+    An index past the end appends; removing an index outside the list does nothing.
+    """
+    ranks = stable(list_ranks(present).select("id", "index", "pos"))
+    items = stable(list_items(intents, _sizes(present), min(width, BLOCK), width))
+    new = stable(_new_positions(items.where("seq is not null").drop("lo", "live"), ranks, mode, site_digits))
+    old = items.where("seq is null and by >= 0").select("id", "site", F.col("lo").alias("index"), "by")
+    gone = old.join(ranks, ["id", "index"]).select("id", "site", "by", F.col("pos").alias("key")).unionByName(
+        new.where("by >= 0").select("id", "site", "by", "key"))
+    who = ["id", "site", "intent_seq"]
+    made = intents.select(*who, "wall_ms", "value")
+    added = new.select("id", "site", F.col("seq").alias("intent_seq"), "key").join(made, who).select(
+        "id", "key", F.lit("l").alias("type"), F.col("value").alias("data"), F.lit("a").alias("op"), "site", "wall_ms", "intent_seq")
+    return added.unionByName(gone.withColumnRenamed("by", "intent_seq").join(made, who).select(
+        "id", "key", F.lit("l").alias("type"), F.lit(None).cast("string").alias("data"), F.lit("r").alias("op"), "site", "wall_ms", "intent_seq"))
 
 
 def list_popped(intents: DataFrame, present: DataFrame, width: int = WIDTH) -> DataFrame:
-    """What each pop returns; NULL once the list is empty."""
-    pops = intents.where(F.col("verb").isin(*_POP))
-    sizes = present.where("type = 'l' and op != 'r'").groupBy("id").agg(F.count("*").alias("__size"))
-    values = _list_targets(pops, sizes, width).join(list_ranks(present).select("id", "index", "data"), ["id", "index"])
+    """What each pop returns, elements of the batch itself included; NULL once the list is empty."""
+    items = stable(list_items(intents, _sizes(present), min(width, BLOCK), width).where("by >= 0"))
+    old = items.where("seq is null").select("id", "site", F.col("lo").alias("index"), F.col("by").alias("intent_seq"))
+    values = old.join(list_ranks(present).select("id", "index", "data"), ["id", "index"]).select("id", "site", "intent_seq", "data")
+    added = intents.where(F.col("verb").isin(*_INSERT)).select("id", "site", F.col("intent_seq").alias("seq"), F.col("value").alias("data"))
+    values = values.unionByName(items.join(added, ["id", "site", "seq"]).select("id", "site", F.col("by").alias("intent_seq"), "data"))
     keys = ["id", "site", "intent_seq"]
-    return pops.select(*keys, "verb").join(values.select(*keys, "data"), keys, "left")
+    return intents.where(F.col("verb").isin(*_POP)).select(*keys, "verb").join(values, keys, "left")
 
 
 _VISIBLE = {

@@ -90,7 +90,7 @@ def list_present(spark, values):
     return present(spark, [op(type="l", key=f"{chr(66 + i)}1", data=v, lts=(i + 1, 0, 0)) for i, v in enumerate(values)])
 
 
-def after(spark, p, made, mode="regular", width=3):
+def after(spark, p, made, mode="regular", width=20):
     got = W.run_intents(intents(spark, made), p, N, kinds=("l",), mode=mode, width=width)
     return as_dict(R.list_tuple(M.merge_ops(p, got, N, "causal"))).get("x", [])
 

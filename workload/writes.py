@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from causalog.functions.positions import bulk_positions
 from causalog.operators import intents as W, lookup as L
 from causalog.operators.merge import merge_ops
-from causalog.plans.scan import Running, prefix_scan, sorted_buckets
+from causalog.plans.scan import Running, prefix_scan, row_numbers, sorted_buckets
+from causalog.session import stable
 from causalog.sources.recipes import N_SITES, epoch_ms, structure_id
 from workload.spark_base import flat, log, table
 from workload.sql_parts import with_log
@@ -155,35 +156,52 @@ def merge_intents(spark, sf_dir):
 
 # lists
 _RANKED = "ranked AS (SELECT id, key AS pos, data, row_number() OVER (PARTITION BY id ORDER BY key, site, pt DESC, lt DESC) - 1 AS index FROM loc WHERE op <> 'r'), sizes AS (SELECT id, count(*) AS size FROM ranked GROUP BY id)"
-_POPS = """pops AS (
-  SELECT i.*, s.size, count(CASE WHEN verb = 'list_pop_first' THEN 1 END) OVER w AS f, count(CASE WHEN verb = 'list_pop_last' THEN 1 END) OVER w AS b
-  FROM ints i LEFT JOIN sizes s ON i.id = s.id WHERE verb IN ('list_pop_first', 'list_pop_last')
-  WINDOW w AS (PARTITION BY i.id, i.site ORDER BY seq)),
-places AS (SELECT *, CASE WHEN f + b > size THEN NULL WHEN verb = 'list_pop_first' THEN f - 1 ELSE size - b END AS place FROM pops),
-popped AS (
-  SELECT p.id, p.site, p.seq, p.verb, r.data, r.pos FROM places p LEFT JOIN ranked r ON p.id = r.id AND r.index = p.place)"""
-_LISTS = f"{_LOCAL}, {_ints('l')}, {_RANKED}, {_POPS}"
-
-
-@query("list_removes", with_log("l", """
-SELECT id, pos AS key, site, seq FROM popped WHERE pos IS NOT NULL
-UNION ALL SELECT i.id, r.pos, i.site, i.seq FROM ints i JOIN ranked r ON i.id = r.id AND i.index = r.index WHERE i.verb = 'list_rmv'""", more=_LISTS))
+# The edits of every site run one by one: a list holds (old index, or -1 - seq of its insert; old elements before it).
+_EDITED = """numbered AS (SELECT *, row_number() OVER (PARTITION BY id, site ORDER BY seq) AS n, verb IN ('list_prepend', 'list_append', 'list_insert_at') AS adds FROM ints),
+begun AS (SELECT id, list({'r': index, 'g': index + 1} ORDER BY index) AS state FROM ranked GROUP BY id),
+edited(id, site, n, state, seq, hit, gap) AS (
+  SELECT DISTINCT i.id, i.site, CAST(0 AS BIGINT), coalesce(b.state, []), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT)
+  FROM ints i LEFT JOIN begun b ON i.id = b.id
+  UNION ALL
+  SELECT id, site, n, CASE WHEN adds THEN state[1:spot] || [{'r': -1 - seq, 'g': gap}] || state[spot + 1:]
+      WHEN spot BETWEEN 0 AND len(state) - 1 THEN state[1:spot] || state[spot + 2:] ELSE state END,
+    seq, CASE WHEN NOT adds AND spot BETWEEN 0 AND len(state) - 1 THEN state[spot + 1].r END, CASE WHEN adds THEN gap END
+  FROM (SELECT *, CASE WHEN spot = 0 THEN 0 ELSE state[spot].g END AS gap FROM (
+    SELECT e.id, e.site, i.n, e.state, i.seq, i.adds, CASE i.verb WHEN 'list_prepend' THEN 0 WHEN 'list_append' THEN len(e.state)
+        WHEN 'list_insert_at' THEN least(i.index, len(e.state)) WHEN 'list_rmv' THEN i.index WHEN 'list_pop_first' THEN 0 ELSE len(e.state) - 1 END AS spot
+    FROM edited e JOIN numbered i ON i.id = e.id AND i.site = e.site AND i.n = e.n + 1)))"""
+_LISTS = f"{_LOCAL}, {_ints('l')}, {_RANKED}, {_EDITED}"
+
+
+def _edited_sql(select):
+    return with_log("l", select, more=_LISTS).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("list_removes", _edited_sql("""
+SELECT e.id, e.site, e.seq, coalesce(r.pos, 'insert ' || (-1 - e.hit)) AS key
+FROM edited e LEFT JOIN ranked r ON e.id = r.id AND e.hit = r.index WHERE e.hit IS NOT NULL"""))
 def list_removes(spark, sf_dir):
+    """What each remove and pop takes: the position of an old element, or the insert of the batch it undoes."""
     local, _ = _halves(spark, sf_dir, "l")
-    out = W.list_effects(intents(spark, sf_dir, "l"), local)
-    return out.where("op = 'r'").select("id", "key", "site", F.col("intent_seq").alias("seq"))
-
-
-@query("list_popped", with_log("l", "SELECT id, site, seq, verb, data FROM popped", more=_LISTS))
+    out = stable(W.list_effects(intents(spark, sf_dir, "l"), local))
+    added = out.where("op = 'a'").select("id", "site", "key", F.col("intent_seq").alias("insert"))
+    gone = out.where("op = 'r'").join(added, ["id", "site", "key"], "left")
+    key = F.coalesce(F.concat(F.lit("insert "), F.col("insert").cast("string")), F.col("key"))
+    return gone.select("id", "site", F.col("intent_seq").alias("seq"), key.alias("key"))
+
+
+@query("list_popped", _edited_sql("""
+SELECT i.id, i.site, i.seq, i.verb, coalesce(r.data, b.value) AS data
+FROM ints i JOIN edited e ON i.id = e.id AND i.site = e.site AND i.seq = e.seq
+LEFT JOIN ranked r ON e.id = r.id AND e.hit = r.index LEFT JOIN ints b ON b.id = e.id AND b.site = e.site AND b.seq = -1 - e.hit
+WHERE i.verb IN ('list_pop_first', 'list_pop_last')"""))
 def list_popped(spark, sf_dir):
     local, _ = _halves(spark, sf_dir, "l")
     return W.list_popped(intents(spark, sf_dir, "l"), local).withColumnRenamed("intent_seq", "seq")
 
 
-@query("list_inserts", with_log("l", """
-SELECT i.id, i.site, i.seq, i.value AS data, CASE WHEN verb = 'list_prepend' THEN 0 WHEN verb = 'list_append' THEN coalesce(size, 0)
-  ELSE least(i.index, coalesce(size, 0)) END AS gap
-FROM ints i LEFT JOIN sizes s ON i.id = s.id WHERE verb IN ('list_prepend', 'list_append', 'list_insert_at')""", more=_LISTS))
+@query("list_inserts", _edited_sql("""
+SELECT i.id, i.site, i.seq, i.value AS data, e.gap FROM numbered i JOIN edited e ON i.id = e.id AND i.site = e.site AND i.seq = e.seq WHERE i.adds"""))
 def list_inserts(spark, sf_dir):
     """Where each insert lands: how many of the old elements its position follows."""
     local, _ = _halves(spark, sf_dir, "l")
@@ -196,6 +214,23 @@ def list_inserts(spark, sf_dir):
     return placed.where("old is null").select("id", "site", F.col("intent_seq").alias("seq"), "data", "gap")
 
 
+@query("list_edited", _edited_sql("""
+SELECT s.id, s.site, s.index, coalesce(r.data, b.value) AS data
+FROM (SELECT id, site, unnest(state).r AS r, unnest(range(len(state))) AS index FROM (SELECT id, site, arg_max(state, n) AS state FROM edited GROUP BY id, site)) s
+LEFT JOIN ranked r ON s.id = r.id AND s.r = r.index LEFT JOIN ints b ON b.id = s.id AND b.site = s.site AND b.seq = -1 - s.r"""))
+def list_edited(spark, sf_dir):
+    """Every list as each site that edits it sees it after the batch, in the order of positions."""
+    local, _ = _halves(spark, sf_dir, "l")
+    out = stable(W.list_effects(intents(spark, sf_dir, "l"), local))
+    who = out.select("id", "site").union(intents(spark, sf_dir, "l").select("id", "site")).distinct()
+    old = L.list_ranks(local).select("id", F.col("pos").alias("key"), "data").join(who, "id")
+    gone = out.where("op = 'r'").select("id", "site", "key")
+    live = old.select("id", "site", "key", "data").unionByName(out.where("op = 'a'").select("id", "site", "key", "data")).join(gone, ["id", "site", "key"], "left_anti")
+    ranged = sorted_buckets(live, ["id", "site", "key"])
+    numbered = row_numbers(ranged, ["id", "site"], ["key"], F.col("__range"), "n", levels=2)
+    return numbered.select("id", "site", (F.col("n") - 1).alias("index"), "data")
+
+
 @query("list_clear", with_log("l", f"""
 SELECT s.id, s.key, c.site, c.seq FROM (SELECT id, site, min(seq) AS seq FROM cl GROUP BY id, site) c
 JOIN (SELECT id, key FROM loc WHERE op <> 'r') s ON c.id = s.id""",
