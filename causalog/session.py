@@ -12,6 +12,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    # Checkpoint files go when no DataFrame can read them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

@@ -1,124 +1,71 @@
-"""The materialised present as levels of resolved rows.
+"""The materialised present as a plain Parquet table that is only ever appended to.
 
-Every commit appends the frontier of its own batch as a level; reading resolves the
-levels together.  A row's identity is the row itself, so a batch that comes again, late,
-or from another stream merges like any other.  When there are many levels the smaller
-ones are resolved into one.
+Every batch adds the frontier of its own operations; reading resolves all rows together.
+A row's identity is the row itself, so a batch that comes again, late, in part or from
+another stream merges like any other, and no batch needs to see the table.  The table
+grows with the batches until a compaction, an ordinary Spark job, writes what is present
+to a new table.
 """
 
-from uuid import uuid4
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from causalog.operators.merge import as_merged
 from causalog.operators.present import causal_present
 from causalog.schema import PRESENT, PRESENT_COLUMNS
 
-MANIFEST_SCHEMA = "level string, rows bigint, replaces array<string>"
-
-
-class PresentStore:
-    """``max_levels`` levels are kept at most; beyond, all but the largest few are compacted."""
-
-    def __init__(self, spark: SparkSession, path: str, n_sites: int, mode: str = "exact", max_levels: int = 8):
-        self.spark, self.path = spark, path.rstrip("/")
-        self.n_sites, self.mode, self.max_levels = n_sites, mode, max_levels
-
-    def _folder(self, name: str):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
-
-    def _manifests(self) -> list[str]:
-        """Committed manifests: a folder counts once Spark has marked it complete."""
-        fs, folder = self._folder("manifest")
-        if not fs.exists(folder):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        done = [n for n in names if not n.startswith("_") and fs.exists(self._folder(f"manifest/{n}/_SUCCESS")[1])]
-        return sorted(done)
-
-    def levels(self) -> dict[str, int]:
-        """Live levels and their row counts; at most ``max_levels`` after a commit by one writer."""
-        names = self._manifests()
-        if not names:
-            return {}
-        paths = [f"{self.path}/manifest/{n}" for n in names]
-        entries = self.spark.read.schema(MANIFEST_SCHEMA).parquet(*paths).collect()
-        gone = {old for e in entries for old in e["replaces"]}
-        return {e["level"]: e["rows"] for e in entries if e["level"] not in gone}
-
-    def _rows(self, levels: list[str]) -> DataFrame:
-        if not levels:
-            return self.spark.createDataFrame([], PRESENT)
-        return self.spark.read.schema(PRESENT).parquet(*[f"{self.path}/data/{level}" for level in sorted(levels)])
+
+class PresentTable:
+    """The table in the folder ``path``, which is made if it is not there."""
+
+    def __init__(self, spark: SparkSession, path: str, n_sites: int, mode: str = "exact"):
+        self.spark, self.path, self.n_sites, self.mode = spark, path, n_sites, mode
+        self.append(spark.createDataFrame([], PRESENT))
 
     def _resolved(self, rows: DataFrame) -> DataFrame:
         return causal_present(rows.select(*PRESENT_COLUMNS), self.n_sites, mode=self.mode)
 
+    def rows(self) -> DataFrame:
+        """All appended rows, superseded ones too."""
+        return self.spark.read.schema(PRESENT).parquet(self.path)
+
     def read(self) -> DataFrame:
-        """The present.  A filter on ``id`` reaches the scan of every level."""
-        levels = list(self.levels())
-        rows = self._rows(levels)
-        return rows if len(levels) < 2 else self._resolved(rows)
-
-    def _commit(self, rows: DataFrame, replaces: list[str]) -> None:
-        level = f"level-{uuid4().hex}"
-        rows.select(*PRESENT_COLUMNS).sortWithinPartitions("id", "key").write.parquet(f"{self.path}/data/{level}")
-        n = self._rows([level]).count()
-        entry = self.spark.createDataFrame([(level, n, replaces)], MANIFEST_SCHEMA)
-        entry.coalesce(1).write.parquet(f"{self.path}/manifest/{level}")
+        """The present.  A filter on ``id`` reaches the scan."""
+        return self._resolved(self.rows())
 
     def append(self, rows: DataFrame) -> None:
         """Add rows that are resolved already."""
-        self._commit(rows, [])
+        rows.select(*PRESENT_COLUMNS).sortWithinPartitions("id", "key").write.mode("append").parquet(self.path)
 
     def merge(self, batch: DataFrame) -> None:
         """Merge one batch of operations; merging it again changes nothing."""
-        self._commit(self._resolved(as_merged(batch)), [])
-        if len(self.levels()) > self.max_levels:
-            self.compact()
+        self.append(self._resolved(as_merged(batch)))
 
-    def compact(self, keep: int = 2) -> None:
-        """Resolve all levels but the ``keep`` largest into one.
+    def compacted(self, path: str) -> "PresentTable":
+        """A new table of what is present, in ranges of (id, key), so that id filters skip files.
 
-        Size tiers: a row is rewritten only when its level is among the smaller ones.  The
-        manifests of replaced levels go after the new one is complete; readers that see
-        both follow the new one.  Replaced data stay for readers under way until ``vacuum``.
+        This table stays as it is.  Streams that go on appending to it lose nothing: what
+        they added meanwhile merges when ``rows()`` is appended to the new table once more.
         """
-        levels = self.levels()
-        small = sorted(levels, key=levels.get)[: max(0, len(levels) - keep)]
-        if len(small) < 2:
-            return
-        self._commit(self._resolved(self._rows(small)), sorted(small))
-        for level in small:
-            fs, path = self._folder(f"manifest/{level}")
-            fs.delete(path, True)
-
-    def vacuum(self) -> None:
-        """Delete data of levels that are not live.  Run it when no one reads or writes."""
-        fs, folder = self._folder("data")
-        live = self.levels()
-        for status in fs.listStatus(folder) if fs.exists(folder) else []:
-            if status.getPath().getName() not in live:
-                fs.delete(status.getPath(), True)
-
-
-def write_present(rows: DataFrame, path: str, n_sites: int) -> PresentStore:
-    """Store already resolved rows as the first level of a store."""
-    store = PresentStore(rows.sparkSession, path, n_sites)
-    store.append(rows)
-    return store
-
-
-def merge_stream(ops: DataFrame, store: PresentStore, checkpoint: str, available_now: bool = False):
-    """Merge a stream of operations continuously; one micro-batch is one commit.
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        table = PresentTable(self.spark, path, self.n_sites, self.mode)
+        table.append(self.read().repartitionByRange(parts, "id", "key"))
+        return table
+
+
+def write_present(rows: DataFrame, path: str, n_sites: int) -> PresentTable:
+    """Store already resolved rows as a table."""
+    table = PresentTable(rows.sparkSession, path, n_sites)
+    table.append(rows)
+    return table
+
+
+def merge_stream(ops: DataFrame, table: PresentTable, checkpoint: str, available_now: bool = False):
+    """Merge a stream of operations continuously; one micro-batch is one append.
 
     Late operations merge like any others, so there is no watermark.  A batch replayed
     after a failure, or read again by a second stream, changes nothing.
     """
-    writer = ops.writeStream.foreachBatch(lambda batch, number: store.merge(batch))
+    writer = ops.writeStream.foreachBatch(lambda batch, number: table.merge(batch))
     writer = writer.option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 

@@ -6,7 +6,7 @@ from causalog.operators.merge import as_merged, merge_ops
 from causalog.operators.present import causal_present
 from causalog.sources.ops import append_ops, read_ops, read_ops_stream
 from causalog.streaming.frontier import COLUMNS, present_stateful
-from causalog.streaming.store import PresentStore, merge_stream, reject_stream, write_present
+from causalog.streaming.store import PresentTable, merge_stream, reject_stream, write_present
 from tests.helpers import N, op, ops, present, rows
 from tests.test_present import causal_log
 
@@ -21,7 +21,7 @@ def test_stream_equals_batch_and_restarts(spark, tmp_path):
     random.Random(1).shuffle(log)
     src, out, ck = (str(tmp_path / n) for n in ("log", "present", "ck"))
     write_files(spark, src, log[:120], 3)
-    store = PresentStore(spark, out, N)
+    store = PresentTable(spark, out, N)
 
     def run():
         merge_stream(read_ops_stream(spark, src, N, max_files=1)[0], store, ck, available_now=True).awaitTermination()
@@ -29,9 +29,9 @@ def test_stream_equals_batch_and_restarts(spark, tmp_path):
     run()
     half = rows(store.read())
     assert half == rows(merge_ops(present(spark, []), ops(spark, log[:120]), N))
-    done = store.levels()
+    done = store.rows().count()
     run()
-    assert store.levels() == done
+    assert store.rows().count() == done
     write_files(spark, src, log[120:], 2)
     run()
     assert rows(store.read()) == rows(merge_ops(present(spark, []), ops(spark, log), N))
@@ -42,34 +42,41 @@ def test_batches_in_any_order_and_again(spark, tmp_path):
     want = rows(merge_ops(present(spark, []), ops(spark, log), N))
     parts = [log[i::4] for i in range(4)]
     for n, order in enumerate(([0, 1, 2, 3], [3, 1, 0, 2, 2, 1])):
-        store = PresentStore(spark, str(tmp_path / f"p{n}"), N, max_levels=3)
+        store = PresentTable(spark, str(tmp_path / f"p{n}"), N)
         for i in order:
             store.merge(ops(spark, parts[i]))
-        assert rows(store.read()) == want and len(store.levels()) <= 4
+        assert rows(store.read()) == want
+        assert rows(store.compacted(str(tmp_path / f"c{n}")).rows()) == want
 
 
 def test_two_streams_into_one_store(spark, tmp_path):
     log = causal_log(5, 160)
-    store = PresentStore(spark, str(tmp_path / "p"), N, max_levels=3)
+    store = PresentTable(spark, str(tmp_path / "p"), N)
     for name, part in (("a", log[:100]), ("b", log[60:])):
         src = str(tmp_path / name)
         write_files(spark, src, part, 2)
         merge_stream(read_ops_stream(spark, src, N, max_files=1)[0], store, f"{src}-ck", available_now=True).awaitTermination()
     want = rows(merge_ops(present(spark, []), ops(spark, log), N))
     assert rows(store.read()) == want
-    store.compact(keep=0)
-    store.vacuum()
-    assert rows(store.read()) == want and len(store.levels()) == 1
+    table = store.compacted(str(tmp_path / "c"))
+    table.append(store.rows())
+    assert rows(table.read()) == want
 
 
-def test_level_without_manifest_stays_invisible(spark, tmp_path):
+def test_a_batch_written_in_part_is_completed_by_its_replay(spark, tmp_path):
+    log = causal_log(3, 60)
+    store = PresentTable(spark, str(tmp_path / "p"), N)
+    store.append(as_merged(ops(spark, log)).limit(20))
+    store.merge(ops(spark, log))
+    assert rows(store.read()) == rows(merge_ops(present(spark, []), ops(spark, log), N))
+
+
+def test_a_new_table_is_empty_and_an_old_one_is_taken_up(spark, tmp_path):
     path = str(tmp_path / "p")
-    store = PresentStore(spark, path, N)
-    store.merge(ops(spark, [op(data="a")]))
-    as_merged(ops(spark, [op(data="half", lts=(9, 0, 0))])).write.parquet(f"{path}/data/level-half")
-    assert [r["data"] for r in store.read().collect()] == ["a"]
-    store.merge(ops(spark, []))
-    assert [r["data"] for r in store.read().collect()] == ["a"]
+    assert PresentTable(spark, path, N).read().count() == 0
+    PresentTable(spark, path, N).merge(ops(spark, [op(data="a")]))
+    PresentTable(spark, path, N).merge(ops(spark, []))
+    assert [r["data"] for r in PresentTable(spark, path, N).read().collect()] == ["a"]
 
 
 def test_rejects_of_a_stream_are_kept(spark, tmp_path):
@@ -78,7 +85,7 @@ def test_rejects_of_a_stream_are_kept(spark, tmp_path):
     good, bad = read_ops_stream(spark, src, N)
     reject_stream(bad, out, str(tmp_path / "ck"), available_now=True).awaitTermination()
     assert spark.read.parquet(out).count() == 2
-    store = PresentStore(spark, str(tmp_path / "p"), N)
+    store = PresentTable(spark, str(tmp_path / "p"), N)
     merge_stream(good, store, str(tmp_path / "ck2"), available_now=True).awaitTermination()
     assert store.read().count() == 1
 

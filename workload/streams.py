@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from causalog.sources.ops import append_ops, read_ops_stream
 from causalog.sources.recipes import N_SITES
 from causalog.streaming.frontier import COLUMNS, present_stateful
-from causalog.streaming.store import PresentStore, merge_stream, write_present
+from causalog.streaming.store import PresentTable, merge_stream, write_present
 from workload.spark_base import current, flat, log
 from workload.sql_parts import with_log, with_present
 
@@ -45,11 +45,24 @@ def _rows(df):
 def merge_stream_query(spark, sf_dir):
     log(spark, sf_dir, "m")
     folder = _folder(spark)
-    store = PresentStore(spark, f"{folder}/present", N_SITES, mode="causal")
+    store = PresentTable(spark, f"{folder}/present", N_SITES, mode="causal")
     merge_stream(_log_files(spark, sf_dir, folder), store, f"{folder}/checkpoint", available_now=True).awaitTermination()
     return _rows(store.read())
 
 
+@query("compacted_present", with_present("m", _ROWS))
+def compacted_present_query(spark, sf_dir):
+    """Batches merged in any order and again, two tables' rows together, then compacted."""
+    ops = log(spark, sf_dir, "m")
+    folder = _folder(spark)
+    tables = [PresentTable(spark, f"{folder}/{name}", N_SITES, mode="causal") for name in ("a", "b")]
+    for part in (2, 0, 1, 2):
+        tables[part % 2].merge(ops.where(F.pmod(F.xxhash64("seq"), F.lit(3)) == part))
+    compacted = tables[0].compacted(f"{folder}/c")
+    compacted.append(tables[1].rows())
+    return _rows(compacted.compacted(f"{folder}/d").rows())
+
+
 @query("present_stateful", with_present("m", _ROWS))
 def present_stateful_query(spark, sf_dir):
     """The changes a stream emitted, summed up to what is present at its end."""
