@@ -290,43 +290,55 @@ def run_intents(
     return stamp(effects(intents, present, kinds, mode, width, len(str(n_sites))), present, n_sites, seed, width)
 
 
+def _paths(left: DataFrame, right: DataFrame, start: str) -> DataFrame:
+    """Paths (start, outer_id, n) of ``left`` prolonged by those of ``right``, n counting them."""
+    far = right.select(F.col("inner_id").alias("outer_id"), F.col("outer_id").alias("__up"), F.col("n").alias("__n"))
+    # Counts of a cycle grow without end; they are held where no result could be written.
+    n = F.least(F.sum(F.col("n").cast("double") * F.col("__n")), F.lit(1e15)).cast("long")
+    return left.join(far, "outer_id").groupBy(start, F.col("__up").alias("outer_id")).agg(n.alias("n"))
+
+
+def ancestors(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """Every structure above each of ``ids`` (id), itself included: (id, outer_id, n paths).
+
+    Pointer doubling: with all paths of up to k - 1 links and those of exactly k, both
+    written, one join each gives the double.  A path of more links than there are inner
+    structures is a cycle, which is refused.
+    """
+    step = stable(links.groupBy("inner_id", "outer_id").agg(F.count(F.lit(1)).alias("n")))
+    most = step.select("inner_id").distinct().count()
+    reach = stable(ids.distinct().select("id", F.col("id").alias("outer_id"), F.lit(1).cast("long").alias("n")))
+    length = 1
+    while not step.isEmpty():
+        if length > most:
+            raise ValueError("constraints form a cycle")
+        longer = _paths(reach, step, "id")
+        reach = stable(reach.unionByName(longer).groupBy("id", "outer_id").agg(F.sum("n").alias("n")))
+        step = stable(_paths(step, step, "inner_id"))
+        length *= 2
+    return reach
+
+
 def link_integrity(ops: DataFrame, constraints: DataFrame) -> DataFrame:
     """Intents that keep outer entries alive: each local operation on an inner structure
     also adds that structure to its outer one, at the same site and time.
 
     ``constraints`` is (outer_id, outer_key, inner_id, add_verb).  An added entry can
-    itself touch a constrained structure, so the join repeats up the chain, however long
-    it is.  Constraints that lead from a structure back to itself are refused.
+    itself touch a constrained structure, and so on up; every path of constraints gives its
+    own intents.  Constraints that lead from a structure back to itself are refused.
     """
     links = constraints.select("inner_id", "outer_id", "outer_key", "add_verb")
-    edges = links.select("inner_id", "outer_id").distinct()
-    edges = stable(edges)
-    step = edges.select(F.col("inner_id").alias("outer_id"), F.col("outer_id").alias("__up"))
-    reach, depth = edges, 0
-    while not reach.isEmpty():
-        depth += 1
-        if not reach.where("inner_id = outer_id").isEmpty():
-            raise ValueError("constraints form a cycle")
-        reach = stable(reach.join(step, "outer_id").select("inner_id", F.col("__up").alias("outer_id")).distinct())
-
-    level = ops.select("id", "site", F.col("pts.physical_time").alias("wall_ms"), F.col("seq").alias("intent_seq"))
-    out = None
-    for _ in range(depth):
-        hit = level.join(links, level["id"] == links["inner_id"])
-        verb, inner = F.col("add_verb"), F.col("inner_id")
-        added = hit.select(
-            F.col("outer_id").alias("id"), verb.alias("verb"),
-            F.when(verb == "set_add", inner).otherwise(F.col("outer_key")).alias("key"),
-            F.when(verb != "set_add", inner).alias("value"),
-            F.lit(None).cast("long").alias("delta"),
-            F.when(verb == "list_insert_at", F.col("outer_key").try_cast("long")).alias("index"),
-            "site", "wall_ms", "intent_seq",
-        )
-        out = added if out is None else out.unionByName(added)
-        level = added.select("id", "site", "wall_ms", "intent_seq")
-    if out is None:
-        empty = links.select(*[F.lit(None).cast("string").alias(c) for c in ("id", "verb", "key", "value")]).limit(0)
-        numbers = {c: F.lit(None).cast("long") for c in ("delta", "index")}
-        tail = {"site": F.lit(None).cast("int"), "wall_ms": F.lit(None).cast("long"), "intent_seq": F.lit(None).cast("long")}
-        out = empty.withColumns({**numbers, **tail})
-    return out
+    touched = ops.select("id", "site", F.col("pts.physical_time").alias("wall_ms"), F.col("seq").alias("intent_seq"))
+    inner = links.select(F.col("inner_id").alias("id")).distinct()
+    above = ancestors(touched.select("id").distinct().join(inner, "id"), links)
+    verb, name = F.col("add_verb"), F.col("inner_id")
+    added = above.withColumnRenamed("outer_id", "inner_id").join(links, "inner_id").select(
+        F.col("id").alias("__touched"), F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("__path"),
+        F.col("outer_id"), verb.alias("verb"),
+        F.when(verb == "set_add", name).otherwise(F.col("outer_key")).alias("key"),
+        F.when(verb != "set_add", name).alias("value"),
+        F.lit(None).cast("long").alias("delta"),
+        F.when(verb == "list_insert_at", F.col("outer_key").try_cast("long")).alias("index"),
+    )
+    return touched.join(added, touched["id"] == added["__touched"]).select(
+        F.col("outer_id").alias("id"), "verb", "key", "value", "delta", "index", "site", "wall_ms", "intent_seq")
