@@ -28,6 +28,11 @@ class FrontierProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._rows = handle.getListState("frontier", STATE)
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """Rows that are present before the stream begins; they are no changes."""
+        rows = initialState.assign(lts=[[int(x) for x in v] for v in initialState["lts"]])
+        self._rows.put(list(map(_plain, rows[COLUMNS].itertuples(index=False, name=None))))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         before = [tuple(list(v) if i == 3 else v for i, v in enumerate(r)) for r in self._rows.get()]
         now = list(before)
@@ -56,22 +61,27 @@ def combine(ops: DataFrame) -> DataFrame:
     """
     def newest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            own = [lts[site - 1] for lts, site in zip(pdf["lts"], pdf["site"])]
+            own = [lts[site - 1] if site <= len(lts) else 0 for lts, site in zip(pdf["lts"], pdf["site"])]
             yield pdf.loc[pdf.assign(own=own).groupby(["id", "key", "site"])["own"].idxmax()]
 
     return ops.mapInPandas(newest, ops.schema)
 
 
-def present_stateful(ops: DataFrame, causal: bool = False) -> DataFrame:
+def _flat(rows: DataFrame, merged_at: str) -> DataFrame:
+    return rows.select(
+        "id", "key", "type", "data", "site", "lts", "pts.physical_time", "pts.logical_time", "op", F.col(merged_at).alias("merged_at"))
+
+
+def present_stateful(ops: DataFrame, causal: bool = False, present: DataFrame | None = None) -> DataFrame:
     """Changes of the causal present per element: (id, key, change in/out, row).
 
     Needs the RocksDB state store.  ``causal`` lets rows combine before the shuffle.
+    ``present`` is a table of resolved rows the stream's first run starts from; its rows
+    leave as changes when something supersedes them, but do not enter.
     """
-    flat = ops.select(
-        "id", "key", "type", "data", "site", "lts", "pts.physical_time", "pts.logical_time", "op",
-        F.col("arrival_time").alias("merged_at"),
-    )
+    flat = _flat(ops, "arrival_time")
     flat = combine(flat) if causal else flat
+    start = None if present is None else _flat(present, "merged_at").groupBy("id", "key")
     return flat.groupBy("id", "key").transformWithStateInPandas(
-        statefulProcessor=FrontierProcessor(), outputStructType=OUTPUT, outputMode="update", timeMode="none"
+        statefulProcessor=FrontierProcessor(), outputStructType=OUTPUT, outputMode="update", timeMode="none", initialState=start
     )

@@ -112,6 +112,20 @@ def test_stateful_changes_sum_to_the_frontier(spark, tmp_path):
         assert rows(net.select("id", "key", "site", "lts", "data", "op")) == rows(want.select("id", "key", "site", "lts", "data", "op"))
 
 
+def test_stateful_stream_starts_from_a_present_and_takes_short_clocks(spark, tmp_path):
+    start = present(spark, [op(key="a", data="old", lts=(1, 0, 0)), op(key="b", data="keep", lts=(1, 0, 0))])
+    log = [op(key="a", data="new", site=2, lts=(1, 1)), op(key="c", data="far", site=3, lts=(2,)), op(key="a", data="old", lts=(1, 0, 0))]
+    for causal in (False, True):
+        src, out, ck = (str(tmp_path / f"{n}{causal}") for n in ("log", "changes", "ck"))
+        write_files(spark, src, log, 1)
+        changes = present_stateful(read_ops_stream(spark, src, N)[0], causal, start)
+        changes.writeStream.outputMode("update").foreachBatch(
+            lambda batch, n: batch.write.mode("append").parquet(out)
+        ).option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination()
+        got = sorted((r["key"], r["change"], r["data"]) for r in spark.read.parquet(out).collect())
+        assert got == [("a", "in", "new"), ("a", "out", "old"), ("c", "in", "far")]
+
+
 def test_log_round_trip_and_rejects(spark, tmp_path):
     path = str(tmp_path / "log")
     append_ops(ops(spark, [op(), op(type="?"), op(site=8)]), path)

@@ -1,5 +1,5 @@
 """Registered queries with their SQL cross-checks."""
 
-from workload import documents, lookups, runs, streams, views, writes
+from workload import compaction, documents, lookups, runs, streams, views, writes
 
-MODULES = [views, lookups, writes, documents, runs, streams]
+MODULES = [views, lookups, writes, compaction, documents, runs, streams]

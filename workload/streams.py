@@ -10,6 +10,7 @@ from causalog.streaming.frontier import COLUMNS, present_stateful
 from causalog.streaming.store import PresentTable, merge_stream, write_present
 from workload.spark_base import current, flat, log
 from workload.sql_parts import with_log, with_present
+from workload.views import _halves
 
 SPARK, SQL = {}, {}
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -63,26 +64,45 @@ def compacted_present_query(spark, sf_dir):
     return _rows(compacted.compacted(f"{folder}/d").rows())
 
 
-@query("present_stateful", with_present("m", _ROWS))
-def present_stateful_query(spark, sf_dir):
-    """The changes a stream emitted, summed up to what is present at its end."""
-    log(spark, sf_dir, "m")
-    folder = _folder(spark)
+def _changes(spark, folder, ops, present=None):
+    """Every change a stateful stream over ``ops`` emits until the log is used up."""
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, ROCKSDB)
     try:
-        changes = present_stateful(_log_files(spark, sf_dir, folder), causal=True)
+        changes = present_stateful(ops, causal=True, present=present)
         sink = changes.writeStream.outputMode("update").foreachBatch(
             lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{folder}/changes")
         )
         sink.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(provider, before)
-    row = ["id", "key", *COLUMNS]
-    net = spark.read.parquet(f"{folder}/changes").groupBy(*row).agg(
-        F.sum(F.when(F.col("change") == "in", 1).otherwise(-1)).alias("net"))
-    return _rows(net.where("net > 0"))
+    return spark.read.parquet(f"{folder}/changes")
+
+
+def _net(changes):
+    return _rows(changes.groupBy("id", "key", *COLUMNS).agg(
+        F.sum(F.when(F.col("change") == "in", 1).otherwise(-1)).alias("net")).where("net > 0"))
+
+
+@query("present_stateful", with_present("m", _ROWS))
+def present_stateful_query(spark, sf_dir):
+    """The changes a stream emitted, summed up to what is present at its end."""
+    log(spark, sf_dir, "m")
+    folder = _folder(spark)
+    return _net(_changes(spark, folder, _log_files(spark, sf_dir, folder)))
+
+
+@query("present_resumed", with_present("m", _ROWS))
+def present_resumed_query(spark, sf_dir):
+    """A stream over the later half of the log that starts from the present of the earlier half."""
+    local, late = _halves(spark, sf_dir, "m")
+    folder = _folder(spark)
+    append_ops(late.repartition(4, F.xxhash64("seq")), f"{folder}/log")
+    local = write_present(local, f"{folder}/present", N_SITES).rows()
+    changes = _changes(spark, folder, read_ops_stream(spark, f"{folder}/log", N_SITES, max_files=2)[0], local)
+    start = local.select("id", "key", F.lit("in").alias("change"), "type", "data", "site", "lts", "pts.physical_time", "pts.logical_time", "op", "merged_at")
+    return _net(changes.drop("batch").unionByName(start))
 
 
 @query("append_ops", with_log("m", "SELECT id, key, site, seq, CAST(0 AS INTEGER) AS hops, pt AS arrival_time FROM ops"))
