@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from causalog.session import ensure_checkpoint_dir, stable
 
-__all__ = ["CHUNK_BYTES", "WORD", "bounded_broadcast", "chunks", "column", "fresh", "letters_lower", "lists", "shared_folder", "sized_broadcast", "stable", "table", "text_bytes", "written"]
+__all__ = ["CHUNK_BYTES", "WORD", "bounded_broadcast", "bounded_sample", "chunks", "column", "fresh", "letters_lower", "lists", "shared_folder", "sized_broadcast", "stable", "table", "text_bytes", "written"]
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -64,6 +64,23 @@ def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if (df.agg(F.sum(row)).first()[0] or 0) <= limit else df
 
 
+def bounded_sample(rows: DataFrame, n: int, share: Column | float, keys: list[str], seed: int) -> DataFrame:
+    """At most ``n`` different rows, each drawn with probability ``share`` by a hash of ``keys``.
+
+    Rows equal in all ``keys`` are drawn once, so a group of copies with an id in common
+    cannot fill the sample.  Of more than ``n`` drawn the smallest hashes stay: only n + 1
+    numbers reach the driver.  The choice depends on the rows' content alone.
+    """
+    mark = fresh(rows, "_mark")
+    found = rows.withColumn(mark, F.xxhash64(*[column(rows, k) for k in keys], F.lit(seed)))
+    drawn = found.where(F.pmod(mark, F.lit(1 << 30)) / (1 << 30) < share)
+    marks = sorted(r[0] for r in drawn.select(mark).distinct().orderBy(mark).limit(n + 1).collect())
+    if len(marks) > n:
+        drawn = drawn.where(F.col(mark) < marks[n])
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return drawn.dropDuplicates([mark]).repartition(parts).drop(mark)
+
+
 def letters_lower(text: Column) -> Column:
     """Lower-case A-Z only.  An all-ASCII text may use the faster built-in."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from causalog.llm.common import chunks, column, lists, text_bytes
+from causalog.llm.common import bounded_sample, chunks, column, lists, text_bytes
 from causalog.llm.features import code_points, gram_buckets, letters, squeeze
 from causalog.llm.linear import Rows, ftrl, softmax, temperature
 
@@ -78,11 +78,13 @@ def _sample_rows(idf: np.ndarray):
 
 def train(
     learning: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = 4000,
-    l1: float = 0.02, l2: float = 1.0, seed: int = 7,
+    l1: float = 0.02, l2: float = 1.0, seed: int = 7, id_col: str = "doc_id",
 ) -> Model:
-    """Fit on rows with a text and a language.  About ``sample_rows`` of them, dealt evenly
-    to the languages by a hash of the text, train the weights; all of them give the IDF."""
-    rows = learning.select(column(learning, text_col).alias("text"), column(learning, lang_col).alias("lang")).where("text is not null and lang is not null")
+    """Fit on rows with a text and a language.  At most ``sample_rows`` of them, dealt evenly
+    to the languages by a hash of text and, if there is one, ``id_col`` (used for nothing
+    else), train the weights; all of them give the IDF."""
+    own = [column(learning, id_col).alias("id")] if id_col in learning.columns else []
+    rows = learning.select(column(learning, text_col).alias("text"), column(learning, lang_col).alias("lang"), *own).where("text is not null and lang is not null")
     per_lang = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
     languages = sorted(per_lang)
     seen = {r["bucket"]: r["n"] for r in rows.select("text").mapInArrow(_document_frequencies, "bucket int, n long")
@@ -97,9 +99,8 @@ def train(
     share: Column = F.lit(0.0)
     for lang in languages:
         share = F.when(F.col("lang") == lang, min(1.0, sample_rows / len(languages) / per_lang[lang])).otherwise(share)
-    dice = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30)) / (1 << 30)
     sample = (
-        rows.where(dice < share).mapInArrow(_sample_rows(idf), "lang string, at array<int>, value array<float>")
+        bounded_sample(rows, sample_rows, share, rows.columns, seed).select("text", "lang").mapInArrow(_sample_rows(idf), "lang string, at array<int>, value array<float>")
         .toArrow()
     )
     order = {lang: k for k, lang in enumerate(languages)}

@@ -89,9 +89,9 @@ def _overlap(a: Column, length: Column, x: Column, size: Column) -> Column:
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: list[float] = (3, 1, 2), share: float = 1.5, max_epochs: int = 2,
-    block: int = 16, shard_rows: int = 2048, seed: int = 7,
+    block: int = 16, shard_rows: int = 2048, seed: int = 7, keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per input row: id, source, size, source_size, target, shard, taken.
+    """One row per input row: id, source, size, source_size, target, shard, taken, and the columns of ``keep``.
 
     ``size`` counts words; null and empty texts have 0 and take 0.  A null source is a
     source of its own, last.  The order of documents depends on seed, id and size alone,
@@ -102,6 +102,7 @@ def mix(
     rows = stable(docs.select(
         column(docs, id_col).alias("id"), column(docs, source_col).alias("source"),
         F.coalesce(F.regexp_count(column(docs, text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        *[column(docs, c).alias(f"_keep{i}") for i, c in enumerate(keep)],
     ))
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     targets = stable(source_targets(sources, list(weights), share, max_epochs))
@@ -138,5 +139,6 @@ def mix(
     return (
         placed.withColumn("x", F.sum("size").over(ring) - F.col("size"))
         .join(runs, ["idx", "shard"])
-        .select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "shard", taken.cast("long").alias("taken"))
+        .select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "shard", taken.cast("long").alias("taken"),
+                *[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)])
     )

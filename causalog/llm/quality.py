@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causalog.llm.common import chunks, column, lists, text_bytes
+from causalog.llm.common import bounded_sample, chunks, column, lists, text_bytes
 from causalog.llm.features import SpanHash, runs
 from causalog.llm.linear import Rows, ftrl, softmax
 
@@ -209,18 +209,19 @@ def accuracies(table: np.ndarray, shares: np.ndarray) -> dict[str, tuple[float,
     return {n: (float(b / (a + b)), float(c / (c + d))) for n, a, b, c, d in zip(LABELLERS, no_good, no_bad, good, bad)}
 
 
-def train(docs: DataFrame, text_col: str = "text", sample_rows: int = 6000, l1: float = 0.2, l2: float = 0.1, seed: int = 7) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, text_col: str = "text", sample_rows: int = 6000, l1: float = 0.2, l2: float = 0.1, seed: int = 7, id_col: str = "doc_id") -> tuple[np.ndarray, float]:
     """Weights and bias of the linear model for "good".
 
-    Vote patterns are counted over all rows; about ``sample_rows`` rows, picked by a hash
-    of the text, train the model on their posteriors.
+    Vote patterns are counted over all rows; at most ``sample_rows`` rows, drawn by a hash
+    of text and, if there is one, ``id_col``, train the model on their posteriors.
     """
-    texts = docs.select(column(docs, text_col).alias("text")).where("text is not null")
+    own = [column(docs, id_col).alias("id")] if id_col in docs.columns else []
+    rows = docs.select(column(docs, text_col).alias("text"), *own).where("text is not null")
+    texts = rows.select("text")
     counts = np.zeros(3 ** len(LABELLERS), np.int64)
     for r in texts.mapInArrow(_count_patterns, "pattern int, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect():
         counts[r["pattern"]] = r["n"]  # at most 3^labellers rows
     good, _, _ = expectation_maximisation(counts)
-    dice = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30)) / (1 << 30)
 
     def run(batches):
         for batch in batches:
@@ -233,7 +234,7 @@ def train(docs: DataFrame, text_col: str = "text", sample_rows: int = 6000, l1:
                     ["good", "bucket", "value"])
 
     sample = (
-        texts.where(dice < min(1.0, sample_rows / max(1, int(counts.sum()))))
+        bounded_sample(rows, sample_rows, min(1.0, sample_rows / max(1, int(counts.sum()))), rows.columns, seed).select("text")
         .mapInArrow(run, "good double, bucket array<int>, value array<float>").toArrow()
     )
     if not sample.num_rows:

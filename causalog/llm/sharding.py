@@ -1,6 +1,6 @@
 """Hilbert-curve sharding: rows near in several metadata columns share a shard.
 
-Every dimension is quantised at its own quantiles, the cells are numbered along a
+Every dimension is quantised at its own quantiles, texts by whole strings, the cells are numbered along a
 Hilbert curve, rows are sorted by that number and the order is cut into runs of equal
 row count.  A reader with a box predicate skips the shards whose bounds miss the box.
 """
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from causalog.llm.common import column, written
+from causalog.plans.scan import Running, prefix_scan, sorted_buckets
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -43,16 +44,30 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _ordinal(df: DataFrame, name: str) -> Column:
-    """An order-keeping number for a column: numbers and times as double, text by its first 7 bytes."""
+    """An order-keeping number for a column, numbers and times as double; text as it is, in byte order."""
     kind = df.schema[name].dataType
     col = column(df, name)
     if isinstance(kind, T.StringType):
-        return F.conv(F.rpad(F.substring(F.hex(F.encode(col, "UTF-8")), 1, 14), 14, "0"), 16, 10).cast("double")
+        return col
     if isinstance(kind, (T.TimestampType, T.DateType)):
         return F.unix_micros(col.cast("timestamp")).cast("double")
     return col.cast("double")
 
 
+def _text_cuts(values: DataFrame, bits: int) -> list[str]:
+    """Quantiles of the one text column, whole strings: for every cut the least value with enough rows up to it.
+
+    Counts of the distinct values and running totals in ranges; no more than 2^bits - 1 strings come back.
+    """
+    name = values.columns[0]
+    counts = sorted_buckets(values.where(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("n")).withColumn("all", F.lit(0)), [name])
+    total = counts.agg(F.sum("n")).first()[0]
+    upto = prefix_scan(counts, ["all"], [name], F.col("__range"), {"upto": Running("sum", F.col("n"))}, levels=2)
+    reached = F.floor(F.col("upto") * (1 << bits) / F.lit(total)), F.floor((F.col("upto") - F.col("n")) * (1 << bits) / F.lit(total))
+    # The last of all values closes the last cell and cuts nothing.
+    return sorted(r[0] for r in upto.where((reached[0] > reached[1]) & (reached[1] < (1 << bits) - 1)).select(name).collect())
+
+
 def hilbert_shards(
     docs: DataFrame, dims: list[str], n_shards: int = 8, bits: int = 5, ties: list[Column] | None = None,
     payload: list[str] | None = None, accuracy: int = 10_000,
@@ -75,10 +90,14 @@ def hilbert_shards(
     )
     # Cut points: 2^bits - 1 numbers per dimension, whatever the size of the table.
     points = [k / (1 << bits) for k in range(1, 1 << bits)]
-    cuts = base.agg(*[F.percentile_approx(f"d{i}", points, accuracy).alias(f"c{i}") for i in range(len(dims))]).first()
+    kinds = [base.schema[f"d{i}"].dataType for i in range(len(dims))]
+    texts = [i for i, kind in enumerate(kinds) if isinstance(kind, T.StringType)]
+    numbers = [F.percentile_approx(f"d{i}", points, accuracy).alias(f"c{i}") for i in range(len(dims)) if i not in texts]
+    cuts = base.agg(*numbers).first().asDict() if numbers else {}
+    cuts |= {f"c{i}": _text_cuts(base.select(f"d{i}"), bits) for i in texts}
 
     def cell(i: int) -> Column:
-        edges = sorted(set(cuts[i] or []))
+        edges = sorted(set(cuts[f"c{i}"] or []), key=lambda e: e.encode() if isinstance(e, str) else e)
         # How many cut points lie below the value, found by halving.
         def below(lo: int, hi: int) -> Column:
             if lo == hi:

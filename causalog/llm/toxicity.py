@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causalog.llm.common import chunks, column, lists, text_bytes
+from causalog.llm.common import bounded_sample, chunks, column, lists, text_bytes
 from causalog.llm.features import SpanHash, runs
 from causalog.llm.linear import Rows, ftrl, softmax
 
@@ -310,12 +310,14 @@ def restored_texts(docs: DataFrame, model: np.ndarray, text_col: str = "text") -
 
 def train(
     labelled: DataFrame, model: np.ndarray, text_col: str = "text", label_col: str = "toxic", sample_rows: int = 6000,
-    l1: float = 1.0, l2: float = 0.1, epochs: int = 10, seed: int = 7,
+    l1: float = 1.0, l2: float = 0.1, epochs: int = 10, seed: int = 7, id_col: str = "doc_id",
 ) -> tuple[np.ndarray, float]:
-    """Weights per bucket and a bias, fitted on about ``sample_rows`` labelled rows (by a hash of the text)."""
-    rows = labelled.select(column(labelled, text_col).alias("text"), column(labelled, label_col).cast("double").alias("label")).where("text is not null and label is not null")
+    """Weights per bucket and a bias, fitted on at most ``sample_rows`` labelled rows, drawn by a
+    hash of text and, if there is one, ``id_col``; ids are used for nothing else."""
+    own = [column(labelled, id_col).alias("id")] if id_col in labelled.columns else []
+    rows = labelled.select(
+        column(labelled, text_col).alias("text"), column(labelled, label_col).cast("double").alias("label"), *own).where("text is not null and label is not null")
     total = rows.count()
-    dice = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30)) / (1 << 30)
     shared = labelled.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -329,7 +331,7 @@ def train(
                     ["label", "bucket", "value"])
 
     sample = (
-        rows.where(dice < min(1.0, sample_rows / max(1, total)))
+        bounded_sample(rows, sample_rows, min(1.0, sample_rows / max(1, total)), rows.columns, seed).select("text", "label")
         .mapInArrow(run, "label double, bucket array<int>, value array<float>").toArrow()
     )
     if not sample.num_rows:

@@ -61,3 +61,26 @@ def test_written_shards_prune_by_bounds(spark, tmp_path):
     hit = {r.shard for r in matching_shards(bounds, box).collect()}
     true = {r.shard for r in back.where("x <= 10 and y between 20 and 30").select("shard").distinct().collect()}
     assert true <= hit and len(hit) <= 4
+
+
+def test_long_common_beginnings_are_told_apart(spark):
+    urls = [(i, "x", "a", f"https://www.example.com/a/very/long/beginning/{i:04d}") for i in range(1000)]
+    d = docs(spark, urls)
+    one = hilbert_shards(d, ["source"], 8, payload=["source"])
+    assert one.select("curve").distinct().count() == 32
+    ranks = {r.source: r.curve for r in one.collect()}
+    assert [ranks[u[3]] for u in urls] == sorted(ranks.values()) and max(list(ranks.values()).count(c) for c in set(ranks.values())) <= 33
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    import zlib
+
+    from causalog.llm.registry import op6_sharding
+    docs(spark, ROWS).write.parquet(str(tmp_path / "documents.parquet"))
+    got = op6_sharding(spark, str(tmp_path)).collect()
+    want = sorted((r[0] is None, r[0] or 0, len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in ROWS)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r["size"], r.text_crc32) for r in got) == want
+    slots = sorted((r.shard, r.slot) for r in got)
+    sizes = [sum(s == k for s, _ in slots) for k in range(8)]
+    assert slots == [(k, i) for k in range(8) for i in range(sizes[k])] and max(sizes) - min(sizes) <= 1
+    assert all(r.law == "rows" and r.grown_shard is None for r in got)
