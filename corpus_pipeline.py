@@ -2,9 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir), works on all its predecessor kept and, but for
 the last, returns the columns it got.  ``run`` writes each stage's rows as Parquet to
-the shared folder and reads them again.  The stages that drop rows decide on every row
-by itself, known by a key of its own; mixing knows documents by ``doc_id``, null being an
-id like any other.
+the shared folder and reads them again.  Every stage decides on every row by itself,
+known by a key of its own where an operator is joined back.
 """
 
 from uuid import uuid4
@@ -23,12 +22,6 @@ from causalog.llm.simhash import near_duplicates
 LEAST_QUALITY = 0.5
 
 
-def matched(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    """``docs`` joined by doc_id with the first column of ``found``."""
-    found = stable(found)
-    return docs.join(sized_broadcast(found), docs["doc_id"].eqNullSafe(found[found.columns[0]]), how)
-
-
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the quality model does not reject; texts too short to judge stay."""
     score = fresh(docs, "_quality")
@@ -66,15 +59,17 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it, to the nearest whole number of times.
+    """Every row as often as the mix takes it, to the nearest whole number of times.
 
-    Repeated rows of an id share their takings.  Documents without words are not taken.
+    Rows that repeat an id, null ids too, each have their own takings.  Documents without
+    words are not taken.
     """
-    own, times = fresh(docs, "_doc"), fresh(docs, "_times")
-    taken = mix(docs).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size")).where("size > 0")
-    counted = taken.select(F.col("doc_id").alias(own), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias(times))
-    copies = matched(docs, counted.where(F.col(times) > 0), "inner").drop(own)
-    return copies.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(times)
+    rows, key = keyed(docs)
+    times = fresh(docs, "_times")
+    taken = mix(rows, keep=(key,)).where("size > 0")
+    counted = stable(taken.select(key, F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias(times)).where(F.col(times) > 0))
+    copies = rows.join(sized_broadcast(counted), key)
+    return copies.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def hilbert_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
