@@ -73,6 +73,14 @@ def test_mixing_stage_repeats_documents(spark, documents):
     assert max(r["count"] for r in got.groupBy("doc_id").count().collect()) == 2
 
 
+def test_mixing_by_row_where_ids_are_null(spark):
+    """Two sources whose rows share the null id keep their own targets."""
+    rows = [(None, f"w{i} " * 20, "en", "a" if i % 4 else "b") for i in range(400)]
+    got = cp.source_mixing(spark, docs(spark, rows), SF).groupBy("source").count().collect()
+    # a weighs 3 and b 1, of 600 documents' words; b stops at twice its 100.
+    assert {r.source: round(r["count"], -1) for r in got} == {"a": 450, "b": 150}
+
+
 def test_stages_on_an_empty_table_and_clashing_columns(spark, documents):
     empty = docs(spark, [])
     odd = documents.limit(40).withColumns({c: F.lit(c) for c in ("_quality", "_doc", "_times", "_size", "shard", "id", "taken", "component_id")})
@@ -86,6 +94,6 @@ def test_stages_on_an_empty_table_and_clashing_columns(spark, documents):
 
 def test_registered_queries_have_their_numbers():
     names = [n for n in registry.SPARK if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(registry.SQL) <= set(registry.SPARK)
     assert os.path.exists(cp.__file__)
