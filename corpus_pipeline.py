@@ -61,12 +61,14 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row as often as the mix takes it, to the nearest whole number of times.
 
-    Rows that repeat an id, null ids too, each have their own takings.  Documents without
-    words are not taken.
+    Rows that repeat an id, null ids too, have their own takings; only rows equal in id,
+    source and text share theirs.  Documents without words are not taken.  Rows are known
+    by a digest of those columns, so that no text is written for it.
     """
-    rows, key = keyed(docs)
-    times = fresh(docs, "_times")
-    taken = mix(rows, keep=(key,)).where("size > 0")
+    key, times = fresh(docs, "_key"), fresh(docs, "_times")
+    content = [F.col("doc_id"), F.col("source"), F.col("text")]
+    rows = docs.withColumn(key, F.struct(*[F.xxhash64(*content, F.lit(seed)).alias(f"h{seed}") for seed in (1, 2)]))
+    taken = mix(rows, keep=(key,)).groupBy(key).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size")).where("size > 0")
     counted = stable(taken.select(key, F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias(times)).where(F.col(times) > 0))
     copies = rows.join(sized_broadcast(counted), key)
     return copies.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
