@@ -14,6 +14,10 @@ KEYS = ("id", "key")
 # Clocks compared together in one task by the exact frontier; larger residues are
 # cut into more blocks of about this size.
 BLOCK_ROWS = 512
+# Near clocks compared together at the end, when hardly any clock is dominated any more.
+NEAR_ROWS = 64
+# Blocks are found through a tree in which a node has up to 2^FAN_BITS children.
+FAN_BITS = 6
 
 
 def local_and_shared(local: DataFrame, shared: DataFrame) -> DataFrame:
@@ -178,28 +182,81 @@ def _in_blocks(clocks: DataFrame, keys: list[str], lts: str, turn: int) -> DataF
 def _dominated_clocks(clocks: DataFrame, n_sites: int, keys: list[str], lts: str) -> DataFrame:
     """Clocks that some other clock of the same element strictly dominates.
 
-    A clock visits only blocks whose pointwise maximum is not below it, and is compared
-    inside the block.
+    Near clocks share a block; a clock is compared only inside blocks that could hold a
+    clock above it.
     """
-    blocked = stable(_in_blocks(clocks, keys, lts, -1).drop("__blocks"))
-    blocks = blocked.groupBy(*keys, "__block").agg(
-        F.collect_list(lts).alias("__members"),
-        F.array(*[F.max(coord(lts, s)) for s in range(1, n_sites + 1)]).alias("__high"),
-    )
-    heads = blocks.select(*keys, F.col("__block").alias("__visit"), "__high")
-    visits = (
-        join_null_safe(blocked.drop("__block"), heads, keys)
-        .where(vc_lte(lts, "__high", n_sites))
-        .select(*keys, lts, F.col("__visit").alias("__block"))
-    )
+    blocked = _near_blocks(clocks, n_sites, keys, lts)
+    members = blocked.groupBy(*keys, "__block").agg(F.collect_list(lts).alias("__members"))
     return (
-        join_null_safe(visits, blocks.drop("__high"), [*keys, "__block"])
+        join_null_safe(_probes(blocked, n_sites, keys, lts), members, [*keys, "__block"])
         .where(F.exists("__members", lambda m: vc_lt(F.col(lts), m, n_sites)))
         .select(*keys, lts)
         .distinct()
     )
 
 
+def _near_blocks(clocks: DataFrame, n_sites: int, keys: list[str], lts: str) -> DataFrame:
+    """Clocks with a block number each: runs of at most NEAR_ROWS along a Z-order curve per element.
+
+    The curve only decides which clocks lie together, so its cells may be coarse.
+    """
+    sites = range(1, min(n_sites, 62) + 1)
+    bits = max(1, min(16, 62 // len(sites)))
+    ends = clocks.groupBy(*keys).agg(*[
+        f(coord(lts, s).cast("double")).alias(f"__{name}{s}") for s in sites for name, f in (("lo", F.min), ("hi", F.max))
+    ])
+    cells = {}
+    for s in sites:
+        part = (coord(lts, s).cast("double") - F.col(f"__lo{s}")) / (F.col(f"__hi{s}") - F.col(f"__lo{s}") + 1)
+        cells[f"__cell{s}"] = F.least(F.floor(part * (1 << bits)).cast("long"), F.lit((1 << bits) - 1))
+    placed = join_null_safe(clocks, ends, keys).withColumns(cells)
+    turns = [
+        F.shiftleft(F.shiftright(f"__cell{s}", bit).bitwiseAND(F.lit(1)).cast("long"), bit * len(sites) + i)
+        for bit in range(bits) for i, s in enumerate(sites)
+    ]
+    placed = placed.select(*keys, lts, reduce(lambda x, y: x.bitwiseOR(y), turns).alias("__z"))
+    n = int(clocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [*keys, "__z", lts]
+    ranged = placed.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    number = F.floor(F.monotonically_increasing_id() / NEAR_ROWS).cast("long")
+    return stable(ranged.select(*keys, lts, number.alias("__block")))
+
+
+def _probes(blocked: DataFrame, n_sites: int, keys: list[str], lts: str) -> DataFrame:
+    """Each clock with the blocks it has to be compared in, as ``__block``.
+
+    Whole blocks walk down a tree of bounding corners first: a node is entered only if
+    its pointwise maximum is not below the block's minimum and its largest coordinate
+    sum is above the block's smallest, as a dominating clock has the larger sum.
+    """
+    total = vc_sum(lts, n_sites)
+    blocks = stable(blocked.groupBy(*keys, "__block").agg(
+        F.array(*[F.min(coord(lts, s)) for s in range(1, n_sites + 1)]).alias("__low"), F.min(total).alias("__least"),
+        F.array(*[F.max(coord(lts, s)) for s in range(1, n_sites + 1)]).alias("__high"), F.max(total).alias("__most"),
+    ))
+    last = blocks.agg(F.max("__block")).first()[0] or 0
+    visits = blocks.select(*keys, "__block", "__low", "__least", F.lit(0).cast("long").alias("__node"))
+    for level in reversed(range(max(1, -(-last.bit_length() // FAN_BITS)))):
+        nodes = blocks.groupBy(*keys, F.shiftright("__block", FAN_BITS * level).alias("__child")).agg(
+            F.array(*[F.max(coord("__high", s)) for s in range(1, n_sites + 1)]).alias("__high"), F.max("__most").alias("__most")
+        )
+        below = nodes.groupBy(*keys, F.shiftright("__child", FAN_BITS).alias("__node")).agg(
+            F.collect_list(F.struct("__child", "__high", "__most")).alias("__below")
+        )
+        entered = F.filter(
+            "__below", lambda c: vc_lte(F.col("__low"), c["__high"], n_sites) & (F.col("__least") < c["__most"])
+        )
+        visits = join_null_safe(visits, below, [*keys, "__node"]).select(
+            *keys, "__block", "__low", "__least", F.explode(entered).alias("__c")
+        ).select(*keys, "__block", "__low", "__least", F.col("__c.__child").alias("__node"), "__c.__high", "__c.__most")
+    reached = visits.select(*keys, "__block", "__high", "__most", F.col("__node").alias("__visit"))
+    return (
+        join_null_safe(blocked, reached, [*keys, "__block"])
+        .where(vc_lte(lts, "__high", n_sites) & (total < F.col("__most")))
+        .select(*keys, lts, F.col("__visit").alias("__block"))
+    )
+
+
 def coordinate_max_candidates(
     ops: DataFrame, n_sites: int, keys: tuple[str, ...] = KEYS, lts: str = "lts"
 ) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from causalog.plans.scan import Running, prefix_scan
 from causalog.session import stable
+from causalog.sources.ops import expand_range
 
 LINES_PER_BUCKET = 1 << 20
 SECONDS_PER_BUCKET = 1 << 12
@@ -83,16 +84,20 @@ def op_summary(ops: DataFrame, seconds: Column, p: float = 95) -> DataFrame:
     measured time, so throughput adds up over workers.  Response times count completed
     operations only.
     """
-    both = ops.withColumns({"__s": seconds, "name": F.explode(F.array("operation", F.lit("total")))})
     done = F.when(~F.col("aborted"), F.col("rt"))
-    per_worker = both.groupBy("run", "worker", "name").agg(
-        F.count(done).alias("ct"), F.sum(done).alias("sum"), F.count(F.when(F.col("aborted"), 1)).alias("aborts"),
-        (F.count(done) / F.max("__s")).alias("tps"),
+    per_operation = ops.withColumn("__s", seconds).groupBy("run", "worker", "operation").agg(
+        F.count(done).alias("ct"), F.sum(done).alias("sum"), F.count(F.when(F.col("aborted"), 1)).alias("aborts"), F.max("__s").alias("__s")
+    )
+    per_worker = per_operation.withColumn("name", F.explode(F.array("operation", F.lit("total")))).groupBy("run", "worker", "name").agg(
+        F.sum("ct").alias("ct"), F.sum("sum").alias("sum"), F.sum("aborts").alias("aborts"), (F.sum("ct") / F.max("__s")).alias("tps")
     )
     per_run = per_worker.groupBy("run", "name").agg(
         F.sum("ct").alias("ct"), F.sum("sum").alias("sum"), F.sum("aborts").alias("aborts"), F.sum("tps").alias("tps")
     )
-    tail = percentile_interp(both.where(~F.col("aborted")), ["run", "name"], "rt", p)
+    completed = ops.where(~F.col("aborted"))
+    tail = percentile_interp(completed.withColumnRenamed("operation", "name"), ["run", "name"], "rt", p).unionByName(
+        percentile_interp(completed, ["run"], "rt", p).withColumn("name", F.lit("total"))
+    )
     nan = F.lit(float("nan"))
     rows = per_run.join(tail, ["run", "name"], "left").select(
         "name", F.when(F.col("ct") > 0, F.col("sum") / F.col("ct")).otherwise(nan).alias("rt"), "tps",
@@ -137,6 +142,17 @@ def with_run_state(log: DataFrame) -> DataFrame:
     )
 
 
+def _reported(log: DataFrame, message: str, site: int | None) -> DataFrame:
+    """Lines of one message after the workers' first start, with the run state; other lines are dropped first."""
+    wanted = F.col("message") == message
+    if site is not None:
+        wanted &= F.col("connId") == site
+    used = log.where(wanted | F.col("message").isin(RUNNING, RUN_STARTED)).select(
+        "line", "message", "time", "workers", "connId", "delay", "count"
+    )
+    return with_run_state(used).where((F.col("message") == message) & F.col("begin").isNotNull())
+
+
 def lag_over_time(log: DataFrame, main_worker: int = 0, bucket: float = 1) -> DataFrame:
     """Replication lag and throughput per (workers, time bucket).
 
@@ -153,22 +169,7 @@ def lag_over_time(log: DataFrame, main_worker: int = 0, bucket: float = 1) -> Da
     main = reads.where(F.col("worker") == main_worker).select(
         "run", "line", "workers", "totalCounters", "counters", _bucketed(_seconds("time") - begin, bucket).alias("time")
     )
-    others = reads.where(F.col("worker") != main_worker).select(
-        "run", "line", F.explode("counters").alias("key", "value")
-    )
-    keys = others.groupBy("run", "key").agg(F.min("line").alias("__since"))
-    asked = main.join(keys, "run").where(F.col("__since") < F.col("line")).select(
-        "run", "line", "key", F.coalesce(F.try_element_at("counters", F.col("key")), F.lit(0)).alias("own")
-    )
-    timeline = asked.unionByName(others, allowMissingColumns=True)
-    known = prefix_scan(
-        timeline, ["run", "key"], ["line"], F.floor(F.col("line") / LINES_PER_BUCKET),
-        {"latest": Running("max", F.col("value"), inclusive=False)},
-    ).where("own is not null")
-    behind = known.groupBy("run", "line").agg(
-        F.sum(F.greatest(F.greatest(F.col("latest"), F.lit(0)) - F.col("own"), F.lit(0))).alias("__sum"),
-        F.count("*").alias("__keys"),
-    )
+    behind = _behind(main, reads.where(F.col("worker") != main_worker))
     delays = main.join(behind, ["run", "line"], "left").select(
         "workers", "time", F.coalesce(F.col("__sum") * F.col("totalCounters") / F.col("__keys"), F.lit(0.0)).alias("delay"),
         F.lit(1).alias("reads"), F.lit(0).alias("done"),
@@ -189,11 +190,38 @@ def lag_over_time(log: DataFrame, main_worker: int = 0, bucket: float = 1) -> Da
     return carried.select("time", "workers", F.coalesce("lag", F.lit(0.0)).alias("delay"), tps.alias("tps"))
 
 
+def _behind(main: DataFrame, others: DataFrame) -> DataFrame:
+    """(run, line, __sum, __keys): by how much a main read lags, over the counters known before it.
+
+    A counter that a read does not name counts with its whole largest value.  So the sum
+    is one running total of all counters' largest values, corrected for the few counters
+    the read names; no row is made per read and known counter.
+    """
+    def named(rows: DataFrame, value: str) -> DataFrame:
+        return rows.select("run", "line", F.explode("counters").alias("key", value))
+
+    bucket = F.floor(F.col("line") / LINES_PER_BUCKET)
+    known = stable(prefix_scan(
+        named(main, "own").unionByName(named(others, "value"), allowMissingColumns=True), ["run", "key"], ["line"], bucket,
+        {"latest": Running("max", F.when(F.col("value").isNotNull(), F.greatest(F.col("value"), F.lit(0))), inclusive=False)}, levels=2,
+    ))
+    grown = known.where("value is not null and (latest is null or value > latest)").groupBy("run", "line").agg(
+        F.sum(F.greatest(F.col("value"), F.lit(0)) - F.coalesce("latest", F.lit(0))).alias("grown"),
+        F.count(F.when(F.col("latest").isNull(), 1)).alias("new"),
+    )
+    less = known.where("own is not null and latest is not null").groupBy("run", "line").agg(
+        F.sum(F.greatest(F.col("latest") - F.col("own"), F.lit(0)) - F.col("latest")).alias("less")
+    )
+    asked = main.select("run", "line").join(less, ["run", "line"], "left").withColumn("asked", F.lit(True))
+    return prefix_scan(
+        asked.unionByName(grown, allowMissingColumns=True), ["run"], ["line"], bucket,
+        {"all": Running("sum", F.col("grown")), "__keys": Running("sum", F.col("new"))}, levels=2,
+    ).where("asked and __keys > 0").select("run", "line", (F.col("all") + F.coalesce("less", F.lit(0))).alias("__sum"), "__keys")
+
+
 def delay_over_time(log: DataFrame, bucket: float = 1, site: int | None = None) -> DataFrame:
     """Mean reported delay per site, number of workers and time bucket."""
-    rows = with_run_state(log).where("message = 'delay' and begin is not null")
-    if site is not None:
-        rows = rows.where(F.col("connId") == site)
+    rows = _reported(log, "delay", site)
     at = (F.col("__x") / bucket).cast("long") * F.lit(float(bucket))
     rows = rows.withColumn("__x", _seconds("time") - F.col("begin"))
     return rows.groupBy(
@@ -203,9 +231,7 @@ def delay_over_time(log: DataFrame, bucket: float = 1, site: int | None = None)
 
 def backlog_over_time(log: DataFrame, site: int | None = None) -> DataFrame:
     """Reported unmerged rows per site over time."""
-    rows = with_run_state(log).where("message = 'Unmerged rows' and begin is not null")
-    if site is not None:
-        rows = rows.where(F.col("connId") == site)
+    rows = _reported(log, "Unmerged rows", site)
     return rows.select(F.col("connId").alias("site"), (_seconds("time") - F.col("begin")).alias("time"), "count")
 
 
@@ -222,9 +248,8 @@ def traffic_per_second(packets: DataFrame, self_ip: str) -> DataFrame:
         F.count(F.when(sent, 1)).alias("packets_sent"),
         F.count(F.when(~sent, 1)).alias("packets_recv"),
     )
-    seconds = busy.agg(F.max("time").alias("__last")).where("__last is not null").select(
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("__last"))).alias("time")
-    )
+    last = busy.agg(F.max("time").alias("n")).where("n is not null").select(F.lit(0).alias("capture"), (F.col("n") + 1).alias("n"))
+    seconds = expand_range(last, "n", "time", ["capture"]).select("time")
     idle = seconds.join(busy.select("time").distinct(), "time", "left_anti").select(
         "time", F.lit("-").alias("ip"),
         *[F.lit(0).cast("long").alias(c) for c in ("bytes_sent", "bytes_recv", "packets_sent", "packets_recv")],

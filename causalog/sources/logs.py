@@ -36,17 +36,19 @@ def parse_run_log(lines: DataFrame) -> DataFrame:
     """Lines (line, value) to typed columns; lines that are no JSON object are skipped.
 
     Fields starting with an underscore are counters and go into one map; a counter that
-    is no whole number is left out.
+    is no whole number is left out.  A field of another type than expected is NULL.  Each
+    line is parsed once: the fields and the counters come from the same map.
     """
-    parsed = lines.withColumn("__r", F.from_json(
-        "value", f"{RUN_LOG_FIELDS}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
-    )).where("__r is not null and __r._broken is null")
     everything = F.from_json("value", "map<string,string>")
+    # Through a generator, as a filter on the map would be pushed down and parse again.
+    parsed = lines.select("line", F.explode(F.array_compact(F.array(everything))).alias("__m"))
+    names = [f.split() for f in RUN_LOG_FIELDS.split(", ")]
     counters = F.transform_values(
-        F.map_filter(everything, lambda k, v: k.startswith("_") & v.try_cast("long").isNotNull()), lambda k, v: v.try_cast("long")
+        F.map_filter("__m", lambda k, v: k.startswith("_") & v.try_cast("long").isNotNull()), lambda k, v: v.try_cast("long")
+    )
+    return parsed.select(
+        "line", *[F.try_element_at("__m", F.lit(n)).try_cast(kind).alias(n) for n, kind in names], counters.alias("counters")
     )
-    names = [f.split()[0] for f in RUN_LOG_FIELDS.split(", ")]
-    return parsed.select("line", *[F.col(f"__r.{n}").alias(n) for n in names], counters.alias("counters"))
 
 
 def read_run_log(spark: SparkSession, path) -> DataFrame:

@@ -121,6 +121,36 @@ def test_lag_worked_by_hand(spark):
     assert lag(7) == [(0.0, 2, 11.0, 0.428571), (7.0, 3, 0.0, 0.142857)]
 
 
+def test_lag_equals_a_row_per_read_and_counter(spark, monkeypatch):
+    monkeypatch.setattr(T, "LINES_PER_BUCKET", 8)
+    rng = random.Random(9)
+    main, others = [], []
+    for line in range(300):
+        named = {f"_c{rng.randrange(30)}": rng.randrange(-20, 60) for _ in range(rng.randrange(4))}
+        (main if rng.random() < 0.4 else others).append((line // 100, line, named))
+    want = {}
+    for run, line, own in main:
+        best = {}
+        for r, at, named in others:
+            if r == run and at < line:
+                for k, v in named.items():
+                    best[k] = max(best.get(k, 0), v)
+        if best:
+            want[line] = (sum(max(v - own.get(k, 0), 0) for k, v in best.items()), len(best))
+    frames = [spark.createDataFrame(x, "run long, line long, counters map<string,long>") for x in (main, others)]
+    got = {r["line"]: (r["__sum"], r["__keys"]) for r in T._behind(*frames).collect()}
+    assert got == want
+
+
+def test_run_log_lines_are_parsed_once(spark):
+    text = ["", "[1]", "17", '"x"', "{", '{"message": "read", "worker": "no", "_a": 3, "_b": "4", "_c": null}', "{}", None]
+    log = S.parse_run_log(spark.createDataFrame(list(enumerate(text)), "line long, value string"))
+    got = {r["line"]: (r["message"], r["worker"], r["counters"]) for r in log.collect()}
+    assert got == {5: ("read", None, {"_a": 3, "_b": 4}), 6: (None, None, {})}
+    plan = log.where("message = 'read'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_run_log_analytics(spark, tmp_path, seed, monkeypatch):
     monkeypatch.setattr(T, "LINES_PER_BUCKET", 16)

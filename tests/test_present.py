@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from causalog.operators import audit as A, merge as M, present as P
 from causalog.schema import split_rejects
@@ -35,12 +36,39 @@ def test_equal_clocks_of_different_sites_survive(spark):
 def test_exact_frontier_on_random_clocks(spark, monkeypatch):
     """Large antichains in one element, cut into many small blocks."""
     monkeypatch.setattr(P, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(P, "NEAR_ROWS", 8)
     rng = random.Random(3)
     made = {(rng.choice("pq"), (rng.randrange(40), rng.randrange(40), rng.randrange(40)), rng.randrange(1, 4)) for _ in range(900)}
     log = ops(spark, [op(key=k, lts=c, site=s, seq=i) for i, (k, c, s) in enumerate(sorted(made))])
     assert versions(P.causal_present(log, N)) == frontier(made)
 
 
+@pytest.mark.parametrize("sites", [3, 6])
+def test_frontier_of_mutually_concurrent_clocks_compares_near_ones_only(spark, sites):
+    """Clocks on a curved surface: hardly any dominates another, and coordinate sums differ."""
+    rng = random.Random(sites)
+    made = set()
+    while len(made) < 4000:
+        x = [rng.random() + 0.01 for _ in range(sites)]
+        length = sum(v * v for v in x) ** 0.5
+        made.add(("k", tuple(int(100_000 * v / length) for v in x)))
+    clocks = spark.createDataFrame(sorted(made), "key string, lts array<bigint>")
+    blocked = P._near_blocks(clocks, sites, ["key"], "lts")
+    assert blocked.count() == len(made) and blocked.groupBy("key", "__block").count().agg({"count": "max"}).first()[0] <= 64
+    got = P._dominated_clocks(clocks, sites, ["key"], "lts")
+    below = {a for _, a in made for _, b in made if a != b and all(i <= j for i, j in zip(a, b))}
+    assert {tuple(r["lts"]) for r in got.collect()} == below
+    if sites == 3:  # of 63 blocks
+        assert P._probes(blocked, sites, ["key"], "lts").count() < 8 * len(made)
+
+
+def test_clocks_of_equal_sums_are_not_compared(spark):
+    clocks = spark.range(20_000).select(F.lit(None).cast("string").alias("key"), F.array("id", 20_000 - F.col("id"), F.lit(2**62)).alias("lts"))
+    blocked = P._near_blocks(clocks, 3, ["key"], "lts")
+    assert P._probes(blocked, 3, ["key"], "lts").count() == 0
+    assert P._clock_frontier(clocks, 3, ["key"], "lts").count() == 20_000
+
+
 def test_frontier_is_idempotent(spark):
     rng = random.Random(5)
     log = ops(spark, [op(key=str(rng.randrange(5)), lts=[rng.randrange(9) for _ in range(3)], seq=i) for i in range(200)])
@@ -134,7 +162,6 @@ def test_merge_helpers(spark):
 def test_audit(spark):
     a, b = op(lts=(1, 0, 0)), op(id="y", site=2, lts=(0, 1, 0))
     same = present(spark, [a, b])
-    from pyspark.sql import functions as F
     replicas = same.withColumn("replica", F.lit(1)).unionByName(same.where("id = 'x'").withColumn("replica", F.lit(2)))
     got = {r["id"]: r["converged"] for r in A.converged(replicas, 2).collect()}
     assert got == {"x": True, "y": False}
