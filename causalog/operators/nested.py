@@ -6,11 +6,14 @@ level costs one join and one aggregation by structure.
 """
 
 import re
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from causalog.operators import resolve as R
+from causalog.plans.scan import Running, prefix_scan, sorted_buckets
 from causalog.session import stable
 
 _FAMILY = {
@@ -111,6 +114,86 @@ def nested_json(present: DataFrame, path: list[str], roots: DataFrame | None = N
     return docs.select("id", F.col("json").alias("data"))
 
 
+def _brackets(family: str) -> list[tuple[str, str, list[Column], bool]]:
+    """The brackets around one value of a level: opening, closing, sort columns, whether the last of these labels it."""
+    keyed = ("{", "}", [F.octet_length("slot"), F.col("slot")], True)
+    order = {"list": ["slot", "value", "copy"], "set": ["value"], "register_mvr": ["ord"], "map_mvr": ["ord"]}.get(family)
+    listed = [("[", "]", [F.col(c) for c in order], False)] if order else []
+    return ([keyed] if family in ("map", "map_mvr") else []) + listed
+
+
+def _leaves(levels: list[DataFrame], names: list[str]) -> tuple[DataFrame, list[tuple[str, str, list[str], bool]]]:
+    """(id, sort columns of every bracket, json): one row per innermost value, and the brackets from outside in."""
+    out, brackets = None, []
+    for i, (name, rows) in enumerate(zip(names, levels)):
+        if _FAMILY[name] == "list":  # equal entries at one position stay apart
+            same = rows.groupBy("id", "slot", "value").agg(F.count(F.lit(1)).alias("n"))
+            rows = same.select("id", "slot", "value", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
+        here = []
+        for opening, closing, order, labelled in _brackets(_FAMILY[name]):
+            columns = [f"__k{len(brackets)}_{j}" for j in range(len(order))]
+            here += [c.alias(n) for c, n in zip(order, columns)]
+            brackets.append((opening, closing, columns, labelled))
+        rows = rows.select(F.col("id").alias("__of"), F.col("value").alias("__value"), *here)
+        if out is None:
+            out = rows.withColumnRenamed("__of", "id")
+        else:
+            out = out.withColumnRenamed("__value", "__of").join(rows, "__of").drop("__of")
+    leaf = F.col("__value") if names[-1] == "counter" else quote(F.col("__value"))
+    return out.withColumn("json", leaf).drop("__value"), brackets
+
+
+def nested_chunks(present: DataFrame, path: list[str], roots: DataFrame | None = None, chars: int = 1 << 18) -> DataFrame:
+    """The documents of ``nested_json`` as ordered pieces of text: (id, part, text).
+
+    Every part but a document's last has ``chars`` characters; the parts in order make up
+    the document.  No task and no row holds a document: the innermost values are sorted
+    over all tasks, each value writes the brackets, keys and commas between it and the
+    value before, and a running length says in which part it lies.  List entries at one
+    position stand in the order of their values.  Runs jobs when called.
+    """
+    names = validate_path(path)
+    leaves, brackets = _leaves(_levels(present, names, roots), names)
+    columns = [c for _, _, order, _ in brackets for c in order]
+    leaves = leaves.withColumn("__end", F.lit(0))
+    ends = leaves.select("id").distinct().withColumn("__end", F.lit(1))
+    order = ["id", "__end", *columns]
+    ranged = sorted_buckets(leaves.unionByName(ends, allowMissingColumns=True), order)
+    before = prefix_scan(
+        ranged, ["id"], order[1:], F.col("__range"),
+        {"__before": Running("last", F.struct(F.lit(True).alias("there"), *columns), inclusive=False)}, levels=2,
+    )
+
+    def label(i: int) -> Column:
+        _, _, of, labelled = brackets[i]
+        return F.concat(quote(F.col(of[-1])), F.lit(":")) if labelled else F.lit("")
+
+    def opened(i: int) -> list[Column]:
+        return [x for k in range(i, len(brackets)) for x in (F.lit(brackets[k][0]), label(k))]
+
+    def closed(i: int) -> Column:
+        return F.lit("".join(b[1] for b in reversed(brackets[i:])))
+
+    text = F.when(F.col("__end") == 1, closed(0)).when(F.col("__before").isNull(), F.concat(F.lit(""), *opened(0)))
+    for i, (_, _, of, _) in enumerate(brackets):
+        same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__before.{c}")) for c in of])
+        text = text.when(~same, F.concat(closed(i + 1), F.lit(","), label(i), *opened(i + 1)))
+    piece = F.concat(F.coalesce(text, F.lit("")), F.coalesce("json", F.lit("")))
+    pieces = stable(before.select(*order, "__range", piece.alias("__piece")))
+    placed = prefix_scan(
+        pieces, ["id"], order[1:], F.col("__range"),
+        {"__at": Running("sum", F.length("__piece").cast("long"), inclusive=False)}, levels=2,
+    ).select("id", "__piece", F.coalesce("__at", F.lit(0)).alias("__at"), F.length("__piece").alias("__n")).where("__n > 0")
+    size, at, upto = F.lit(chars).cast("long"), F.col("__at"), F.col("__at") + F.col("__n")
+    cut = placed.withColumn("part", F.explode(F.sequence(F.floor(at / size), F.floor((upto - 1) / size))))
+    first, last = F.greatest(at, F.col("part") * size), F.least(upto, (F.col("part") + 1) * size)
+    cut = cut.select("id", "part", F.struct(
+        first.alias("at"), F.col("__piece").substr((first - at + 1).cast("int"), (last - first).cast("int")).alias("text")
+    ).alias("__p"))
+    held = F.transform(F.array_sort(F.collect_list("__p")), lambda x: x["text"])
+    return cut.groupBy("id", "part").agg(F.array_join(held, "").alias("text"))
+
+
 def nested_rows(present: DataFrame, path: list[str], roots: DataFrame | None = None) -> DataFrame:
     """The flat path table: id<n> and key<n> or pos<n> per level, then the last data."""
     names = validate_path(path)

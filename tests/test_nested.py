@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from causalog.operators.nested import nested_json, nested_rows, validate_path
+from causalog.operators.nested import nested_chunks, nested_json, nested_rows, validate_path
 from tests.helpers import op, present, rows
 
 # Whole documents with the rows that hold them: (path, root, rows, value).
@@ -37,6 +37,32 @@ def test_documents(spark, path, root, log, value):
     assert json.loads({r["id"]: r["data"] for r in nested_json(p, path).collect()}[root]) == value
 
 
+def joined(chunks, chars):
+    out = {}
+    for r in sorted(chunks.collect(), key=lambda r: (r["id"], r["part"])):
+        out.setdefault(r["id"], []).append(r["text"])
+        assert r["part"] == len(out[r["id"]]) - 1
+    assert all(len(t) == chars for texts in out.values() for t in texts[:-1]) and all(texts[-1] for texts in out.values())
+    return {i: "".join(texts) for i, texts in out.items()}
+
+
+@pytest.mark.parametrize("path,root,log,value", DOCUMENTS, ids=[d[1] for d in DOCUMENTS])
+def test_chunks_make_up_the_documents(spark, path, root, log, value):
+    got = joined(nested_chunks(present(spark, log), path, spark.createDataFrame([(root,)], "id string"), 5), 5)
+    assert {i: json.loads(t) for i, t in got.items()} == {root: value}
+
+
+def test_chunks_of_shared_ragged_and_quoted_structures(spark):
+    p = present(spark, [
+        op(id="a", key="bb", data="s1", site=1), op(id="a", key="bb", data="s2", site=2, lts=(0, 1, 0)), op(id="a", key='q"', data="s2"),
+        op(id="a", key="C", data="gone"), op(id="b", key="k", data="s2"), op(id="c", key="k", data="gone"), op(id="d", key="k", data=None),
+        *[op(id="s1", type="s", key=f"e{i}" * 9) for i in range(12)], op(id="s2", type="s", key="f\n"), op(id="s2", type="s", key="é"),
+    ])
+    path = ["map_aw_mvr", "set_aw"]
+    assert joined(nested_chunks(p, path, chars=11), 11) == {r["id"]: r["data"] for r in nested_json(p, path).collect()}
+    assert nested_chunks(p.limit(0), path).count() == 0
+
+
 def test_key_order_quoting_and_nulls(spark):
     p = present(spark, [
         op(key="bb", data='say "hi"\n'), op(key="a", data=None), op(key="é", data="x"), op(key="C", data="y"),

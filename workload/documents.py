@@ -109,6 +109,16 @@ WHERE id IN (SELECT 'cust-' || c_custkey FROM customer WHERE c_mktsegment = 'BUI
     _docs(["map_lww", "set_aw"], ["cust_map", "ord_set"], _building))
 
 
+@query("nested_chunks", f"""WITH {_SET}, {_MAP}, docs AS (
+  SELECT 'nation-' || c_nationkey AS id, '[' || string_agg(j, ',' ORDER BY id) || ']' AS j
+  FROM customer JOIN cust_map ON id = 'cust-' || c_custkey GROUP BY c_nationkey),
+parts AS (SELECT id, j, unnest(range((length(j) + 4095) // 4096)) AS part FROM docs)
+SELECT id, part, substr(j, part * 4096 + 1, 4096) AS text FROM parts""")
+def nested_chunks(spark, sf_dir):
+    """Whole nations, a document of which no row could hold at scale."""
+    return N.nested_chunks(documents(spark, sf_dir, ["nation_set", "cust_map", "ord_set"]), ["set_aw", "map_aw_lww", "set_rw"], chars=4096)
+
+
 @query("nested_rows", """
 SELECT DISTINCT 'cust-' || o_custkey AS id0, CAST(o_orderkey AS VARCHAR) AS key0, 'ord-' || o_orderkey AS id1, CAST(l_partkey AS VARCHAR) AS data
 FROM orders JOIN lineitem ON o_orderkey = l_orderkey""")
