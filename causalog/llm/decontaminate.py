@@ -21,7 +21,7 @@ from causalog.llm.common import column, letters_lower, sized_broadcast, stable
 ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
-#: Document ids (one long each) sent to every executor to pick candidate documents.
+#: Row hashes (one long each) sent to every executor to pick candidate documents.
 ID_ROWS = 2_000_000
 
 
@@ -49,13 +49,13 @@ def item_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int)
 
 
 def occurrences(docs: DataFrame, shingles: DataFrame, sizes: list[int]) -> DataFrame:
-    """(id, pos, size, h): where a shingle of any window stands in a document."""
-    read = docs.select("id", words(F.col("text")).alias("words")).withColumn("n", F.size("words"))
+    """(row, pos, size, h): where a shingle of any window stands in a document."""
+    read = docs.select("row", words(F.col("text")).alias("words")).withColumn("n", F.size("words"))
     small = sized_broadcast(shingles)
     return reduce(DataFrame.unionByName, [
-        read.select("id", F.posexplode(_shingles(F.col("words"), F.col("n"), size)).alias("pos", "h"))
+        read.select("row", F.posexplode(_shingles(F.col("words"), F.col("n"), size)).alias("pos", "h"))
         .join(small.where(F.col("size") == size).select("h"), "h", "left_semi")
-        .select("id", "pos", F.lit(size).alias("size"), "h")
+        .select("row", "pos", F.lit(size).alias("size"), "h")
         for size in sizes
     ])
 
@@ -70,9 +70,11 @@ def decontaminate(
     sorted ids as text; a word counts once in ``n_hit`` however many windows cover it.
     Null and empty texts have no words; an item without words has no window; an empty
     benchmark contaminates nothing and an empty table gives no rows.  Rows that repeat an
-    id, null ids too, are each checked on their own text.
+    id, null ids too, are each checked on their own text: candidates are gathered by a
+    hash of id and text, so no id holds more than the windows of one text.
     """
     docs = docs.select(column(docs, id_col).alias("id"), column(docs, text_col).alias("text"))
+    docs = docs.withColumn("row", F.xxhash64("id", "text"))
     windows = stable(item_windows(benchmark, item_col, item_text_col, window))
     ranked = windows.withColumn("w", F.split("wtext", " "))
     sizes = sorted(r["size"] for r in ranked.select(F.least("len", F.lit(shingle)).alias("size")).distinct().collect())
@@ -103,15 +105,14 @@ def decontaminate(
     hits = (
         found.join(sized_broadcast(stable(prefix)), ["size", "h"])
         .withColumn("start", F.col("pos") - F.col("offset")).where("start >= 0")
-        .groupBy("id").agg(F.collect_set(F.struct("start", "len", "wtext", "items")).alias("hits"))
+        .groupBy("row").agg(F.collect_set(F.struct("start", "len", "wtext", "items")).alias("hits"))
     )
     hits = stable(hits)
-    ids = sized_broadcast(hits.select(F.col("id").alias("_id")), ID_ROWS)
-    same = F.col("id").eqNullSafe(F.col("_id"))
+    candidates = sized_broadcast(hits.select("row"), ID_ROWS)
     tried = (
-        docs.join(ids, same, "left_semi").select("id", words(F.col("text")).alias("words"))
+        docs.join(candidates, "row", "left_semi").select("id", "row", words(F.col("text")).alias("words"))
         .withColumn("n_words", F.size("words").cast("long"))
-        .join(hits.withColumnRenamed("id", "_id"), same)
+        .join(hits, "row")
     )
     there = tried.select(
         "id", "n_words",
@@ -123,6 +124,6 @@ def decontaminate(
         F.array_sort(F.array_distinct(F.transform("hits", lambda x: F.struct(x["start"].alias("start"), x["len"].alias("len"))))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda x: x["items"])))).alias("items"),
     )
-    rest = docs.join(ids, same, "left_anti").select("id", n_words, *clean)
+    rest = docs.join(candidates, "row", "left_anti").select("id", n_words, *clean)
     return there.unionByName(rest).select(
         F.col("id").alias(id_col), "n_words", "n_hit", "spans", "items", (F.col("n_hit") > 0).alias("contaminated"))

@@ -64,6 +64,11 @@ def test_nulls_repeats_and_long_texts(spark):
     check(spark, rows, items)
 
 
+def test_rows_without_ids_gather_their_own_windows_only(spark):
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(10))) for i in range(80)]
+    check(spark, [(None, f"so {text} on") for _, text in items] + [(5, text) for _, text in items] + [(None, items[3][1])] * 20, items)
+
+
 def test_one_very_common_word_is_an_item(spark):
     check(spark, [(i, "the cat and the dog " * (i % 5)) for i in range(30)], [(1, "the"), (2, "the dog"), (3, "bird")])
 
