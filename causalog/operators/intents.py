@@ -72,7 +72,7 @@ def counter_effects(intents: DataFrame, present: DataFrame, width: int = WIDTH)
         "__d", F.when(F.col("verb") == "counter_inc", F.col("delta")).otherwise(-F.col("delta"))
     )
     moves = prefix_scan(
-        moves, ["id", "site"], ["intent_seq"], _bucket("intent_seq", width), {"__run": Running("sum", F.col("__d"))}
+        moves, ["id", "site"], ["intent_seq"], _bucket("intent_seq", width), {"__run": Running("sum", F.col("__d"))}, levels=2
     )
     base = present.where("type = 'c'").groupBy("id", F.col("key").cast("int").alias("site")).agg(
         F.max_by(F.col("data").cast("long"), coord("lts", F.col("key").cast("int"))).alias("__base")
@@ -168,13 +168,13 @@ def clear_effects(
     # entries added in the batch
     next_write = prefix_scan(
         mine, [*who, "key"], ["intent_seq"], _bucket("intent_seq", width),
-        {"__write": Running("min", F.col("intent_seq"), inclusive=False)}, reverse=True,
+        {"__write": Running("min", F.col("intent_seq"), inclusive=False)}, reverse=True, levels=2,
     )
     marks = clears.select(*who, "intent_seq", at.alias("__mark"))
     both = stable(next_write.unionByName(marks, allowMissingColumns=True))
     upcoming = prefix_scan(
         both, who, ["intent_seq"], _bucket("intent_seq", width),
-        {"__clear": Running("min", F.col("__mark"), inclusive=False)}, reverse=True,
+        {"__clear": Running("min", F.col("__mark"), inclusive=False)}, reverse=True, levels=2,
     )
     new = upcoming.where("op = 'a' and __clear is not null and (__write is null or __write > __clear.seq)").select(
         *who, "key", "__clear"
@@ -224,7 +224,7 @@ def stamp_lts(events: DataFrame, rows: DataFrame, n_sites: int, width: int = WID
     ``rows`` are all rows the writers see; clocks count per structure, not per key.
     """
     tops = rows.groupBy("id").agg(*[F.max(coord("lts", s)).alias(f"__m{s}") for s in range(1, n_sites + 1)])
-    numbered = row_numbers(events, ["id", "site"], ["intent_seq"], _bucket("intent_seq", width), "__n")
+    numbered = row_numbers(events, ["id", "site"], ["intent_seq"], _bucket("intent_seq", width), "__n", levels=2)
     lts = [
         (F.coalesce(f"__m{s}", F.lit(0)) + F.when(F.col("site") == s, F.col("__n")).otherwise(0)).cast("long")
         for s in range(1, n_sites + 1)
@@ -243,7 +243,7 @@ def stamp_hlc(events: DataFrame, seed: DataFrame | None = None, width: int = WID
     order, bucket = ["intent_seq", "id"], _bucket("intent_seq", width)
     rows = prefix_scan(
         events, ["site"], order, bucket,
-        {"__before": Running("max", F.col("wall_ms"), inclusive=False), "__n": Running("sum", F.lit(1).cast("long"))},
+        {"__before": Running("max", F.col("wall_ms"), inclusive=False), "__n": Running("sum", F.lit(1).cast("long"))}, levels=2,
     )
     if seed is None:
         rows = rows.withColumns({"__p0": F.lit(0).cast("long"), "__l0": F.lit(0)})
@@ -255,7 +255,7 @@ def stamp_hlc(events: DataFrame, seed: DataFrame | None = None, width: int = WID
         "__advance": F.when(F.col("wall_ms") > seen, F.col("__n")),
         "__physical": F.greatest(F.col("wall_ms"), seen),
     }))
-    rows = prefix_scan(rows, ["site"], order, bucket, {"__start": Running("max", F.col("__advance"))})
+    rows = prefix_scan(rows, ["site"], order, bucket, {"__start": Running("max", F.col("__advance"))}, levels=2)
     logical = F.when(F.col("__start").isNull(), F.coalesce("__l0", F.lit(0)) + F.col("__n")).otherwise(
         F.col("__n") - F.col("__start") + 1
     )
