@@ -108,10 +108,10 @@ def op10_decontamination(spark, sf_dir):
 def op1_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(_remainder(docs, 3) == 1, F.lit(False))
-    model = toxicity.character_model(docs)
+    language = toxicity.language_model(docs)
     labelled = docs.where(~held_out).join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
-    weights, bias = toxicity.train(labelled, model)
-    scored = toxicity.score(docs.withColumn("held_out", held_out), model, weights, bias, ["doc_id", "held_out"])
+    weights, bias = toxicity.train(labelled, language)
+    scored = toxicity.score(docs.withColumn("held_out", held_out), language, weights, bias, ["doc_id", "held_out"])
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 

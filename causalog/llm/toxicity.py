@@ -3,14 +3,17 @@
 Spans that may be disguised (leetspeak, letters spaced out, words split by signs, letters
 repeated) become lattices: each character may stand for itself or for what it replaces, a
 run of separators may be there or not, a run may be shortened.  Viterbi decoding finds the
-most likely reading under a trigram character model counted over all documents.
+most likely reading under a trigram character model counted over all documents.  Where
+letters are doubled or spaced out, the counts of whole words decide: a doubled letter
+stays unless the shortened word is attested and the written one is too rare beside it.
 Everything else is kept as it is; a blank between two pieces of three or more characters
 always is, as are numbers.  A linear model over the restored words, fitted on a
 bounded sample of labelled rows, gives the score.
 """
 
 import re
-from itertools import product
+from itertools import groupby, product
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +33,10 @@ LEET = {
 #: Log-probabilities of the channel's moves: a letter written as something else, a sign
 #: that means itself right before a letter, a span's letters spaced out, a border of words
 #: among such letters, a word split in longer pieces, a letter repeated; @ or $ that means
-#: itself within a word, a doubled letter that is a single one.
+#: itself within a word, a word that repeats letters at all (once a word), a wide gap
+#: within a word, a border of words in one of many equal gaps.
 SWAP, SIGN, SPREAD, BREAK, SPLIT, SHORTEN = np.log(0.1), np.log(0.02), np.log(0.1), np.log(0.003), np.log(0.1), np.log(0.1)
-STRANGE, HALVE = np.log(1e-6), np.log(0.004)
+STRANGE, DISGUISE, BRIDGE, BORDER = np.log(1e-6), np.log(1e-8), np.log(0.3), np.log(0.05)
 
 # Symbols of the character model: 0 any non-letter, 1-26 a-z, 27 other letters, 28 digits.
 SYMBOLS = 29
@@ -51,6 +55,18 @@ _GAP = re.compile(r"[^\w" + re.escape("".join(x for x in LEET if x != "|")) + "]
 
 BITS = 18
 
+#: A word is attested with a share of 1 / WORDS of all words, so at most WORDS are, and three
+#: occurrences; longer ones than LONGEST bytes never are.
+WORDS, LEAST, LONGEST = 1 << 17, 3, 64
+
+
+class Language(NamedTuple):
+    """What is counted over all documents: log-probabilities of characters, counts of attested words, all words."""
+
+    characters: np.ndarray
+    words: dict[str, int]
+    total: int
+
 
 def _trigrams(batches):
     """Partial counts of symbol trigrams, at most SYMBOLS^3 rows a partition."""
@@ -71,8 +87,7 @@ def _trigrams(batches):
     yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[used], pa.int64())], ["gram", "n"])
 
 
-def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Log-probabilities [a, b, c] of symbol c after a, b, from all texts; backed off to pairs and single symbols."""
+def _character_counts(docs: DataFrame, text_col: str) -> np.ndarray:
     counted = (
         docs.select(column(docs, text_col)).mapInArrow(_trigrams, "gram int, n long")
         .groupBy("gram").agg(F.sum("n").alias("n")).collect()  # at most SYMBOLS^3 rows
@@ -80,7 +95,10 @@ def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     three = np.zeros(SYMBOLS ** 3)
     for r in counted:
         three[r["gram"]] = r["n"]
-    three = three.reshape(SYMBOLS, SYMBOLS, SYMBOLS)
+    return three.reshape(SYMBOLS, SYMBOLS, SYMBOLS)
+
+
+def _smoothed(three: np.ndarray) -> np.ndarray:
     two, one = three.sum(0), three.sum((0, 1))
     p = (one + 1) / (one + 1).sum()
     for counts in (two, three):
@@ -89,13 +107,55 @@ def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.log(p)
 
 
+def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """Log-probabilities [a, b, c] of symbol c after a, b, from all texts; backed off to pairs and single symbols."""
+    return _smoothed(_character_counts(docs, text_col))
+
+
+def _words(batches):
+    """Partial counts of the words, lower-cased, of each chunk of texts."""
+    for batch in batches:
+        data, at = text_bytes(batch.column(0))
+        for lo, hi in chunks(at):
+            own = at[lo:hi + 1]
+            low = _LOWER[data[own[0]:own[-1]]]
+            starts, ends, _ = runs(_LETTER[low], own - own[0])
+            short = ends - starts <= LONGEST
+            starts, ends = starts[short], ends[short]
+            if not len(starts):
+                continue
+            _, first, count = np.unique(SpanHash(low)(starts, ends), return_index=True, return_counts=True)
+            size = ends[first] - starts[first]
+            offsets = np.concatenate([[0], np.cumsum(size)])
+            kept = low[np.repeat(starts[first] - offsets[:-1], size) + np.arange(offsets[-1])]
+            words = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(kept))
+            yield pa.RecordBatch.from_arrays([words, pa.array(count, pa.int64())], ["word", "n"])
+
+
+def language_model(docs: DataFrame, text_col: str = "text") -> Language:
+    """Characters and words counted over all texts; only the attested words, at most ``WORDS``, reach the driver."""
+    three = _character_counts(docs, text_col)
+    total = int(three.sum(0)[[0, SYMBOLS - 1], 1:SYMBOLS - 1].sum())  # beginnings of words
+    found = (
+        docs.select(column(docs, text_col)).mapInArrow(_words, "word string, n long")
+        .groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= max(LEAST, -(-total // WORDS))).toArrow()
+    )
+    return Language(_smoothed(three), dict(zip(found.column("word").to_pylist(), found.column("n").to_pylist())), total)
+
+
 class Decoder:
     """Viterbi decoding of one disguised span; readings of frequent spans are remembered."""
 
     KEPT = 200_000
 
-    def __init__(self, model: np.ndarray):
-        self.model = model.tolist()
+    def __init__(self, language: Language):
+        self.model = language.characters.tolist()
+        self.words = language.words
+        self.total = max(1, language.total)
+        self.rare = np.log(max(1, self.total - sum(self.words.values())) / self.total)  # any word that is not attested
+        self.like: dict[str, list[str]] = {}  # attested words by their letters, repeated ones once
+        for word in self.words:
+            self.like.setdefault(self._once(word), []).append(word)
         self.known: dict[str, str] = {}
 
     def __call__(self, span: str) -> str:
@@ -103,10 +163,94 @@ class Decoder:
         if out is None:
             if len(self.known) >= self.KEPT:
                 self.known.clear()
-            read = self._best(self._lattice(span, False), 0.0)
-            if _GAP.search(span):
-                read = max(read, self._best(self._lattice(span), SPREAD), key=lambda r: r[0])
-            out = self.known[span] = read[1]
+            out = self.known[span] = self._read(span)
+        return out
+
+    def _read(self, span: str) -> str:
+        if span.isalpha():
+            word = self._shorter(span)
+            if word != span or not any(len(list(run)) > 2 for _, run in groupby(span)):
+                return word
+        total, pieces = self._best(self._lattice(span, False), 0.0)
+        if _GAP.search(span):
+            lattice = self._lattice(span)
+            apart, letters = self._best(lattice, SPREAD)
+            if apart > total:
+                pieces = self._words_apart(lattice, letters)
+        return re.sub(r"[^\W\d_]+", lambda m: self._shorter(m[0]), "".join(pieces))
+
+    @staticmethod
+    def _once(word: str) -> str:
+        return "".join(c for c, _ in groupby(word))
+
+    def _shorter(self, word: str) -> str:
+        """The likeliest word that ``word`` is when letters were repeated: itself, or an attested one."""
+        once = self._once(word)
+        if once == word:
+            return word
+        own = [len(list(run)) for _, run in groupby(word)]
+        best, value = word, self._log(word)
+        for other in sorted(self.like.get(once, ())):
+            size = [len(list(run)) for _, run in groupby(other)]
+            if other != word and all(a <= b for a, b in zip(size, own)):
+                total = self._log(other) + DISGUISE + SHORTEN * sum(a < b for a, b in zip(size, own))
+                if total > value:
+                    best, value = other, total
+        return best
+
+    def _log(self, word: str) -> float:
+        """Log-probability of a word: its share, or, not attested, that of such words and its characters."""
+        n = self.words.get(word)
+        if n:
+            return float(np.log(n / self.total))
+        total, x, y = self.rare, 0, 0
+        for c in word + " ":
+            s = self._symbol(c)
+            total, x, y = total + self.model[x][y][s], y, s
+        return total
+
+    def _words_apart(self, lattice: list, pieces: list[str]) -> list[str]:
+        """Spaced-out letters with the borders of words set anew, by the counts of whole words.
+
+        A border may stand in every gap; all gaps alike it costs little, else it should
+        stand in the wide ones.  A word that is not attested costs its characters.
+        """
+        gap = [len(place) > 1 and place[-1][0] == () for place in lattice]
+        widths = [len(place[0][1]) for place, is_gap in zip(lattice, gap) if is_gap]
+        if not widths:
+            return pieces
+        narrow, uneven = min(widths), min(widths) < max(widths)
+        out, stretch, between = [], [""], []
+        for place, piece, is_gap in [*zip(lattice, pieces, gap), (None, None, False)]:
+            if place is None or not is_gap and place[0][0] == (0,):  # the end, or what no word holds
+                out += [self._cut(stretch, between, narrow, uneven), piece or ""]
+                stretch, between = [""], []
+            elif is_gap:
+                between.append(place[0][1])
+                stretch.append("")
+            else:
+                stretch[-1] += piece
+        return out
+
+    def _cut(self, units: list[str], gaps: list[str], narrow: int, uneven: bool) -> str:
+        best = [(0.0, 0)]
+        for j in range(1, len(units) + 1):
+            found, word, joined = [], "", 0.0
+            for i in range(j - 1, -1, -1):
+                word = units[i] + word
+                if len(word) > LONGEST and i < j - 1:
+                    break
+                wide = 0 < i and len(gaps[i - 1]) > narrow
+                border = 0.0 if i == 0 or wide else BREAK if uneven else BORDER
+                found.append((best[i][0] + border + joined + self._log(self._shorter(word)), i))
+                if wide:
+                    joined += BRIDGE
+            best.append(max(found))
+        out, j = "", len(units)
+        while j:
+            i = best[j][1]
+            out = (gaps[i - 1] if i else "") + "".join(units[i:j]) + out
+            j = i
         return out
 
     @staticmethod
@@ -167,16 +311,16 @@ class Decoder:
             else:
                 m = j - i
                 places.append([((s,) * m, c * m, sign)])
-                if s and c not in LEET:
-                    places[-1] += [((s,) * k, c * k, SHORTEN if m > 2 else HALVE) for k in range(1, min(m, 3))]
-                for k in range(1, min(m, 3) + 1):  # 1111 as l or ll, 111 as ill
-                    cost = SWAP * m + HALVE if k < m == 2 else SWAP * k + (SHORTEN if k < m else 0.0)
+                if s and c not in LEET and m > 2:
+                    places[-1] += [((s,) * k, c * k, DISGUISE) for k in (1, 2)]
+                for k in range(1 if m > 2 else m, min(m, 3) + 1):  # 1111 as l or ll, 111 as ill; 55 as ss, words tell if it is one
+                    cost = SWAP * k + (SHORTEN if k < m else 0.0)
                     places[-1] += [(sum((r[0] for r in p), ()), "".join(r[1] for r in p), cost) for p in product(read, repeat=k)]
             i = j
         return places
 
-    def _best(self, lattice: list, start: float) -> tuple[float, str]:
-        """Viterbi: states are the last two symbols, non-letters in a row count as one."""
+    def _best(self, lattice: list, start: float) -> tuple[float, list[str]]:
+        """Viterbi, the best total and the text of each place: states are the last two symbols, non-letters in a row count as one."""
         best = {(0, 0): (start, None)}
         model = self.model
         for readings in [*lattice, [((0,), "", 0.0)]]:
@@ -197,7 +341,7 @@ class Decoder:
         while path is not None:
             path, text = path
             out.append(text)
-        return total, "".join(reversed(out))
+        return total, out[:0:-1]
 
 
 def _groups(link: np.ndarray) -> np.ndarray:
@@ -289,9 +433,9 @@ def _restored_features(texts: pa.Array, decode: Decoder):
         yield lo, hi - lo, *word_features(*restore(data[own[0]:own[-1]], own - own[0], decode))
 
 
-def restored_texts(docs: DataFrame, model: np.ndarray, text_col: str = "text") -> DataFrame:
+def restored_texts(docs: DataFrame, language: Language, text_col: str = "text") -> DataFrame:
     """``docs`` with a column ``restored``: the lower-cased text with disguised words decoded (null stays null)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(language)
 
     @F.pandas_udf("string")
     def run(texts):
@@ -309,7 +453,7 @@ def restored_texts(docs: DataFrame, model: np.ndarray, text_col: str = "text") -
 
 
 def train(
-    labelled: DataFrame, model: np.ndarray, text_col: str = "text", label_col: str = "toxic", sample_rows: int = 6000,
+    labelled: DataFrame, language: Language, text_col: str = "text", label_col: str = "toxic", sample_rows: int = 6000,
     l1: float = 1.0, l2: float = 0.1, epochs: int = 10, seed: int = 7, id_col: str = "doc_id",
 ) -> tuple[np.ndarray, float]:
     """Weights per bucket and a bias, fitted on at most ``sample_rows`` labelled rows, drawn by a
@@ -318,7 +462,7 @@ def train(
     rows = labelled.select(
         column(labelled, text_col).alias("text"), column(labelled, label_col).cast("double").alias("label"), *own).where("text is not null and label is not null")
     total = rows.count()
-    shared = labelled.sparkSession.sparkContext.broadcast(model)
+    shared = labelled.sparkSession.sparkContext.broadcast(language)
 
     def run(batches):
         decode = Decoder(shared.value)
@@ -344,16 +488,16 @@ def train(
     return weights[:, 1] - weights[:, 0], float(bias[1] - bias[0])
 
 
-def score(docs: DataFrame, model: np.ndarray, weights: np.ndarray, bias: float, id_cols: list[str], text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, language: Language, weights: np.ndarray, bias: float, id_cols: list[str], text_col: str = "text") -> DataFrame:
     """``id_cols`` and score (0 to 1), one row per input row.
 
     Null and empty texts, and texts without words, get the score of the bias alone.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model, weights.astype(np.float32), bias))
+    shared = docs.sparkSession.sparkContext.broadcast((language, weights.astype(np.float32), bias))
 
     def run(batches):
-        model, weights, bias = shared.value
-        decode = Decoder(model)
+        language, weights, bias = shared.value
+        decode = Decoder(language)
         for batch in batches:
             total = np.full(batch.num_rows, bias)
             for lo, n, doc, bucket, value in _restored_features(batch.column(0), decode):

@@ -70,7 +70,7 @@ def test_language_edge_cases(spark):
 
 @pytest.fixture(scope="module")
 def characters(spark):
-    return toxicity.character_model(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    return toxicity.language_model(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
 
 
 def test_character_model_is_counted_over_all_texts(spark):
@@ -111,7 +111,8 @@ def test_restored_words(spark, characters):
 
 @pytest.mark.parametrize("text, wanted", [
     ("st.upid", "stupid"), ("such id-iot", "such idiot"), ("s t u p id", "stupid"), ("i  d\ti\no  t", "idiot"), ("i/d/i/o/t", "idiot"),
-    ("i|d|i|o|t", "idiot"), ("y o u  i d i o t", "you  idiot"), ("a well-known end.Next", "a well-known end.next"), ("no. 12 at 10:30, 3.5", "no. 12 at 10:30, 3.5"),
+    ("i|d|i|o|t", "idiot"), ("y o u  i d i o t", "you  idiot"), ("y o u  a r e  s t u p i d", "you  are  stupid"), ("y o u i d i o t", "you idiot"),
+    ("a well-known end.Next", "a well-known end.next"), ("no. 12 at 10:30, 3.5", "no. 12 at 10:30, 3.5"),
 ])
 def test_separators_may_be_there_or_not(characters, text, wanted):
     data, at = buffer(["plain", text, ""])
@@ -119,12 +120,53 @@ def test_separators_may_be_there_or_not(characters, text, wanted):
     assert bytes(got).decode() == "plain" + wanted and ends.tolist() == [0, 5, 5 + len(wanted), 5 + len(wanted)]
 
 
+def read(characters, text):
+    return bytes(toxicity.restore(*buffer([text]), toxicity.Decoder(characters))[0]).decode()
+
+
+def test_word_counts_are_those_of_all_texts(spark):
+    rows = [(1, "Good gOOd god"), (2, None), (3, "good,god1god"), (4, ""), (5, "é é É " + "x" * 65 + " " + "y" * 64), (6, " y" + "y" * 63), (7, "y" * 64), (8, "é")]
+    model = toxicity.language_model(docs(spark, rows))
+    assert model.words == {"good": 3, "god": 3, "é": 3, "y" * 64: 3} and model.total == 3 + 3 + 5 + 1 + 1 + 1
+    nothing = toxicity.language_model(docs(spark, []))
+    assert nothing.words == {} and read(nothing, "good b00k") and read(nothing, "") == ""
+
+
+def test_attested_words_are_a_share_of_all(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "WORDS", 4)
+    model = toxicity.language_model(docs(spark, [(i, "often rare" if i < 3 else "often often") for i in range(10)]))
+    assert model.words == {"often": 17}
+
+
+@pytest.mark.parametrize("text", [
+    "good see too class school password little book look need free tree three week soon food room door call tell small well",
+    "kill full pull hello yellow happy apple letter better summer dinner address access success process less miss pass boss",
+    "glass committee coffee balloon meeting million dollar different difficult offer affair matter accept account middle",
+])
+def test_doubled_letters_of_clean_words_stay(characters, text):
+    assert read(characters, text) == text
+
+
+def test_no_attested_word_changes(characters):
+    decode = toxicity.Decoder(characters)
+    often = [w for w, n in characters.words.items() if n >= 10]
+    assert len(often) > 1000 and [w for w in often if decode(w) != w] == []
+
+
+def test_clean_documents_stay(spark, characters):
+    sf = "/root/testdata/sf0.01"
+    good = spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 0 and quality = 1")
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").join(good, "doc_id").where("text is not null").collect()]
+    pairs = [(a, b) for t in texts for a, b in zip(t.split(), read(characters, t).split())]
+    changed = [p for p in pairs if "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in p[0]) != p[1]]
+    assert len(texts) > 250 and len(changed) <= len(pairs) / 10_000
+
+
 def test_every_token_with_two_readings_is_decoded(characters):
-    # These documents hold no "ass", so their model takes the doubled sign for one letter.
     text = "idio7 hat3 a55 @$$ stuupiidd id1111ot 1d!0t hello worthless idiot! pay $100, $5, 2024 or 10+ now!! $$$"
     data, at = buffer([text])
     got, _ = toxicity.restore(data, at, toxicity.Decoder(characters))
-    assert bytes(got).decode() == "idiot hate as as stupid idiot idiot hello worthless idiot! pay $100, $5, 2024 or 10+ now!! $$$"
+    assert bytes(got).decode() == "idiot hate ass ass stupid idiot idiot hello worthless idiot! pay $100, $5, 2024 or 10+ now!! $$$"
 
 
 @pytest.mark.parametrize("span", ["a55", "@$$", "f111", "oo77", "!!a"])
