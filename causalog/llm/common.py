@@ -67,9 +67,10 @@ def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 def bounded_sample(rows: DataFrame, n: int, share: Column | float, keys: list[str], seed: int) -> DataFrame:
     """At most ``n`` different rows, each drawn with probability ``share`` by a hash of ``keys``.
 
-    Rows equal in all ``keys`` are drawn once, so a group of copies with an id in common
-    cannot fill the sample.  Of more than ``n`` drawn the smallest hashes stay: only n + 1
-    numbers reach the driver.  The choice depends on the rows' content alone.
+    Rows equal in all ``keys`` are drawn once, as the smallest of them, so a group of copies
+    with an id in common cannot fill the sample.  Of more than ``n`` drawn the smallest hashes
+    stay: only n + 1 numbers reach the driver.  The choice depends on the rows' content alone;
+    with ``keys`` from one side of a join it is made before that join's shuffle.
     """
     mark = fresh(rows, "_mark")
     found = rows.withColumn(mark, F.xxhash64(*[column(rows, k) for k in keys], F.lit(seed)))
@@ -78,7 +79,8 @@ def bounded_sample(rows: DataFrame, n: int, share: Column | float, keys: list[st
     if len(marks) > n:
         drawn = drawn.where(F.col(mark) < marks[n])
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return drawn.dropDuplicates([mark]).repartition(parts).drop(mark)
+    least = drawn.groupBy(mark).agg(F.min(F.struct(*[column(rows, c) for c in rows.columns])).alias("row"))
+    return least.repartition(parts).select("row.*")
 
 
 def letters_lower(text: Column) -> Column:

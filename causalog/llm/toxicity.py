@@ -457,7 +457,8 @@ def train(
     l1: float = 1.0, l2: float = 0.1, epochs: int = 10, seed: int = 7, id_col: str = "doc_id",
 ) -> tuple[np.ndarray, float]:
     """Weights per bucket and a bias, fitted on at most ``sample_rows`` labelled rows, drawn by a
-    hash of text and, if there is one, ``id_col``; ids are used for nothing else."""
+    hash of text and, if there is one, ``id_col``; ids are used for nothing else.  Of rows equal
+    in both the smallest label counts."""
     own = [column(labelled, id_col).alias("id")] if id_col in labelled.columns else []
     rows = labelled.select(
         column(labelled, text_col).alias("text"), column(labelled, label_col).cast("double").alias("label"), *own).where("text is not null and label is not null")
@@ -475,7 +476,7 @@ def train(
                     ["label", "bucket", "value"])
 
     sample = (
-        bounded_sample(rows, sample_rows, min(1.0, sample_rows / max(1, total)), rows.columns, seed).select("text", "label")
+        bounded_sample(rows, sample_rows, min(1.0, sample_rows / max(1, total)), [c for c in rows.columns if c != "label"], seed).select("text", "label")
         .mapInArrow(run, "label double, bucket array<int>, value array<float>").toArrow()
     )
     if not sample.num_rows:

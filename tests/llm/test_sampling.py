@@ -13,4 +13,6 @@ def test_a_sample_is_bounded_and_copies_do_not_fill_it(spark):
     share = bounded_sample(rows, 6000, 0.1, ["text", "id"], 7).where("text = 'same'").count() / 6000
     assert 0.25 < share < 0.42
     assert bounded_sample(rows, 50, 1.0, ["text", "id"], 7).count() == 50
+    twice = rows.limit(100).crossJoin(spark.range(2).select(F.col("id").alias("label")))
+    assert {(r.label, r.id is None) for r in bounded_sample(twice, 500, 1.0, ["text", "id"], 7).collect()} == {(0, False)}
     assert bounded_sample(rows.limit(0), 50, 1.0, ["text"], 7).count() == 0
