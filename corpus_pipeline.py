@@ -23,7 +23,11 @@ LEAST_QUALITY = 0.5
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the quality model does not reject; texts too short to judge stay."""
+    """Documents the quality model does not reject.
+
+    Texts of fewer than ``quality.LEAST_WORDS`` words cast no votes, but are scored and may
+    be rejected like others; null, empty and wordless texts get the score of the bias.
+    """
     score = fresh(docs, "_quality")
     scored = quality.with_quality(docs, quality.train(docs), score_col=score)
     return scored.where(F.col(score) >= LEAST_QUALITY).drop(score)
