@@ -69,3 +69,16 @@ def test_prefix_scan_shuffles_the_rows_once(spark, stored):
     got = prefix_scan(log.select("id", "seq"), ["id"], ["seq"], F.floor(F.col("seq") / 8), {"n": Running("sum", F.lit(1))})
     wide = [x for x in plan(got).splitlines() if "Exchange hashpartitioning(id" in x and "__bucket" in x]
     assert len(wide) == 2  # the rows, and one total per bucket
+
+
+@pytest.mark.parametrize("mode", ["regular", "appends", "prepends"])
+def test_positions_are_expanded_once_and_not_broadcast(spark, tmp_path, mode):
+    from workload.writes import SPARK
+
+    customers = [(1, "BUILDING"), (7, None), (7, "MACHINERY"), (299, "AUTOMOBILE")]
+    spark.createDataFrame(customers, "c_custkey long, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    df = SPARK[f"bulk_positions_{mode}"](spark, str(tmp_path))
+    assert plan(df).count("Generate explode(sequence(0") == 1
+    # Customer 7 stands twice: each of 16 positions meets both lists, and both next positions but for the last rank.
+    got = {r["id"]: (r["n"], r["ordered"], r["short"]) for r in df.collect()}
+    assert got == {"1": (2, True, True), "7": (2 * 2 * (2 * 7 + 1), False, True), "299": (300, True, True)}

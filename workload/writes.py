@@ -1,7 +1,7 @@
 """Write-intent queries: the later half of the events become intents against the
 present of the earlier half."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from causalog.functions.positions import bulk_positions
 from causalog.operators import intents as W, lookup as L
@@ -250,11 +250,14 @@ for _mode in ("regular", "appends", "prepends"):
             F.col("c_custkey").cast("string").alias("id"), F.lit("aZ").alias("lo"),
             F.concat(F.lit("b"), F.substring("c_mktsegment", 1, 1)).alias("hi"), "n", F.lit(1).alias("site"),
         )
+        # The next position by a range of ranks: a self-join would take the unexpanded sizes for the
+        # number of positions and broadcast them all.
         pos = bulk_positions(lists, mode)
+        following = Window.partitionBy("id").orderBy("rank").rangeBetween(1, 1)
+        pos = pos.withColumns({"next": F.min("pos").over(following), "later": F.count("*").over(following)})
         here = pos.join(lists.select("id", "lo", "hi"), "id")
-        after = pos.select("id", (F.col("rank") - 1).alias("rank"), F.col("pos").alias("next"))
-        return here.join(after, ["id", "rank"], "left").groupBy("id").agg(
-            F.count("*").alias("n"),
+        return here.groupBy("id").agg(
+            F.sum(F.greatest("later", F.lit(1))).alias("n"),
             F.min((F.col("lo") < F.col("pos")) & (F.col("pos") < F.col("hi")) & F.coalesce(F.col("pos") < F.col("next"), F.lit(True))).alias("ordered"),
             (F.max(F.length("pos")) <= 5).alias("short"),
         )
