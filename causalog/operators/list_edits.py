@@ -6,7 +6,8 @@ of *items*, each either a stretch of the old list, kept or removed, or a new ele
 Such rows compose, and composition is associative, so a site's edits of one list are cut
 into blocks, every block is worked out by itself, and neighbouring blocks are composed
 in rounds, halving their number.  No task holds more than one block; a composition is
-running sums over the items and a merge by coordinates.
+running sums over the items and a merge by coordinates.  A sequence of one block takes no
+part in the rounds.
 
 A new element stands directly behind the element left of it, removed ones after that
 notwithstanding.  Only the lengths of the list run through the blocks of a site in order;
@@ -14,18 +15,19 @@ each block gives the next one's length by a step function of its own.
 
 Items (id, site, blk, ord, seq, lo, width, live, by): ``seq`` is the inserting intent, or
 NULL for ``width`` old elements from ``lo`` on; ``by`` is the removing intent, or CLEARED.
+Placed items have the coordinates they start at in the old (``old``) and the new (``new``) list.
 """
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from causalog.plans.scan import Running, prefix_scan, row_numbers, sorted_buckets
 from causalog.session import stable
 
-#: Edits worked out by one task at a time.
-BLOCK = 4096
+#: Edits of one sequence worked out by one task at a time.
+BLOCK = 1 << 16
 
 #: Coordinates, or items, in one bucket of the running sums.
 WIDTH = 1 << 16
@@ -37,7 +39,8 @@ INSERT, REMOVE, POP_LAST, CLEAR = range(4)
 _FAR = 1 << 62
 _CHUNK = 64
 _SEQUENCE = ["id", "site"]
-_ITEM = "id string, site int, blk long, ord long, seq long, lo long, width long, live boolean, by long"
+_STEPS = "id string, site int, blk long, size long, fixed boolean, base long, flats array<long>"
+_PLACED = "id string, site int, blk long, ord long, seq long, lo long, width long, live boolean, by long, old long, new long"
 
 
 def coded(intents: DataFrame) -> DataFrame:
@@ -162,32 +165,36 @@ def worked_out(size: int, seqs, codes, places) -> Items:
     return items
 
 
-def _by_block(one):
-    """A function for mapInPandas over rows sorted by block; ``one`` gets a block's rows, of any list of batches."""
+def _by_block(one, columns, schema):
+    """A function for mapInPandas over rows sorted by block; ``one`` gets the ``columns`` of a block's rows
+    as lists and yields rows of ``schema``.  Most blocks are short: frames are made per batch, not per block."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = {c.split()[0]: {"long": "Int64", "int": "Int64", "boolean": "boolean"}.get(c.split()[1], "object") for c in schema.split(", ")}
+
+    def made(frame, bounds):
+        lists = [frame[c].tolist() for c in columns]
+        rows = [row for a, b in zip(bounds, bounds[1:]) for row in one(*[x[a:b] for x in lists])]
+        return pd.DataFrame({c: pd.Series(list(x), dtype=kinds[c]) for c, x in zip(names, zip(*rows) if rows else [()] * len(names))})
+
     def run(frames):
         held = None
         for frame in frames:
             frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
             keys = frame[[*_SEQUENCE, "blk"]]
             starts = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
-            made = [one(frame.iloc[a:b]) for a, b in zip(starts, starts[1:])]
-            if made:
-                yield pd.concat(made, ignore_index=True)
+            if len(starts) > 1:
+                yield made(frame, starts)
             held = frame.iloc[starts[-1]:] if len(starts) else None
         if held is not None and len(held):
-            yield one(held)
+            yield made(held, [0, len(held)])
     return run
 
 
-def _block_steps(rows: pd.DataFrame) -> pd.DataFrame:
-    fixed, base, flats = length_steps(rows["code"].tolist(), rows["at"].tolist())
-    first = rows.iloc[0]
+def _block_steps(id, site, blk, size, least, most, codes, places):
+    fixed, base, flats = length_steps(codes, places)
     # Flats the length cannot reach are the same for all lengths it can have here.
-    below = int(np.searchsorted(flats, first["least"]))
-    above = int(np.searchsorted(flats, first["most"]))
-    return pd.DataFrame({
-        "id": [first["id"]], "site": [first["site"]], "blk": [first["blk"]], "size": [first["size"]],
-        "fixed": [fixed], "base": [base - below], "flats": [flats[below:above]]})
+    below, above = np.searchsorted(flats, least[0]), np.searchsorted(flats, most[0])
+    yield id[0], site[0], blk[0], size[0], fixed, base - int(below), flats[below:above]
 
 
 def _lengths(frames):
@@ -203,14 +210,17 @@ def _lengths(frames):
         yield pd.DataFrame(out, columns=["id", "site", "blk", "length"])
 
 
-def _block_items(rows: pd.DataFrame) -> pd.DataFrame:
-    first = rows.iloc[0]
-    made = list(worked_out(int(first["length"]), rows["intent_seq"].tolist(), rows["code"].tolist(), rows["at"].tolist()))
-    out = pd.DataFrame(made, columns=["seq", "lo", "width", "live", "by"], dtype=object)
-    for c in ("seq", "lo", "width", "by"):
-        out[c] = out[c].astype("Int64")
-    out["live"] = out["live"].astype(bool)
-    return out.assign(id=first["id"], site=first["site"], blk=first["blk"], ord=np.arange(len(out)))[["id", "site", "blk", "ord", "seq", "lo", "width", "live", "by"]]
+def _block_items(id, site, blk, length, seqs, codes, places):
+    old = new = 0
+    for ord, (seq, lo, width, live, by) in enumerate(worked_out(length[0], seqs, codes, places)):
+        yield id[0], site[0], blk[0], ord, seq, lo, width, live, by, old, new
+        old += width
+        new += 0 if not live else width if seq is None else 1
+
+
+def _tasks(df: DataFrame) -> int:
+    """As many as are set: the work of a row of edits is not in proportion to its bytes, by which adaptive execution would join them."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _starting_lengths(edits: DataFrame) -> DataFrame:
@@ -227,15 +237,19 @@ def _starting_lengths(edits: DataFrame) -> DataFrame:
     last = edits.groupBy(*_SEQUENCE).agg(F.max("blk").alias("__last"))
     before = edits.join(last, _SEQUENCE).where("blk < __last").drop("__last").join(reach, [*_SEQUENCE, "blk"])
     order = [*_SEQUENCE, "blk"]
-    steps = before.repartition(*order).sortWithinPartitions(*order, "intent_seq").mapInPandas(
-        _by_block(_block_steps), "id string, site int, blk long, size long, fixed boolean, base long, flats array<long>")
+    columns = [*order, "size", "least", "most", "code", "at"]
+    steps = before.repartition(_tasks(edits), *order).sortWithinPartitions(*order, "intent_seq").mapInPandas(_by_block(_block_steps, columns, _STEPS), _STEPS)
     return steps.repartition(*_SEQUENCE).sortWithinPartitions(*order).mapInPandas(_lengths, "id string, site int, blk long, length long")
 
 
+def _length() -> Column:
+    """Elements an item has in the new list."""
+    return F.when(~F.col("live"), 0).when(F.col("seq").isNull(), F.col("width")).otherwise(1).cast("long")
+
+
 def _placed(items: DataFrame) -> DataFrame:
-    """Items with the coordinates they start at in the old (``old``) and in the new list (``new``)."""
-    length = F.when(~F.col("live"), 0).when(F.col("seq").isNull(), F.col("width")).otherwise(1).cast("long")
-    rows = items.withColumn("__n", length)
+    """Items with their coordinates."""
+    rows = items.withColumn("__n", _length())
     placed = prefix_scan(
         rows, [*_SEQUENCE, "blk"], ["ord"], F.floor(F.col("ord") / WIDTH),
         {"old": Running("sum", F.col("width"), False), "new": Running("sum", F.col("__n"), False)}, levels=2)
@@ -243,9 +257,9 @@ def _placed(items: DataFrame) -> DataFrame:
 
 
 def composed(items: DataFrame) -> DataFrame:
-    """Every two neighbouring blocks as one: what the second does to the list the first leaves."""
+    """Every two neighbouring blocks of placed items as one: what the second does to the list the first leaves."""
     group = [*_SEQUENCE, "pair"]
-    rows = stable(_placed(items).withColumn("pair", F.floor(F.col("blk") / 2)).withColumn("second", F.col("blk") % 2 == 1))
+    rows = stable(items.withColumn("__n", _length()).withColumn("pair", F.floor(F.col("blk") / 2)).withColumn("second", F.col("blk") % 2 == 1))
     first, second = rows.where("not second"), rows.where("second")
     # Stretches of the list in between, cut at the items of both sides.
     a = first.where("live").select(*group, F.col("new").alias("coord"), F.struct("new", "__n", "seq", "lo").alias("a"), F.lit(None).cast("struct<lo:bigint,width:bigint,live:boolean,by:bigint>").alias("b"))
@@ -266,7 +280,7 @@ def composed(items: DataFrame) -> DataFrame:
     order = ["coord", "cls", "ord"]
     ranged = sorted_buckets(met.unionByName(gone).unionByName(born), [*group, *order])
     numbered = row_numbers(ranged, group, order, F.col("__range"), "__ord", levels=2)
-    return numbered.select(*_SEQUENCE, F.col("pair").alias("blk"), (F.col("__ord") - 1).alias("ord"), *kept)
+    return _placed(stable(numbered.select(*_SEQUENCE, F.col("pair").alias("blk"), (F.col("__ord") - 1).alias("ord"), *kept)))
 
 
 def list_items(intents: DataFrame, sizes: DataFrame, block: int = BLOCK, width: int = WIDTH) -> DataFrame:
@@ -280,11 +294,18 @@ def list_items(intents: DataFrame, sizes: DataFrame, block: int = BLOCK, width:
     edits = stable(rows.withColumn("blk", F.floor((F.col("__n") - 1) / block)).drop("__n"))
     blocks = (edits.agg(F.max("blk")).first()[0] or 0) + 1
     order = [*_SEQUENCE, "blk"]
+    known = edits.withColumn("length", F.col("size"))
+    if blocks > 1:
+        # One row for every ``block`` edits at most.
+        long = F.broadcast(stable(edits.where("blk > 0").select(*_SEQUENCE).distinct()))
+        starts = _starting_lengths(edits.join(long, _SEQUENCE, "left_semi"))
+        known = edits.join(starts, order, "left").withColumn("length", F.coalesce("length", "size"))
+    columns = [*order, "length", "intent_seq", "code", "at"]
+    items = stable(known.repartition(_tasks(edits), *order).sortWithinPartitions(*order, "intent_seq").mapInPandas(
+        _by_block(_block_items, columns, _PLACED), _PLACED))
     if blocks > 1:
-        known = edits.join(_starting_lengths(edits), order, "left").withColumn("length", F.coalesce("length", "size"))
-    else:
-        known = edits.withColumn("length", F.col("size"))
-    items = known.repartition(*order).sortWithinPartitions(*order, "intent_seq").mapInPandas(_by_block(_block_items), _ITEM)
-    while blocks > 1:
-        items, blocks = composed(items), (blocks + 1) // 2
-    return _placed(items).where("seq is not null or not live").select(*_SEQUENCE, "ord", "seq", "lo", "live", "by", "old")
+        short, items = items.join(long, _SEQUENCE, "left_anti"), items.join(long, _SEQUENCE, "left_semi")
+        while blocks > 1:
+            items, blocks = composed(items), (blocks + 1) // 2
+        items = short.unionByName(items.drop("__n"))
+    return items.where("seq is not null or not live").select(*_SEQUENCE, "ord", "seq", "lo", "live", "by", "old")

@@ -107,3 +107,12 @@ def test_composition_keeps_every_element(spark):
                 before = e + 1
             else:
                 assert next(r.old for r in own if r.seq == e[0]) >= before
+
+
+def test_only_sequences_of_several_blocks_are_composed(spark, monkeypatch):
+    rounds, composed = [], E.composed
+    monkeypatch.setattr(E, "composed", lambda items: composed(rounds.append({r.id for r in items.select("id").distinct().collect()}) or items))
+    made = [intent("list_append", id=id, seq=s) for id, n in (("short", 3), ("long", 10)) for s in range(n)]
+    got = E.list_items(intents(spark, made), spark.createDataFrame([], "id string, __size long"), block=6).collect()
+    assert rounds == [{"long"}]
+    assert {(r.id, r.seq) for r in got} == {(i["id"], i["seq"]) for i in [{"id": m[0], "seq": s} for m, s in zip(made, [*range(3), *range(10)])]}
