@@ -3,12 +3,13 @@
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 STATE = "type string, data string, site int, lts array<bigint>, physical_time bigint, logical_time int, op string, merged_at bigint"
 COLUMNS = [c.split()[0] for c in STATE.split(", ")]
+CHANGE = Row("id", "key", "change", *COLUMNS)
 OUTPUT = f"id string, key string, change string, {STATE}"
 
 
@@ -17,37 +18,36 @@ def _below(a, b) -> bool:
     return all(x <= (b[i] if i < len(b) else 0) for i, x in enumerate(a))
 
 
-def _plain(row) -> tuple:
-    values = [None if not isinstance(v, (list, tuple)) and pd.isna(v) else v for v in row]
-    return tuple(int(v) if i in (2, 4, 5, 7) and v is not None else v for i, v in enumerate(values))
+def _plain(row: Row) -> tuple:
+    return tuple(list(row[c]) if c == "lts" else row[c] for c in COLUMNS)
 
 
 class FrontierProcessor(StatefulProcessor):
-    """Keeps the surviving rows of one element; on causal logs one per site."""
+    """Keeps the surviving rows of one element; on causal logs one per site.
+
+    It takes rows, not frames: an element has a few of them in a batch, and frames would cost more than the work.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._rows = handle.getListState("frontier", STATE)
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        """Rows that are present before the stream begins; they are no changes."""
-        rows = initialState.assign(lts=[[int(x) for x in v] for v in initialState["lts"]])
-        self._rows.put(list(map(_plain, rows[COLUMNS].itertuples(index=False, name=None))))
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        """Rows that are present before the stream begins, one a call; they are no changes."""
+        self._rows.appendValue(_plain(initialState))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         before = [tuple(list(v) if i == 3 else v for i, v in enumerate(r)) for r in self._rows.get()]
         now = list(before)
-        for pdf in rows:
-            pdf = pdf.assign(lts=[[int(x) for x in v] for v in pdf["lts"]])
-            for new in map(_plain, pdf[COLUMNS].itertuples(index=False, name=None)):
-                if any(_below(new[3], old[3]) for old in now if not (old[3] == new[3] and old[2] != new[2])):
-                    continue
-                now = [old for old in now if old[3] == new[3] or not _below(old[3], new[3])] + [new]
+        for new in map(_plain, rows):
+            if any(_below(new[3], old[3]) for old in now if not (old[3] == new[3] and old[2] != new[2])):
+                continue
+            now = [old for old in now if old[3] == new[3] or not _below(old[3], new[3])] + [new]
         gone = [("out", r) for r in before if r not in now]
         added = [("in", r) for r in now if r not in before]
         if gone or added:
             self._rows.put(now)
-        out = [(*key, change, *r) for change, r in gone + added]
-        yield pd.DataFrame(out, columns=["id", "key", "change", *COLUMNS])
+        for change, r in gone + added:
+            yield CHANGE(*key, change, *r)
 
     def close(self) -> None:
         pass
@@ -82,6 +82,6 @@ def present_stateful(ops: DataFrame, causal: bool = False, present: DataFrame |
     flat = _flat(ops, "arrival_time")
     flat = combine(flat) if causal else flat
     start = None if present is None else _flat(present, "merged_at").groupBy("id", "key")
-    return flat.groupBy("id", "key").transformWithStateInPandas(
+    return flat.groupBy("id", "key").transformWithState(
         statefulProcessor=FrontierProcessor(), outputStructType=OUTPUT, outputMode="update", timeMode="none", initialState=start
     )

@@ -131,3 +131,25 @@ def test_log_round_trip_and_rejects(spark, tmp_path):
     append_ops(ops(spark, [op(), op(type="?"), op(site=8)]), path)
     good, bad = read_ops(spark, path, N)
     assert good.count() == 1 and bad.count() == 2
+
+
+def test_the_processor_takes_rows_and_keeps_every_present_row():
+    from pyspark.sql import Row
+    from causalog.streaming.frontier import FrontierProcessor
+
+    class State(list):
+        get = list.__iter__
+        appendValue = list.append
+
+        def put(self, values):
+            self[:] = values
+
+    def row(data, site, lts):
+        return Row(id="x", key="k", **dict(zip(COLUMNS, ("m", data, site, lts, 1, 1, "a", None))))
+
+    processor, processor._rows = FrontierProcessor(), State()
+    for start in (row("one", 1, [1, 0, 0]), row("two", 2, [0, 1, 0])):
+        processor.handleInitialState(("x", "k"), start, None)
+    out = processor.handleInputRows(("x", "k"), iter([row("new", 1, [2, 0, 0]), row("late", 3, [0, 0, 0])]), None)
+    assert [(r.change, r.data) for r in out] == [("out", "one"), ("in", "new")]
+    assert [r[1] for r in processor._rows] == ["two", "new"]
