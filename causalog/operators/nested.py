@@ -155,13 +155,15 @@ def nested_chunks(present: DataFrame, path: list[str], roots: DataFrame | None =
     names = validate_path(path)
     leaves, brackets = _leaves(_levels(present, names, roots), names)
     columns = [c for _, _, order, _ in brackets for c in order]
-    leaves = leaves.withColumn("__end", F.lit(0))
+    # Read by the ends and twice by the range sort: the joins above are run once.
+    leaves = stable(leaves.withColumn("__end", F.lit(0)))
     ends = leaves.select("id").distinct().withColumn("__end", F.lit(1))
     order = ["id", "__end", *columns]
     ranged = sorted_buckets(leaves.unionByName(ends, allowMissingColumns=True), order)
     before = prefix_scan(
         ranged, ["id"], order[1:], F.col("__range"),
-        {"__before": Running("last", F.struct(F.lit(True).alias("there"), *columns), inclusive=False)}, levels=2,
+        {"__before": Running("last", F.struct(F.lit(True).alias("there"), *columns), inclusive=False),
+         "__row": Running("sum", F.lit(1).cast("long"))}, levels=2,
     )
 
     def label(i: int) -> Column:
@@ -179,9 +181,10 @@ def nested_chunks(present: DataFrame, path: list[str], roots: DataFrame | None =
         same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__before.{c}")) for c in of])
         text = text.when(~same, F.concat(closed(i + 1), F.lit(","), label(i), *opened(i + 1)))
     piece = F.concat(F.coalesce(text, F.lit("")), F.coalesce("json", F.lit("")))
-    pieces = stable(before.select(*order, "__range", piece.alias("__piece")))
+    # From here on a row's number stands for its sort columns.
+    pieces = stable(before.select("id", "__row", "__range", piece.alias("__piece")))
     placed = prefix_scan(
-        pieces, ["id"], order[1:], F.col("__range"),
+        pieces, ["id"], ["__row"], F.col("__range"),
         {"__at": Running("sum", F.length("__piece").cast("long"), inclusive=False)}, levels=2,
     ).select("id", "__piece", F.coalesce("__at", F.lit(0)).alias("__at"), F.length("__piece").alias("__n")).where("__n > 0")
     size, at, upto = F.lit(chars).cast("long"), F.col("__at"), F.col("__at") + F.col("__n")

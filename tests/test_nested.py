@@ -98,3 +98,15 @@ def test_paths(spark):
     for bad in ([], ["bag"], ["counter", "set_aw"], ["set_aw_tuple"]):
         with pytest.raises(ValueError):
             validate_path(bad)
+
+
+def test_chunks_write_leaves_once_and_pieces_without_sort_columns(spark, monkeypatch):
+    from causalog.operators import nested as module
+
+    written, stable = [], module.stable
+    monkeypatch.setattr(module, "stable", lambda df: written.append(df.columns) or stable(df))
+    path, _, log, value = DOCUMENTS[0]
+    (only,) = nested_chunks(present(spark, log), path).collect()
+    assert json.loads(only["text"]) == value
+    leaves, pieces = written
+    assert "__end" in leaves and pieces == ["id", "__row", "__range", "__piece"]
